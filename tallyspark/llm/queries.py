@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.llm.debruijn_dedup import remove_repeated_passages
+from tallyspark.llm.minhash_dedup import near_duplicates
+from tallyspark.llm.sentencepiece_bpe import encode_documents
 from tallyspark.llm.suffix_dedup import remove_repeats
 
 
@@ -15,6 +18,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), 50).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup,)}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False).drop("ids")
+
+
+def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(table(spark, sf_dir, "documents"), 50).drop("spans")
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_sentencepiece, op4_debruijn_dedup, op7_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
