@@ -29,7 +29,7 @@ from tallyspark.llm.winnow import Windows, bucket_bits, gram_hash, is_repeated,
 
 LOST = np.dtype([("start", "<i4"), ("count", "<i4")])
 DOCS = "doc_id long, row long, n_words long, kept_sha256 string, text binary, lost binary, runs array<struct<start: int, count: int, docs: long, name: long, s1: long, s2: long, nodes: array<long>>>"
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: int, end: int>>"
+RESULT = "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: int, end: int>>, kept_text string"
 
 
 def word_tokens(batch: pa.RecordBatch):
@@ -111,6 +111,19 @@ def split(text: bytes) -> list[bytes]:
     return [w for w in text.translate(_SPACES).split(b" ") if w]
 
 
+def _without(text: bytes, spans: list[dict]) -> str | None:
+    """The text without some spans of its words."""
+    if not spans:
+        return None
+    starts, _, _ = find_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    cut = [*starts.tolist(), len(text)]
+    out, at = [], 0
+    for s in spans:
+        out.append(text[at : cut[s["start"]]])
+        at = cut[s["end"]]
+    return b"".join([*out, text[at:]]).decode()
+
+
 def _at(places: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
     out[places] = True
@@ -178,7 +191,8 @@ def repeat_graph(known: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
-    """Per row of docs (doc_id, text): its words, those removed, the hash of those kept joined by a space, the removed spans.
+    """Per row of docs (doc_id, text): a tag of the row, its words, those removed, the hash of those kept joined by a space, the
+    removed spans of words, and where any is removed the text without them (what stands between words goes with the word before).
 
     A word goes if a window of ``length`` words (4 or more) over it also starts in a document with a smaller doc_id.
     """
@@ -194,28 +208,29 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     occ = told.filter("text IS NOT NULL").select("doc_id", "row", F.inline("runs")).select("doc_id", "row", "start", "s1", "s2")
     lost = occ.join(by_run, ["s1", "s2"]).select("doc_id", "row", "start", F.inline("pieces")).filter("first_doc < doc_id")
     lost = lost.groupBy("doc_id", "row").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), "windows", "unitig")).alias("found"))
-    some = told.filter("text IS NOT NULL").select("doc_id", "row", "n_words", "text", "lost").join(lost, ["doc_id", "row"], "left").select("doc_id", "n_words", "text", "lost", "found")
+    some = told.filter("text IS NOT NULL").select("doc_id", "row", "n_words", "text", "lost").join(lost, ["doc_id", "row"], "left").select("doc_id", "row", "n_words", "text", "lost", "found")
 
     def finish(batches):
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, n, text, lost_, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "text", "lost", "found")), strict=True):
-                words = np.array([*split(expand.decompress(text)), b""], object)[:-1]
+            for doc, row, n, text, lost_, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "n_words", "text", "lost", "found")), strict=True):
+                whole = expand.decompress(text)
+                words = np.array([*split(whole), b""], object)[:-1]
                 own = np.frombuffer(lost_, LOST)
                 start = np.r_[own["start"], [f["start"] for f in found or ()]].astype(np.int64)
                 count = np.r_[own["count"], [f["windows"] for f in found or ()]].astype(np.int64)
                 gone = covered(start, count + length - 1, n)
                 edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                 spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                out.append((doc, n, int(gone.sum()), hashlib.sha256(b" ".join(words[~gone])).hexdigest(), spans))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+                out.append((doc, row, n, int(gone.sum()), hashlib.sha256(b" ".join(words[~gone])).hexdigest(), spans, _without(whole, spans)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "row", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
-    none = F.array().cast("array<struct<start: int, end: int>>").alias("spans")
-    whole = told.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", none)
+    none = (F.array().cast("array<struct<start: int, end: int>>").alias("spans"), F.lit(None).cast("string").alias("kept_text"))
+    whole = told.filter("text IS NULL").select("doc_id", "row", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", *none)
     pattern = F.lit("[^\\x20\\x09-\\x0D]+")
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), pattern, F.lit(0))
-    unknown = docs.filter("doc_id IS NULL").select("doc_id", F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"), none)
+    unknown = docs.filter("doc_id IS NULL").select("doc_id", F.xxhash64("text").alias("row"), F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"), *none)
     return whole.unionByName(some.mapInArrow(finish, RESULT)).unionByName(unknown)

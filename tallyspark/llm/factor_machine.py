@@ -132,8 +132,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, *keep: str) -> DataFrame:
-    """Per row of docs (doc_id, text and columns to keep): held_out, score and predicted (1 if score >= 0.7)."""
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs (doc_id, text): held_out, score, predicted (1 if score >= 0.7) and the columns to keep, text among them or not."""
     model = fit_quality(docs, labels, sample=sample)
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors))  # of a fixed size
 
@@ -144,8 +144,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, *keep:
             raw, _ = own.raw(*features(batch.column("text")))
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *keep)), 1 / (1 + np.exp(-np.clip(raw, -30, 30)))], ["doc_id", *keep, "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name == "doc_id" or f.name in keep] + ["score double"])
-    columns = ["doc_id", "text", *(c for c in keep if c != "text")]
-    scored = rows.select(*columns).mapInArrow(score, kinds)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c != "text"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    scored = rows.mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", score double")
     return scored.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"), *keep)

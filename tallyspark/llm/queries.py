@@ -9,9 +9,11 @@ from tallyspark.llm.block_knn import nearest
 from tallyspark.llm.debruijn_dedup import remove_repeated_passages
 from tallyspark.llm.factor_machine import score_quality
 from tallyspark.llm.license_scan import scan_licenses
+from tallyspark.llm.lm_scoring import score_documents
 from tallyspark.llm.minhash_dedup import near_duplicates
 from tallyspark.llm.quality_rules import judge_quality
 from tallyspark.llm.sentencepiece_bpe import encode_documents
+from tallyspark.llm.soft_mixing import label_domains, mix
 from tallyspark.llm.suffix_dedup import remove_repeats
 
 
@@ -19,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shares of all tokens wanted of each domain that the labelled table tells apart.
+TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    return rows.select("doc_id", "n_tokens", *(F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(TARGETS)), "rate")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), 50).drop("spans")
 
@@ -30,7 +41,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_passages(table(spark, sf_dir, "documents"), 50).drop("spans")
+    return remove_repeated_passages(table(spark, sf_dir, "documents"), 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,13 +60,17 @@ def op8_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
 def op10_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_suffix_dedup, op3_sentencepiece, op4_debruijn_dedup, op5_license_scan, op6_quality_rules, op7_minhash_dedup, op8_block_knn, op10_factor_machine)
+    for f in (op1_soft_mixing, op2_suffix_dedup, op3_sentencepiece, op4_debruijn_dedup, op5_license_scan, op6_quality_rules, op7_minhash_dedup, op8_block_knn, op9_lm_scoring, op10_factor_machine)
 }
 
 ORACLE_SQL = {
