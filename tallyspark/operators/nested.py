@@ -68,10 +68,14 @@ def furthest_stage(texts: Column) -> Column:
     low = F.transform(texts, F.lower)
     out = F.lit(0)
     for stage, pattern in reversed(STAGES):
-        out = F.when(F.exists(low, lambda t, pattern=pattern: t.rlike(pattern)), stage).otherwise(out)
+        out = F.when(F.exists(low, _shows(pattern)), stage).otherwise(out)
     return out
 
 
+def _shows(pattern: str):
+    return lambda text: text.rlike(pattern)
+
+
 def filing_state(spine: DataFrame, filings: DataFrame, keys: list[str]) -> DataFrame:
     """Each key and year as usable, needs_review, not_extractable or no_filing. filings: (keys, extractable, needs_review)."""
     state = F.when(F.col("_f").isNull(), "no_filing").when(~F.col("extractable"), "not_extractable").when(F.col("needs_review"), "needs_review").otherwise("usable")

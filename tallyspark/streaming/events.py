@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need an instant; times without a zone are read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and sum of values in each window and type; rows later than ``late`` behind the newest are left out of streams."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return rows.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    rows = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     """Each user's sessions: events no further apart than the gap."""
-    rows = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
-    return rows.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+    rows = _timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
+    return rows.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), F.col("s.end").cast("timestamp_ntz").alias("end"), "n")
 
 
 def append_new(stream: DataFrame, path: str, checkpoint: str):
