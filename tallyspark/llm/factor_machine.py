@@ -125,7 +125,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(make, "doc_id long, y int, place binary, value binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["value"])))
     model = FactorMachine()
-    if rows:
+    if not rows:
+        model.factors[:] = 0
+    else:
         sizes = [len(r["place"]) // 4 for r in rows]
         join = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind)
         model.fit(join("place", np.int32).astype(np.int64), join("value", np.float32).astype(float), np.r_[0, np.cumsum(sizes)], np.array([r["y"] for r in rows], float))
