@@ -144,13 +144,13 @@ def compact_paths(edges: DataFrame) -> DataFrame:
     """edges (edge, u, v, first_doc) to (edge, unitig): the head edge of the nonbranching path that each lies on.
 
     Each round every edge learns the head of the edge it points to, so the reach doubles. Edges on a circle
-    have no head; after as many rounds as the number of edges allows they stay unitigs of their own.
+    have no head; after as many rounds as the longest path could take they stay unitigs of their own.
     """
     out = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), F.min("first_doc").alias("doc_out"))
     into = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), F.min("first_doc").alias("doc_in"), F.min("edge").alias("before"))
     through = out.join(into, "node").filter("n_out = 1 AND n_in = 1 AND doc_out = doc_in").select("node", "before")
     heads = written(edges.join(through, edges.u == through.node, "left").select("edge", F.coalesce("before", "edge").alias("head")))
-    rounds = max(1, heads.count()).bit_length()
+    rounds = max(1, heads.count()).bit_length() + 1  # the last finds that nothing moves
     for _ in range(rounds):
         far = heads.select(F.col("edge").alias("head"), F.col("head").alias("far"))
         open_ = heads.filter("head <> edge").join(far, "head")
@@ -159,9 +159,7 @@ def compact_paths(edges: DataFrame) -> DataFrame:
         heads = longer
         if not heads.filter("moved").head(1):
             break
-    heads.drop("moved")
-    on_circle = heads.filter("moved").select("edge", F.lit(True).alias("circle")) if rounds else None
-    return heads.join(on_circle, "edge", "left").select("edge", F.when(F.col("circle"), F.col("edge")).otherwise(F.col("head")).alias("unitig"))
+    return heads.select("edge", F.when(F.col("moved"), F.col("edge")).otherwise(F.col("head")).alias("unitig"))  # what still moves is on a circle
 
 
 def repeat_graph(known: DataFrame) -> tuple[DataFrame, DataFrame]:
