@@ -5,7 +5,7 @@ Method: under each permutation both the smallest and the largest hash of a docum
 (pre-aggregated, so a group of copies of any size is one node). Classes that agree on all values of a band are
 candidates. In a bucket each class is compared with the bucket's smallest first, the one with the best estimate
 before the others; only where a bucket still holds classes of different components are the remaining pairs across
-components looked at, in tiles, by their signatures. Links are confirmed on the sets, and components come from joins.
+components looked at, in tiles of bounded size, and only possible links leave a tile. Links are confirmed on the sets, and components come from joins.
 A link at the threshold is missed with a chance of (1 - threshold ** rows) ** bands, 6e-9 as set here.
 
 Defined cases: words are lower-cased in A-Z only; a text of fewer words than a shingle is one shingle; without
@@ -128,14 +128,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     heads = buckets.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("key", "head")
     member = written(buckets.join(heads, "key"))
     inside = member.select("rep").distinct()
-    sketches = written(reps.join(inside, "rep", "left_semi").select("rep", "n", "sketch"))
+    sketches = written(reps.join(inside, "rep", "left_semi"))
     stars = member.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     least = percent / 100 - 0.16
     stars = written(_estimated(stars, sketches, least))
     # Copies of one set share a class, so classes are few; their sets are made again from the texts.
-    sets = written(docs.join(inside.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary"))
+    sets = written(docs.join(inside.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary, halves binary"))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    links = written(_confirmed(best, sets, percent))
+    # A document of several rows with different sets ties their classes together.
+    several = some.groupBy("doc_id").agg(F.count_distinct("f1", "f2").alias("sets")).filter("sets > 1").select("doc_id")
+    ties = some.join(several, "doc_id").join(classes, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = written(_confirmed(best, sets, percent).unionByName(ties))
     label = components(links)
     rest = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), label)
     links = written(links.unionByName(_confirmed(rest, sets, percent)))
@@ -143,7 +146,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     # What the stars have not settled: buckets whose members are of different components.
     labelled = member.join(label, member.rep == label.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high AND size > 2").select("key", "size")
-    pairs = _tiles(labelled.join(open_, "key"), sketches, least).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    members = sketches.join(sets.select("rep", "halves").dropDuplicates(["rep"]), "rep")
+    pairs = _tiles(labelled.join(open_, "key"), members, percent, least)
     links = written(links.unionByName(_confirmed(pairs, sets, percent)))
     label = components(links)
     known = signed.join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left").join(label, F.col("rep") == label.node, "left")
@@ -173,10 +177,12 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
 
 
 def _sets(width: int):
+    """Sets in full, and by the upper halves of their hashes."""
+
     def make(batches):
         for batch in slices(batches):
             h, bounds = shingle_sets(batch, width)
-            yield pa.record_batch([batch.column("doc_id"), binaries(h, bounds)], ["rep", "shingles"])
+            yield pa.record_batch([batch.column("doc_id"), binaries(h, bounds), binaries((h >> np.uint64(32)).astype(np.uint32), bounds)], ["rep", "shingles", "halves"])
 
     return make
 
@@ -193,32 +199,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = sets.select("rep", "shingles")
     first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
     return pairs.join(first, "a").join(second, "b").mapInArrow(confirm, "a long, b long")
 
 
-def _tiles(labelled: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """labelled (key, rep, component, size): pairs of different components within a bucket that signatures leave possible.
+def _tiles(labelled: DataFrame, members: DataFrame, percent: int, least: float) -> DataFrame:
+    """labelled (key, rep, component, size), members (rep, n, bands, sketch, halves): pairs of different components that may link.
 
-    A bucket of more than TILE members is dealt into parts by a hash, and each two parts meet in a tile of their own.
+    A bucket of more than TILE members is dealt into parts by a hash, and each two parts meet in a tile of their own. Within
+    a tile a pair is looked at where its sizes and signatures leave a link possible and no earlier band has it too; only
+    pairs whose half hashes allow the link leave the tile, so what leaves does not grow with the square of a bucket.
     """
     parts = F.ceil(F.col("size") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    tile = labelled.withColumn("parts", parts).withColumn("part", part)
+    tile = labelled.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     tile = tile.select("key", "rep", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tile = tile.select("key", "rep", "component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    tile = tile.join(sketches.select("rep", "n", "sketch"), "rep")
+    tile = tile.select("key", "rep", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    tile = tile.join(members, "rep")
 
     def compare(group: pa.Table) -> pa.Table:
-        rep, component = group.column("rep").to_numpy(), group.column("component").to_numpy()
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        n = group.column("n").to_numpy()
+        rep, component, part, n = (group.column(c).to_numpy() for c in ("rep", "component", "part", "n"))
+        m = len(rep)
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(m, -1)
+        keys = group.column("bands").combine_chunks()
+        keys = (keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).flatten().to_numpy().reshape(m, -1)
+        halves = [np.unique(np.frombuffer(x.as_buffer(), np.uint32)) for x in group.column("halves")]
+        key, across = group.column("key")[0].as_py(), group.column("p")[0].as_py() != group.column("q")[0].as_py()
         a, b = [], []
-        for i in range(len(rep) - 1):
-            other = i + 1 + np.flatnonzero((component[i + 1 :] != component[i]) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i])))
-            hit = other[(sketch[other] == sketch[i]).mean(axis=1) >= least] if len(other) else other
-            a.append(np.maximum(rep[i], rep[hit]))
-            b.append(np.minimum(rep[i], rep[hit]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        for i in range(m - 1):
+            fits = (component[i + 1 :] != component[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+            if across:
+                fits &= part[i + 1 :] != part[i]
+            other = i + 1 + np.flatnonzero(fits)
+            other = other[(sketch[other] == sketch[i]).mean(axis=1) >= least]
+            other = other[keys[i][(keys[other] == keys[i]).argmax(axis=1)] == key]
+            for j in other.tolist():
+                slack = n[i] + n[j] - len(halves[i]) - len(halves[j])
+                both = min(len(np.intersect1d(halves[i], halves[j], assume_unique=True)) + slack, n[i], n[j])
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    a.append(max(rep[i], rep[j]))
+                    b.append(min(rep[i], rep[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return tile.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
