@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 #: Bytes that stand between words: space, tab to carriage return.
 BLANKS = np.zeros(256, bool)
@@ -121,3 +122,23 @@ def covered(starts: np.ndarray, lens: np.ndarray, n: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + lens, -1)
     return np.cumsum(edge)[:n] > 0
+
+
+def squeezed(docs):
+    """docs (doc_id, text) with row, a tag of the text, and the text compressed: what moves a text once costs less so."""
+
+    def squeeze(batches):
+        with_level = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array([with_level.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "row", "text"])
+
+    return docs.selectExpr("doc_id", "xxhash64(text) & 4294967295 AS row", "text").mapInArrow(squeeze, "doc_id long, row long, text binary")
+
+
+def expanded(batches: Iterator[pa.RecordBatch], limit: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of squeezed() with their texts back, about ``limit`` bytes of them."""
+    expand = zstandard.ZstdDecompressor()
+    for batch in slices(batches, limit=limit * 2 // 5):
+        texts = pa.array([expand.decompress(x) for x in batch.column("text").to_pylist()], pa.binary())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)

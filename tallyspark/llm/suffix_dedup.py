@@ -18,18 +18,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.batches import BYTE32, binaries, covered, hash_spans, ranges, runs, slices, utf8
+from tallyspark.llm.batches import BYTE32, binaries, covered, expanded, hash_spans, mix64, ranges, squeezed, utf8
 from tallyspark.llm.winnow import Windows, bucket_bits, is_repeated, repeated_anchors, short_name, shuffle_partitions
 
-#: A window run: document, row of it, first window's start, places from it to the anchor, windows, byte before (or none).
-ENTRY = np.dtype([("name", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("lead", "u1"), ("count", "u1"), ("left", "<i2")])
+#: A window run: document, tag of its row, first window's start, places from it to the anchor, windows, byte before (or -1).
+ENTRY = np.dtype([("name", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<i4"), ("lead", "u1"), ("count", "u1"), ("left", "<i2")])
 #: Windows start..start+count-1 of a document's row are repeats.
 SPAN = np.dtype([("start", "<i4"), ("count", "<i4")])
-MOVED = "key long, kind int, doc_id long, row long, a binary, b binary, n long"
+FOUND = np.dtype([("doc", "<i8"), ("row", "<u4"), ("span", SPAN)])
+MOVED = "key long, kind int, a binary, b binary"
+NAMES = ["key", "kind", "a", "b"]
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, end: int>>"
 
 
@@ -135,7 +138,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, limit=12 << 20):
+        for batch in expanded(batches):
             data, offs = utf8(batch.column("text"))
             ids, row = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("row").to_numpy(zero_copy_only=False)
             at, rank = windows.anchors(BYTE32[data], offs[1:], offs[:-1])
@@ -158,15 +161,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             lost = e["doc"] > lowest
             spans = np.zeros(int(lost.sum()), SPAN)
             spans["start"], spans["count"] = e["start"][lost], e["count"][lost]
-            by = np.argsort(of[lost], kind="stable")
-            cut = np.searchsorted(of[lost][by], np.arange(batch.num_rows + 1))
-            some = np.bincount(of, minlength=batch.num_rows) > 0 if len(of) else np.zeros(batch.num_rows, bool)
-            spans = spans[by]
-            texts = [bytes(data[offs[i] : offs[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.record_batch(
-                [row, np.where(some, 1, 2).astype(np.int32), ids, row, pa.array([squeeze.compress(t) for t in texts], pa.binary()), binaries(spans, cut), np.diff(offs)],
-                ["key", "kind", "doc_id", "row", "a", "b", "n"],
-            )
+            yield from _spans_by_group(e["doc"][lost], e["row"][lost], spans, n)
             # The others of a group (of its smallest document, or lost) need no word from elsewhere, but ties of one document do.
             tied = first | (e["doc"] == lowest)
             e, low = e[tied], low[tied]
@@ -177,68 +172,45 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             cut = np.searchsorted(e["name"] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             bytes_at = np.r_[0, np.cumsum(size)][cut]
             used = np.flatnonzero(np.diff(cut))
-            for at_ in range(0, len(used), 4096):
-                part = used[at_ : at_ + 4096]
-                yield pa.record_batch(
-                    [part, np.zeros(len(part), np.int32), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), pa.array([squeeze.compress(e[cut[i] : cut[i + 1]].tobytes()) for i in part], pa.binary()), pa.array([squeeze.compress(text[bytes_at[i] : bytes_at[i + 1]].tobytes()) for i in part], pa.binary()), np.diff(cut)[part]],
-                    ["key", "kind", "doc_id", "row", "a", "b", "n"],
-                )
+            columns = [np.ascontiguousarray(e[f]) for f in ENTRY.names]
+            pack = lambda i: b"".join(c[cut[i] : cut[i + 1]].tobytes() for c in columns)
+            text_ = pa.array([squeeze.compress(text[bytes_at[i] : bytes_at[i + 1]].tobytes()) for i in used], pa.binary())
+            yield pa.record_batch([used, np.zeros(len(used), np.int32), pa.array([squeeze.compress(pack(i)) for i in used], pa.binary()), text_], NAMES)
 
     def settle(batches):
         expand = zstandard.ZstdDecompressor()
-        entries, texts = [], []
+        packed: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
-            inner = batch.column("kind").to_numpy() == 0
-            for a, b in zip(batch.column("a").filter(pa.array(inner)).to_pylist(), batch.column("b").filter(pa.array(inner)).to_pylist(), strict=True):
-                entries.append(np.frombuffer(expand.decompress(a), ENTRY))
-                texts.append(np.frombuffer(expand.decompress(b), np.uint8))
-            yield batch.filter(pa.array(~inner))
-        if not entries:
-            return
-        e, data = np.concatenate(entries), np.concatenate(texts)
-        del entries, texts
-        e = e.copy()
-        array = EnhancedSuffixArray(e, data, length)
-        doc = e["doc"][array.entry]
-        first, end, low, _ = array.repeats(length, doc)
-        member = ranges(first, end - first)
-        gone = member[doc[member] > np.repeat(low, end - first)]
-        e_of, start = array.entry[gone], (e["start"][array.entry] + array.offset)[gone]
-        order = np.lexsort((start, e["row"][e_of], e["doc"][e_of]))
-        e_of, start = e_of[order], start[order]
-        docs_, rows = e["doc"][e_of], e["row"][e_of]
-        head = runs_of(docs_, rows, start - np.arange(len(start)))
-        spans = np.zeros(len(head), SPAN)
-        spans["start"], spans["count"] = start[head], np.diff(np.r_[head, len(start)])
-        docs_, rows = docs_[head], rows[head]
-        head = runs_of(docs_, rows)
-        cut = np.r_[head, len(spans)]
-        none = pa.array([None] * len(head), pa.binary())
-        yield pa.record_batch([rows[head], np.zeros(len(head), np.int32), docs_[head], rows[head], none, binaries(spans, cut), np.zeros(len(head), np.int64)], ["key", "kind", "doc_id", "row", "a", "b", "n"])
+            inner = pa.array(batch.column("kind").to_numpy() == 0)
+            for key, a, b in zip(*(batch.column(c).filter(inner).to_pylist() for c in ("key", "a", "b")), strict=True):
+                packed.setdefault(key, []).append((a, b))
+            yield batch.filter(pc.invert(inner))
+        docs_, rows, spans = [], [], []
+        while packed:  # a bucket at a time; the others wait compressed
+            _, both = packed.popitem()
+            e = np.concatenate([_unpack(expand.decompress(a)) for a, _ in both])
+            data = np.concatenate([np.frombuffer(expand.decompress(b), np.uint8) for _, b in both])
+            for found, out in zip(_repeats(e, data, length), (docs_, rows, spans), strict=True):
+                out.append(found)
+        if spans:
+            yield from _spans_by_group(np.concatenate(docs_), np.concatenate(rows), np.concatenate(spans), n)
 
     def finish(batches):
-        """Sorted by document: its spans (kind 0), then its rows."""
-        expand = zstandard.ZstdDecompressor()
-        of, spans = None, []
-        for batch in batches:
+        for batch in expanded(batches):
             out = []
-            for kind, doc, row, a, b, size in zip(*(batch.column(c).to_pylist() for c in ("kind", "doc_id", "row", "a", "b", "n")), strict=True):
-                if (doc, row) != of:
-                    of, spans = (doc, row), []
-                if not kind:
-                    spans.append(b)
-                    continue
-                own = np.frombuffer(b"".join([*spans, b or b""]), SPAN)
-                text = expand.decompress(a) if a else b""
+            for doc, row, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                own = np.frombuffer(b"".join(f["a"] for f in found or () if f["row"] == row), SPAN)
                 out.append((doc, *cut_out(text, own["start"], own["count"].astype(np.int64) + length - 1)))
-            if out:
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    rows = known.withColumn("row", F.xxhash64("text")).join(names, "doc_id", "left").select("doc_id", "row", "text", F.coalesce("names", F.array().cast("array<binary>")).alias("names"))
-    settled = rows.mapInArrow(send, MOVED).repartition(n, "key").mapInArrow(settle, MOVED)
-    found = settled.repartition(n, "doc_id", "row").sortWithinPartitions("doc_id", "row", "kind").mapInArrow(finish, RESULT)
+            cols = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    # Both joins deal the texts by doc_id alike, so that Spark moves them once and reads them twice.
+    rows = squeezed(known)
+    named = rows.join(names, "doc_id").select("doc_id", "row", "text", "names")
+    spans = named.mapInArrow(send, MOVED).repartition(n, "key").mapInArrow(settle, MOVED)
+    spans = spans.select("key", "a").repartition(n, "key").mapInArrow(gather_spans, "doc_id long, found array<struct<row: long, a: binary>>")
+    found = rows.join(spans, "doc_id", "left").select("doc_id", "row", "text", "found").mapInArrow(finish, RESULT)
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     unknown = docs.filter("doc_id IS NULL").select(
         "doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.array().cast("array<struct<start: int, end: int>>").alias("spans")
@@ -246,6 +218,61 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     return found.unionByName(unknown)
 
 
+def _repeats(e: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, rows and spans of the windows that a smaller document has too."""
+    array = EnhancedSuffixArray(e, data, length)
+    doc = e["doc"][array.entry]
+    first, end, low, _ = array.repeats(length, doc)
+    member = ranges(first, end - first)
+    gone = member[doc[member] > np.repeat(low, end - first)]
+    of, start = array.entry[gone], (e["start"][array.entry] + array.offset)[gone]
+    order = np.lexsort((start, e["row"][of], e["doc"][of]))
+    of, start = of[order], start[order]
+    docs, rows = e["doc"][of], e["row"][of]
+    head = runs_of(docs, rows, start - np.arange(len(start)))
+    spans = np.zeros(len(head), SPAN)
+    spans["start"], spans["count"] = start[head], np.diff(np.r_[head, len(start)])
+    return docs[head], rows[head], spans
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    """ENTRY rows from their columns, one after the other."""
+    out = np.zeros(len(data) // ENTRY.itemsize, ENTRY)
+    at = 0
+    for f in ENTRY.names:
+        out[f] = np.frombuffer(data, ENTRY[f], len(out), at)
+        at += len(out) * ENTRY[f].itemsize
+    return out
+
+
+def _spans_by_group(docs: np.ndarray, rows: np.ndarray, spans: np.ndarray, groups: int):
+    """Rows of kind 1: spans with their documents, packed by groups of documents, under whose key they travel."""
+    if not len(spans):
+        return
+    out = np.zeros(len(spans), FOUND)
+    out["doc"], out["row"], out["span"] = docs, rows, spans
+    group = (mix64(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    head = runs_of(group)
+    none = pa.array([None] * len(head), pa.binary())
+    yield pa.record_batch([group[head], np.ones(len(head), np.int32), binaries(out[order], np.r_[head, len(out)]), none], NAMES)
+
+
+def gather_spans(batches):
+    """All groups of a task: one row for each document."""
+    packed = [utf8(batch.column("a"))[0] for batch in batches]
+    found = np.concatenate(packed).view(FOUND) if packed else np.zeros(0, FOUND)
+    if not len(found):
+        return
+    found = found[np.lexsort((found["span"]["start"], found["row"], found["doc"]))]
+    head = runs_of(found["doc"], found["row"])
+    doc = found["doc"][head]
+    each = pa.StructArray.from_arrays([pa.array(found["row"][head].astype(np.int64)), binaries(found["span"], np.r_[head, len(found)])], ["row", "a"])
+    first = runs_of(doc)
+    yield pa.record_batch([doc[first], pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), each)], ["doc_id", "found"])
+
+
 def cut_out(text: bytes, starts: np.ndarray, lens: np.ndarray):
     """Bytes, removed bytes, removed runs, hash of the rest, and the runs."""
     if not len(starts):

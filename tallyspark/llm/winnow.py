@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +135,7 @@ def short_name(name: np.ndarray, bits: int) -> np.ndarray:
     return ((name >> np.uint64(64 - bits)) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF))
 
 
-PACKED = "key long, kind int, base long, a binary, b binary"
+PACKED = "key long, kind int, doc_id long, a binary, b binary"
 
 
 def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
@@ -145,6 +146,7 @@ def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
     bits, n = bucket_bits(docs.sparkSession), shuffle_partitions(docs)
 
     def send(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches):
             x64, x32, offs = tokens(batch)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -163,28 +165,30 @@ def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
             again = np.repeat(many, np.diff(np.r_[first, len(name)]))
             yield from _by_document(short_name(name[again], bits), doc[again])
             name, doc = name[first], doc[first]
+            order = np.lexsort((doc, name >> np.uint64(64 - bits)))  # by document within a bucket: the steps compress well
+            name, doc = name[order], doc[order]
             cut = np.searchsorted(name >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            low = int(doc.min())
-            wide = int(doc.max()) - low >= 2**32
-            rows = pa.record_batch(
-                [np.arange(1 << bits), np.zeros(1 << bits, np.int32), np.full(1 << bits, 0 if wide else low), binaries(name.astype(np.uint32), cut), binaries(doc if wide else (doc - low).astype(np.uint32), cut)],
-                ["key", "kind", "base", "a", "b"],
-            )
-            yield rows.filter(pa.array(np.diff(cut) > 0))
+            full = np.flatnonzero(np.diff(cut))
+            step = np.diff(doc, prepend=0)
+            step[cut[full]] = doc[cut[full]]
+            packed = [squeeze.compress(step[cut[i] : cut[i + 1]].tobytes()) for i in full]
+            head = binaries(name.astype(np.uint32), np.r_[cut[full], len(name)])
+            yield pa.record_batch([full, np.zeros(len(full), np.int32), np.zeros(len(full), np.int64), head, pa.array(packed, pa.binary())], ["key", "kind", "doc_id", "a", "b"])
 
     def settle(batches):
+        expand = zstandard.ZstdDecompressor()
         names, docs_ = [], []
         for batch in batches:
-            for key, kind, base, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
+            for key, kind, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 if kind:
                     continue
                 low = np.frombuffer(a.as_buffer(), np.uint32)
                 names.append((np.uint64(key) << np.uint64(32)) | low.astype(np.uint64))
-                docs_.append(np.frombuffer(b.as_buffer(), np.int64 if len(b.as_buffer()) == 8 * len(low) else np.uint32).astype(np.int64) + base)
+                docs_.append(np.cumsum(np.frombuffer(expand.decompress(b.as_py()), np.int64)))
             if batch.num_rows:
                 done = batch.filter(pc.equal(batch.column("kind"), 1))
                 if done.num_rows:
-                    yield pa.record_batch([done.column("base"), done.column("a")], ["doc_id", "names"])
+                    yield pa.record_batch([done.column("doc_id"), done.column("a")], ["doc_id", "names"])
         if not names:
             return
         name, doc = np.concatenate(names), np.concatenate(docs_)
@@ -195,7 +199,7 @@ def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
         apart = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         keep = np.repeat(apart, np.diff(np.r_[first, len(name)]))
         for rows in _by_document(name[keep], doc[keep]):
-            yield pa.record_batch([rows.column("base"), rows.column("a")], ["doc_id", "names"])
+            yield pa.record_batch([rows.column("doc_id"), rows.column("a")], ["doc_id", "names"])
 
     sent = docs.select("doc_id", "text").mapInArrow(send, PACKED).repartition(n, "key")
     return sent.mapInArrow(settle, "doc_id long, names binary").groupBy("doc_id").agg(F.collect_list("names").alias("names"))
@@ -210,7 +214,7 @@ def _by_document(name: np.ndarray, doc: np.ndarray):
     first = runs(doc)
     ids = doc[first]
     yield pa.record_batch(
-        [ids, np.ones(len(ids), np.int32), ids, binaries(name, np.r_[first, len(name)]), pa.array([None] * len(ids), pa.binary())], ["key", "kind", "base", "a", "b"]
+        [ids, np.ones(len(ids), np.int32), ids, binaries(name, np.r_[first, len(name)]), pa.array([None] * len(ids), pa.binary())], ["key", "kind", "doc_id", "a", "b"]
     )
 
 
