@@ -1,8 +1,8 @@
 """The corpus pipeline: from documents to token ids in five stages, each written as Parquet and read again.
 
 Stages keep clean documents: the classifier drops what it rejects, near-duplicate groups keep their smallest document,
-repeated passages stay in the document that has them first, and mixing drops only documents of which the fitted rates
-want less than 0.3 of. Columns stay those of documents until the last stage; n_chars follows the text.
+repeated passages stay in the document that has them first, and mixing drops only documents more likely not good of which the fitted rates
+want less than half. Columns stay those of documents until the last stage; n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from tallyspark.llm.sentencepiece_bpe import encode_documents
 from tallyspark.llm.shared import written
 from tallyspark.llm.soft_mixing import label_domains, mix
 
-#: All tokens are wanted from good documents, so that their rates are 1 or more; little from the others.
-WANTED = {"good": 1.0, "low": 0.01, "toxic": 0.02}
+#: Shares of all tokens; a document that is more likely good than not stays whatever its rate.
+WANTED = {"good": 0.9, "low": 0.02, "toxic": 0.08}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate is 0.3 or more."""
+    """All documents but those whose fitted rate is below a half and that are more likely not good."""
     rates = mix(docs, label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), WANTED)
-    spare = rates.filter("rate < 0.3").select("doc_id").distinct()
+    spare = rates.filter("rate < 0.5 AND p[0] < 0.5").select("doc_id").distinct()
     return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
 
 

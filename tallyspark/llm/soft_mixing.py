@@ -27,26 +27,26 @@ from tallyspark.llm.shared import forget, written
 
 PLACES = 4096
 SHRINK = 20
-#: Character kinds whose shares are binned: (characters, bounds in thousandths of the text's length).
-KINDS = (("#*$%&|<>", (2, 20, 100)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", (5, 60, 200)), ("!", (2, 20)), ("0123456789", (2, 50)), (".", (1, 8, 40)))
+TEMPER = 25
+#: Character kinds whose shares are binned: (pattern of one character, bounds in thousandths of the text's length).
+KINDS = (("[#*$%&|<>]", (2, 20, 100)), ("[A-Z]", (5, 60, 200)), ("!", (2, 20)), ("[.]", (1, 8, 40)))
 
 
 def evidence(docs: DataFrame, *keep: str) -> DataFrame:
     """Per row of docs (text and columns to keep): n_tokens, and found, the distinct places of its words and bins."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = F.char_length("text")
+    one = docs.select(*keep, text.alias("text"))
+    # Each kind is counted once, in a step of its own: bins look at a count several times.
+    two = one.select(*keep, F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)).alias("words"), F.char_length("text").cast("long").alias("size"), *(F.regexp_count("text", F.lit(kind)).cast("long").alias(f"n_{i}") for i, (kind, _) in enumerate(KINDS)))
     bins, at = [], PLACES
-    for characters, bounds in KINDS:
-        share = 1000 * (size - F.char_length(F.translate("text", characters, "")))
+    for i, (_, bounds) in enumerate(KINDS):
         place = F.lit(at)
         for b in bounds:
-            place = place + F.when(share > b * size, 1).otherwise(0)
+            place = place + F.when(1000 * F.col(f"n_{i}") > b * F.col("size"), 1).otherwise(0)
         bins.append(place.cast("int"))
         at += len(bounds) + 1
-    one = docs.select(*keep, text.alias("text"))
-    two = one.select(*keep, F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)).alias("words"), F.array(*bins).alias("bins"))
     places = F.array_distinct(F.transform("words", lambda w: F.pmod(F.hash(w), F.lit(PLACES))))
-    return two.select(*keep, F.size("words").cast("long").alias("n_tokens"), F.concat(places, "bins").alias("found"))
+    return two.select(*keep, F.size("words").cast("long").alias("n_tokens"), F.concat(places, F.array(*bins)).alias("found"))
 
 
 WIDTH = PLACES + sum(len(b) + 1 for _, b in KINDS)
@@ -80,12 +80,19 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
 
 
 def posteriors(found: Column, prior: list[float], weights: list[list[float]]) -> list[Column]:
-    """Columns of the domains' log odds against the first."""
+    """Columns of the domains' log odds against the first.
+
+    A text's words depend on each other, so that the sum of their evidence grows too fast with its length: it is
+    drawn in by TEMPER / (TEMPER + places), which bounds it.
+    """
     out = []
+    n = F.size(found) - len(KINDS)
+    words, bins = F.slice(found, F.lit(1), n), F.slice(found, F.lit(-len(KINDS)), F.lit(len(KINDS)))
+    share = F.lit(float(TEMPER)) / (TEMPER + n)
     for j in range(1, len(prior)):
         numbers = ",".join(f"{a - b:.6g}" for a, b in zip(weights[j], weights[0], strict=True))
         table = F.expr(f"cast(split('{numbers}', ',') as array<double>)")  # folded into one literal
-        out.append(F.aggregate(found, F.lit(prior[j] - prior[0]), _adding(table)))
+        out.append(F.aggregate(bins, F.lit(prior[j] - prior[0]), _adding(table)) + share * F.aggregate(words, F.lit(0.0), _adding(table)))
     return out
 
 
