@@ -30,6 +30,8 @@ from tallyspark.llm.winnow import Windows, bucket_bits, is_repeated, repeated_an
 ENTRY = np.dtype([("name", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<i4"), ("lead", "u1"), ("count", "u1"), ("left", "<i2")])
 #: Windows start..start+count-1 of a document's row are repeats.
 SPAN = np.dtype([("start", "<i4"), ("count", "<i4")])
+#: Suffixes that are sorted at a time, about.
+PART = 300_000
 FOUND = np.dtype([("doc", "<i8"), ("row", "<u4"), ("span", SPAN)])
 MOVED = "key long, kind int, a binary, b binary"
 NAMES = ["key", "kind", "a", "b"]
@@ -132,6 +134,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     if not 16 <= length <= 200:
         raise ValueError("length must be 16 to 200")
     windows, bits, n = Windows(length), bucket_bits(docs.sparkSession), shuffle_partitions(docs)
+    few = max(6, bits - 3)  # buckets of runs: each batch sends one row to each
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter("doc_id IS NOT NULL")
     names = repeated_anchors(known, windows, byte_tokens)
@@ -169,7 +172,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             e, low = e[order], low[order]
             size = e["count"].astype(np.int64) + length - 1
             text = data[ranges(low, size)]
-            cut = np.searchsorted(e["name"] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            cut = np.searchsorted(e["name"] >> np.uint64(64 - few), np.arange((1 << few) + 1, dtype=np.uint64))
             bytes_at = np.r_[0, np.cumsum(size)][cut]
             used = np.flatnonzero(np.diff(cut))
             columns = [np.ascontiguousarray(e[f]) for f in ENTRY.names]
@@ -190,8 +193,13 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             _, both = packed.popitem()
             e = np.concatenate([_unpack(expand.decompress(a)) for a, _ in both])
             data = np.concatenate([np.frombuffer(expand.decompress(b), np.uint8) for _, b in both])
-            for found, out in zip(_repeats(e, data, length), (docs_, rows, spans), strict=True):
-                out.append(found)
+            size = e["count"].astype(np.int64) + length - 1
+            text_at = np.cumsum(size) - size
+            parts = max(1, int(e["count"].sum()) // PART)
+            for r in range(parts):  # equal windows have one anchor name, so parts by name are apart
+                mine = e["name"] % np.uint64(parts) == r
+                for found, out in zip(_repeats(e[mine], data[ranges(text_at[mine], size[mine])], length), (docs_, rows, spans), strict=True):
+                    out.append(found)
         if spans:
             yield from _spans_by_group(np.concatenate(docs_), np.concatenate(rows), np.concatenate(spans), n)
 
