@@ -170,6 +170,27 @@ def test_language_models_equal_brute_force(spark, odd_docs):
         assert a[2:] == pytest.approx(b[2:], abs=1e-9)
 
 
+def test_language_models_tell_every_word_apart(spark):
+    """66,000 words that occur once each, more than any table of 16-bit numbers holds, and pairs among them."""
+    rare = [f"r{i}" for i in range(66_000)]
+    texts, wishes, weight = [" ".join(rare), "r1 r2 common common", "r2 r1 common x", "x R65999 r65998"], ["r2 r1 r1 fresh", "common fresh fresh"], 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in score_documents(rows, spark.createDataFrame([(t,) for t in wishes], "text string")).collect()}
+    docs, wanted = [words(t.translate(LOWER)) for t in texts], [words(t) for t in wishes]
+    v = len({w for t in docs + wanted for w in t})
+
+    def model(some):
+        one, two = Counter(w for t in some for w in t), Counter(p for t in some for p in zip(["^", *t], t, strict=False))
+        n = sum(one.values())
+        return lambda a, w: (two[a, w] + weight * (one[w] + 1) / (n + v)) / ((len(some) if a == "^" else one[a]) + weight)
+
+    background, wish = model(docs), model(wanted)
+    for i, t in enumerate(docs):
+        loss = [sum(-math.log(m(a, w)) for a, w in zip(["^", *t], t, strict=False)) / len(t) for m in (wish, background)]
+        assert [got[i]["loss_target"], got[i]["loss_background"]] == pytest.approx(loss, abs=1e-9)
+    assert score_documents(rows.limit(0), spark.createDataFrame([], "text string")).count() == 0
+
+
 def test_mixing_meets_targets_and_ignores_what_it_must(spark, odd_docs):
     d = "/root/testdata/sf0.01"
     labels = label_domains(spark.read.parquet(f"{d}/labels.parquet"))
