@@ -1,9 +1,10 @@
 """Licence scans by a positional index of rare template words.
 
 Method: the words of licence templates are indexed with their places. A first pass counts in how many documents each
-of these words stands (a table no larger than the templates' vocabulary); the second looks up each document's
-highest-IDF licence words, turns every posting into the place where its template would begin, and keeps beginnings
-on which several different rare words agree. Around such a beginning the template is laid on the document word by
+of these words stands (a table no larger than the templates' vocabulary); the second looks up every place of each
+template's own highest-IDF words, turns it into the place where that template would begin, and keeps beginnings on
+which several different rare words agree. A template has so many of them looked up that enough agree wherever as much
+of it stands as a match needs: this misses no match, however many templates or stray words a document has. Around such a beginning the template is laid on the document word by
 word; it is a match if enough words stand at their relative places and one of the template's key phrases stands
 complete there. Exact phrases give base labels wherever they stand.
 
@@ -93,7 +94,24 @@ class LicenseIndex:
                 postings.setdefault(code, []).append((t, at))
         flat = [(c, t, at) for c in range(len(self.words)) for t, at in postings.get(c, [])]
         self.posting = np.array(flat, np.int64).reshape(-1, 3)
-        self.posting_at = np.searchsorted(self.posting[:, 0], np.arange(len(self.words) + 1))
+
+    def looked_up(self, idf: np.ndarray, rarest: int, agree: int, cover: float) -> tuple[np.ndarray, list[int]]:
+        """Postings of each template's rarest words, and how many different ones agree on the beginning of any match.
+
+        A match may lack n words. With more than n places beyond those of the agree - 1 words that have most, agree
+        different words are left.
+        """
+        chosen, needed = set(), []
+        for t, body in enumerate(self.bodies):
+            code, times = np.unique(body, return_counts=True)
+            order = np.lexsort((code, -idf[code]))
+            lacks = len(body) - max(math.ceil(cover * len(body) - 1e-9), 1)
+            sure = lambda m, a, times=times, order=order, lacks=lacks: times[order[:m]].sum() - np.sort(times[order[:m]])[::-1][: a - 1].sum() > lacks
+            need = max((a for a in range(1, min(agree, len(code)) + 1) if sure(len(code), a)), default=1)
+            most = next((m for m in range(min(rarest, len(code)), len(code)) if sure(m, need)), len(code))
+            chosen |= {(int(c), t) for c in code[order[:most]]}
+            needed.append(need)
+        return self.posting[[(c, t) in chosen for c, t, _ in self.posting.tolist()]], needed
 
     def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all words of all rows, and the rows' bounds."""
@@ -117,8 +135,8 @@ def stands(codes: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.ndarray
 def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict = PHRASES, rarest: int = 8, agree: int = 3, cover: float = 0.6) -> DataFrame:
     """Per row of docs (doc_id, text): words, base phrases and their places, base labels, all labels, a score and the matched spans.
 
-    rarest: how many of a document's licence words, by IDF, are looked up; agree: how many different ones must agree on
-    a beginning (one less than this in a template met by fewer); cover: the share of a template's words that must stand
+    rarest: how many of a template's words, by IDF, are looked up at least; agree: how many different ones must agree on
+    a beginning (fewer in a template too short to promise as many); cover: the share of a template's words that must stand
     at their places. score: 1 with a base phrase, else the best cover of a match.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -138,6 +156,8 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict =
     n_docs = docs.count()
     idf = np.array([math.log((1 + n_docs) / (1 + found.get(c, 0))) for c in range(len(index.words))])
 
+    looked_up, needed = index.looked_up(idf, rarest, agree, cover)
+
     def scan(batches):
         for batch in slices(batches):
             codes, bounds = index.read(batch.column("text"))
@@ -153,7 +173,7 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict =
                 np.maximum.at(last, row[at], at - bounds[row[at]])
                 for r in np.unique(row[at]).tolist():
                     base[r].add(label)
-            spans = _matches(index, idf, codes, bounds, row, hot, rarest, agree, cover, n)
+            spans = _matches(index, looked_up, needed, codes, bounds, row, hot, cover, n)
             labels = [base[r] | {s["label"] for s in spans[r]} for r in range(n)]
             score = [1.0 if base[r] else max((s["score"] for s in spans[r]), default=0.0) for r in range(n)]
             none = pa.array(n_base == 0)
@@ -168,27 +188,23 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict =
     return docs.mapInArrow(scan, RESULT)
 
 
-def _matches(index: LicenseIndex, idf: np.ndarray, codes, bounds, row, hot, rarest: int, agree: int, cover: float, n: int) -> list[list[dict]]:
+def _matches(index: LicenseIndex, posting: np.ndarray, needed: list[int], codes, bounds, row, hot, cover: float, n: int) -> list[list[dict]]:
     """Each row's template matches."""
     out: list[list[dict]] = [[] for _ in range(n)]
-    if not len(hot):
+    posting_at = np.searchsorted(posting[:, 0], np.arange(len(index.words) + 1))
+    per = np.diff(posting_at)[codes[hot]]
+    at, per = hot[per > 0], per[per > 0]
+    if not len(at):
         return out
-    # Each row's rarest licence words, all their places.
-    v = len(index.words)
-    pair = np.unique(row[hot] * v + codes[hot])
-    pair = pair[np.lexsort((pair % v, -idf[pair % v], pair // v))]
-    of = pair // v
-    order = np.arange(len(pair)) - np.searchsorted(of, of)
-    chosen = np.sort(pair[order < rarest])
-    mine = row[hot] * v + codes[hot]
-    at = hot[chosen[np.minimum(np.searchsorted(chosen, mine), len(chosen) - 1)] == mine]
-    # Their postings, as (row, template, beginning); a beginning counts each word once.
-    per = np.diff(index.posting_at)[codes[at]]
-    which = np.repeat(index.posting_at[codes[at]], per) + np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-    template, begin, code = index.posting[which, 1], np.repeat(at, per) - index.posting[which, 2], np.repeat(codes[at], per)
-    rows = np.repeat(row[at], per)
-    votes, number = np.unique(np.unique(np.c_[rows, template, begin, code], axis=0)[:, :3], axis=0, return_counts=True)
-    for (r, t, b), _ in zip(votes[number >= agree].tolist(), number[number >= agree].tolist(), strict=True):
+    # Postings as (row, template, beginning, word); a beginning counts each word once.
+    which = np.repeat(posting_at[codes[at]], per) + np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    votes = np.c_[np.repeat(row[at], per), posting[which, 1], np.repeat(at, per) - posting[which, 2], np.repeat(codes[at], per)]
+    votes = votes[np.lexsort(votes.T[::-1])]
+    votes = votes[np.r_[True, (votes[1:] != votes[:-1]).any(axis=1)], :3]
+    first = np.flatnonzero(np.r_[True, (votes[1:] != votes[:-1]).any(axis=1)])
+    number = np.diff(np.r_[first, len(votes)])
+    votes = votes[first]
+    for r, t, b in votes[number >= np.array(needed)[votes[:, 1]]].tolist():
         body = index.bodies[t]
         lo, hi = max(b, int(bounds[r])), min(b + len(body), int(bounds[r + 1]))
         same = codes[lo:hi] == body[lo - b : hi - b]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import queries
 from tallyspark.llm.block_knn import nearest
 from tallyspark.llm.factor_machine import score_quality
-from tallyspark.llm.license_scan import scan_licenses
+from tallyspark.llm.license_scan import TEMPLATES, scan_licenses
 from tallyspark.llm.lm_scoring import read_words, score_documents
 from tallyspark.llm.quality_rules import judge_quality
 from tallyspark.llm.sentencepiece_bpe import encode_batch, encode_documents, load
@@ -74,6 +74,28 @@ def test_license_phrases_and_templates(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_side_by_side(spark):
+    """Two to seven templates in a text, stray rare words, changed and cut copies: against every place tried."""
+    body = {k: t for k, (t, _) in TEMPLATES.items()}
+    names, stray, rng = list(body), " ".join(w for t, _ in TEMPLATES.values() for w in t.split()[::-1]), random.Random(7)
+    texts = [f"{body[a]} and {body[b]}" for a in names for b in names if a != b]
+    texts += [" x ".join(body[k] for k in names[i:] + names[:i]) for i in range(7)] + [" y ".join(body[k] for k in names[i : i + 3]) for i in range(5)]
+    texts += [f"{stray} {body[k]} {stray}" for k in names] + [" ".join(body[k].split()[5:]) for k in names]
+    texts += [" ".join(w if rng.random() < 0.7 else "zzz" for w in body[k].split()) + " " + stray for k in names for _ in range(10)]
+    got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        w, want = texts[r["doc_id"]].split(), set()
+        for k, (t, keys) in TEMPLATES.items():
+            t = t.split()
+            for b in range(-len(t) + 1, len(w)):
+                lo, hi = max(b, 0), min(b + len(t), len(w))
+                same = sum(x == y for x, y in zip(w[lo:hi], t[lo - b : hi - b], strict=True)) / len(t)
+                if same >= 0.6 and any(f" {key} " in f" {' '.join(w[lo:hi])} " for key in keys):
+                    want.add((k, lo, hi))
+        assert {(s["label"], s["start"], s["end"]) for s in r["spans"]} == want
+    assert {s["label"] for r in got if r["doc_id"] < 42 for s in r["spans"]} == set(names)
+
+
 def test_quality_counts_and_verdicts(spark, odd_docs):
     docs = odd_docs.select("doc_id", "text").unionByName(spark.read.parquet(str(DATA / "documents.parquet")).select("doc_id", "text"))
     want = Counter()
