@@ -167,12 +167,19 @@ def inherit(rows: DataFrame, key: str, parents: str, value: str) -> DataFrame:
 
 
 def nearest_peers(rows: DataFrame, group: list[str], key: str, value: str, n: int) -> DataFrame:
-    """The n rows of a group nearest in one value (ties to the smaller key), from its n neighbours on each side in order."""
-    order = W.partitionBy(*group).orderBy(value, key)
-    around = rows.withColumn("_near", F.collect_list(F.struct(F.col(key).alias("peer"), F.col(value).alias("peer_value"))).over(order.rowsBetween(-n, n)))
-    # With ties beyond n neighbours of one value any n of them are as near; the smallest keys among those seen are kept.
-    pairs = around.select(*group, key, value, F.explode("_near").alias("p")).select(*group, key, F.col("p.peer"), F.abs(F.col("p.peer_value") - F.col(value)).alias("distance")).filter(F.col("peer") != F.col(key))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy(*group, key).orderBy("distance", "peer"))).filter(F.col("rank") <= n)
+    """The n rows of a group nearest in one value (ties to the smaller key), whatever number of rows share a value.
+
+    A value's n + 1 smallest keys are all that can be among the nearest, and n distinct values on each side hold n rows
+    at least. A null value is farther than any other.
+    """
+    some = rows.withColumn("_place", F.row_number().over(W.partitionBy(*group, value).orderBy(key))).filter(F.col("_place") <= n + 1)
+    values = some.groupBy(*group, value).agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(key).alias("k"))).alias("_own"))
+    near = F.flatten(F.collect_list("_own").over(W.partitionBy(*group).orderBy(value).rowsBetween(-n, n)))
+    around = values.select(*(F.col(g).alias(f"_{g}") for g in group), F.col(value).alias("_value"), near.alias("_near"))
+    same = [F.col(g) == F.col(f"_{g}") for g in group] + [F.col(value).eqNullSafe(F.col("_value"))]
+    others = F.transform(F.filter("_near", lambda x: x["k"] != F.col(key)), lambda x: F.struct((x["v"] - F.col(value)).isNull().alias("unknown"), F.abs(x["v"] - F.col(value)).alias("distance"), x["k"].alias("peer")))
+    best = rows.join(around, same).select(*group, key, F.posexplode(F.slice(F.array_sort(others), 1, n)).alias("_at", "_p"))
+    return best.select(*group, key, "_p.peer", "_p.distance", (F.col("_at") + 1).alias("rank"))
 
 
 def nearest_points(points: DataFrame, pool: DataFrame, key: str, axes: list[str], n: int) -> DataFrame:

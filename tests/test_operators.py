@@ -194,3 +194,14 @@ def test_pushdown_and_pruning(spark):
     assert inspect.read_columns(lines) == ["l_orderkey:bigint,l_quantity:double"]
     assert inspect.exchanges(lines) == 0
     assert inspect.exchanges(aggregates.band_counts(lines, ["l_orderkey"], F.lit(0), 1)) == 1
+
+
+def test_nearest_peers_with_ties(spark):
+    """The advice's case, then values of which many rows share one, against all pairs."""
+    rows = [("a", 1, 9.0), ("a", 2, 9.0), ("a", 3, 9.5), ("a", 4, 9.6), ("a", 5, 9.7), ("a", 6, 10.0)]
+    rows += [("b", 10 + i, float(i * i % 7)) for i in range(40)] + [("c", 60, 1.0), ("c", 61, 1.0)]
+    got = {}
+    for r in joins.nearest_peers(spark.createDataFrame(rows, "g string, k int, v double"), ["g"], "k", "v", 4).orderBy("k", "rank").collect():
+        got.setdefault(r["k"], []).append(r["peer"])
+    assert got[6] == [5, 4, 3, 1]
+    assert got == {k: [p for _, p in sorted((abs(v - w), p) for h, p, w in rows if h == g and p != k)[:4]] for g, k, v in rows}
