@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyspark.operators import gates
+
 
 def band_counts(rows: DataFrame, keys: list[str], band: Column, bands: int) -> DataFrame:
     """Per key: n, and the numbers of each band 0 to bands - 1 in columns d0, d1, ..."""
@@ -83,7 +85,11 @@ def best_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def stage_counts(rows: DataFrame, keys: list[str], stage: str, last: int) -> DataFrame:
-    """How many stopped at each stage and how many reached it; stages without rows are there."""
+    """How many stopped at each stage and how many reached it; stages without rows are there.
+
+    A gate stops the run if a row's stage is null or not one of 0 to last: it would be in no count.
+    """
+    gates.require(gates.valid(rows, f"{stage} is 0 to {last}", F.col(stage).isin(list(range(last + 1))), *keys, stage))
     stops = rows.groupBy(*keys, stage).agg(F.count("*").alias("stopped"))
     grid = rows.select(*keys).distinct().withColumn(stage, F.explode(F.sequence(F.lit(0), F.lit(last))))
     full = grid.join(stops, [*keys, stage], "left").withColumn("stopped", F.coalesce("stopped", F.lit(0).cast("long")))

@@ -205,3 +205,12 @@ def test_nearest_peers_with_ties(spark):
         got.setdefault(r["k"], []).append(r["peer"])
     assert got[6] == [5, 4, 3, 1]
     assert got == {k: [p for _, p in sorted((abs(v - w), p) for h, p, w in rows if h == g and p != k)[:4]] for g, k, v in rows}
+
+
+@pytest.mark.parametrize("stage", [3, -1, None])
+def test_stage_counts_drop_no_row(spark, stage):
+    schema = "k string, s int"
+    whole = aggregates.stage_counts(spark.createDataFrame([("a", 0), ("a", 2)], schema), ["k"], "s", 2).orderBy("s")
+    assert [(r["stopped"], r["reached"]) for r in whole.collect()] == [(1, 2), (0, 1), (1, 1)]
+    with pytest.raises(gates.GateError, match="s is 0 to 2"):
+        aggregates.stage_counts(spark.createDataFrame([("a", 0), ("a", stage)], schema), ["k"], "s", 2)
