@@ -41,7 +41,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_passages(table(spark, sf_dir, "documents"), 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeated_passages(table(spark, sf_dir, "documents"), 50, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

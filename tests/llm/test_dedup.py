@@ -3,13 +3,17 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tallyspark.llm import debruijn_dedup
 from tallyspark.llm.components import components
-from tallyspark.llm.debruijn_dedup import compact_paths, remove_repeated_passages
+from tallyspark.llm.debruijn_dedup import compact_paths, place_on_unitigs, remove_repeated_passages
 from tallyspark.llm.minhash_dedup import near_duplicates
+from tallyspark.llm.shared import Scratch
 from tallyspark.llm.suffix_dedup import lcp_intervals, remove_repeats
 from tests.llm.conftest import LOWER, words
 
@@ -95,11 +99,51 @@ def test_interval_tree_is_that_of_a_naive_suffix_array(s, least):
         assert (tree[parent][:3] == max(outer)) if outer else parent == -1
 
 
-def test_paths_compact_and_circles_stay(spark):
-    edges = [(1, 10, 11, 5), (2, 11, 12, 5), (3, 12, 13, 5), (4, 12, 14, 5), (5, 14, 15, 5), (6, 15, 16, 6), (7, 20, 21, 5), (8, 21, 20, 5)]
-    got = dict(map(tuple, compact_paths(spark.createDataFrame(edges, "edge long, u long, v long, first_doc long")).collect()))
-    assert [got[i] for i in (1, 2, 3, 4, 5, 6)] == [1, 1, 3, 4, 4, 6]
-    assert {got[7], got[8]} == {7, 8}
+def test_paths_compact_where_their_source_goes_on(spark):
+    """Node 12 branches, at 15 the source changes, edges 8 and 9 share a node but not a place in the source."""
+    edges = [(1, 10, 11, 1, 5, 0), (2, 11, 12, 3, 5, 1), (3, 12, 13, 1, 5, 4), (4, 12, 14, 2, 5, 30), (5, 14, 15, 1, 5, 32), (6, 15, 16, 1, 6, 33), (8, 20, 21, 1, 5, 50), (9, 21, 22, 1, 5, 70)]
+    rows = spark.createDataFrame([(e, u, v, w, d, 1, s) for e, u, v, w, d, s in edges], "edge long, u long, v long, windows int, doc long, row long, start int")
+    scratch = Scratch()
+    got = dict(map(tuple, compact_paths(rows, scratch).collect()))
+    assert [got[i] for i in (1, 2, 3, 4, 5, 6, 8, 9)] == [1, 1, 3, 4, 4, 6, 8, 9]
+    placed = {r["edge"]: (r["unitig"], r["offset"], r["doc"], r["start"]) for r in place_on_unitigs(rows, scratch).collect()}
+    assert (placed[2], placed[5], placed[9]) == ((1, 1, 5, 0), (4, 2, 5, 30), (9, 0, 5, 70))
+
+
+def test_unitigs_decide_what_goes(spark, odd_docs, monkeypatch):
+    """With all edges on one unitig of the smallest source, other words would go, or verification would stop the run."""
+    want = expected_words(pairs(odd_docs), 50)
+    monkeypatch.setattr(debruijn_dedup, "compact_paths", lambda edges, scratch: edges.select("edge", F.lit(1).alias("unitig")))
+    try:
+        got = sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])) for r in remove_repeated_passages(odd_docs, 50).collect())
+    except Exception:  # noqa: BLE001
+        return
+    assert got != want
+
+
+def test_a_span_that_differs_from_its_source_stops_the_run(spark, odd_docs, monkeypatch):
+    """Coordinates that are wrong by a word, and runs of a batch that differ in a byte."""
+    own = debruijn_dedup.place_on_unitigs
+    monkeypatch.setattr(debruijn_dedup, "place_on_unitigs", lambda edges, scratch: own(edges, scratch).withColumn("start", F.col("start") + 1))
+    docs = spark.createDataFrame([(i, f"x{i} " + " ".join(f"p{j}" for j in range(70)) + f" y{i} z{i}") for i in (1, 2)], "doc_id long, text string").repartition(2, "doc_id")
+    with pytest.raises(ValueError, match="128 bits"):
+        remove_repeated_passages(docs, 50)
+    text, at, _ = debruijn_dedup.words_of(pa.array(["a b c", "a b d", "a bc"]))
+    same = lambda i, j, n: debruijn_dedup._same_words(text, at, np.array([i]), np.array([j]), np.array([n]))
+    same(0, 3, 2)
+    with pytest.raises(ValueError, match="128 bits"):
+        same(0, 3, 3)
+    with pytest.raises(ValueError, match="128 bits"):
+        same(0, 6, 2)
+
+
+def test_a_line_that_one_document_repeats(spark):
+    """One row for each run of a document, with all its places."""
+    line = " ".join(f"l{i}" for i in range(60))
+    rows = [(i, f"{i} " + " ".join([line] * (40 if i == 2 else 1)) + f" z{i}") for i in range(1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])) for r in remove_repeated_passages(docs, 50).collect())
+    assert got == expected_words(rows, 50)
 
 
 def test_components_of_a_path_a_star_and_a_pair(spark):
