@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.batches import WORD, binaries, covered, find_words, hash_words, mix64, ranges, slices, utf8
 from tallyspark.llm.shared import Scratch, forget, written
-from tallyspark.llm.winnow import Windows, bucket_bits, gram_hash, is_repeated, repeated_anchors, short_name
+from tallyspark.llm.winnow import Windows, gram_hash, is_repeated, repeated_anchors, short_name
 
 LOST = np.dtype([("start", "<i4"), ("count", "<i4")])
 DOCS = "doc_id long, row long, n_words long, kept_sha256 string, text binary, lost binary, runs array<struct<starts: array<int>, count: int, docs: long, name: long, s1: long, s2: long, nodes: array<long>>>"
@@ -72,7 +72,7 @@ def _sums(text: np.ndarray, at: np.ndarray, bounds: np.ndarray, keep: np.ndarray
     return [hashlib.sha256(whole[a : max(a, b - 1)]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def _runs_of_documents(windows: Windows, bits: int):
+def _runs_of_documents(windows: Windows):
     """Batches of (doc_id, row, text, names) to DOCS: a document without repeated anchors is finished, others carry their runs."""
     length, node = windows.length, windows.length - 1
 
@@ -86,7 +86,7 @@ def _runs_of_documents(windows: Windows, bits: int):
             of = np.searchsorted(bounds, at, side="right") - 1
             name = windows.names(x, at)
             low, high = windows.owned(at, rank, bounds[of], bounds[of + 1])
-            keep = (low <= high) & is_repeated(batch.column("names"), short_name(name, bits), of)
+            keep = (low <= high) & is_repeated(batch.column("names"), short_name(name), of)
             of, name, low, high, lead = of[keep], name[keep], low[keep], high[keep], (at - low)[keep]
             count = high - low + 1
             per = count + 1
@@ -332,12 +332,12 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50, keep_text: bool
     """
     if length < 4:
         raise ValueError("length must be 4 or more")
-    windows, bits, scratch = Windows(length), bucket_bits(docs.sparkSession), Scratch()
+    windows, scratch = Windows(length), Scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter("doc_id IS NOT NULL")
     names = repeated_anchors(known, windows, word_tokens)
     rows = known.withColumn("row", F.xxhash64("text")).join(names, "doc_id", "left").select("doc_id", "row", "text", F.coalesce("names", F.array().cast("array<binary>")).alias("names"))
-    told = written(rows.mapInArrow(_runs_of_documents(windows, bits), DOCS))
+    told = written(rows.mapInArrow(_runs_of_documents(windows), DOCS))
     runs = told.filter("text IS NOT NULL").select("doc_id", "row", F.inline("runs")).select("doc_id", "row", "starts", "s1", "s2")
     # Pieces of unitigs with a smaller source, at every place of their run in a document.
     lost = runs.join(repeat_graph(told.filter("text IS NOT NULL"), scratch), ["s1", "s2"]).select("doc_id", "row", "starts", F.filter("pieces", lambda p: p["doc"] < F.col("doc_id")).alias("pieces")).filter(F.size("pieces") > 0)

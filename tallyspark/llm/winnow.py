@@ -22,10 +22,10 @@ CHUNK = 1 << 16
 
 
 class Windows:
-    """Windows of ``length`` tokens and their k-mers, of half the length."""
+    """Windows of ``length`` tokens and their k-mers, of half the length if not said."""
 
-    def __init__(self, length: int):
-        self.length, self.k = length, length // 2
+    def __init__(self, length: int, k: int | None = None):
+        self.length, self.k = length, k or length // 2
         self.span = length - self.k + 1  # k-mers in a window
 
     def anchors(self, small: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +130,9 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def short_name(name: np.ndarray, bits: int) -> np.ndarray:
-    """What the exchange knows an anchor by: its bucket and 32 more bits. A clash only adds a candidate."""
-    return ((name >> np.uint64(64 - bits)) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF))
+def short_name(name: np.ndarray) -> np.ndarray:
+    """What a document is told of an anchor: 32 bits, beside those of its bucket. A clash only adds a candidate."""
+    return name.astype(np.uint32)
 
 
 PACKED = "key long, kind int, doc_id long, a binary, b binary"
@@ -163,7 +163,7 @@ def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
             first = runs(name)
             many = np.diff(np.r_[first, len(name)]) > 1
             again = np.repeat(many, np.diff(np.r_[first, len(name)]))
-            yield from _by_document(short_name(name[again], bits), doc[again])
+            yield from _by_document(short_name(name[again]), doc[again])
             name, doc = name[first], doc[first]
             order = np.lexsort((doc, name >> np.uint64(64 - bits)))  # by document within a bucket: the steps compress well
             name, doc = name[order], doc[order]
@@ -198,7 +198,7 @@ def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
         first = runs(name)
         apart = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         keep = np.repeat(apart, np.diff(np.r_[first, len(name)]))
-        for rows in _by_document(name[keep], doc[keep]):
+        for rows in _by_document(short_name(name[keep]), doc[keep]):
             yield pa.record_batch([rows.column("doc_id"), rows.column("a")], ["doc_id", "names"])
 
     sent = docs.select("doc_id", "text").mapInArrow(send, PACKED).repartition(n, "key")
@@ -222,9 +222,9 @@ def is_repeated(names: pa.Array, which: np.ndarray, row: np.ndarray) -> np.ndarr
     """For anchors (short name, row of the batch), whether that row's list has them. names: list<binary>."""
     flat = names.flatten()
     per = np.diff(names.offsets.to_numpy())
-    sizes = np.diff(utf8(flat)[1]) // 8
+    sizes = np.diff(utf8(flat)[1]) // 4
     rows = np.repeat(np.repeat(np.arange(len(names)), per), sizes)
     seed = lambda x, r: mix64(x + r.astype(np.uint64) * BASE64)
-    return np.isin(seed(which, row), seed(joined(flat, np.uint64), rows))
+    return np.isin(seed(which.astype(np.uint64), row), seed(joined(flat, np.uint32).astype(np.uint64), rows))
 
 

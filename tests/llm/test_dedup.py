@@ -14,7 +14,7 @@ from tallyspark.llm.components import components
 from tallyspark.llm.debruijn_dedup import compact_paths, place_on_unitigs, remove_repeated_passages
 from tallyspark.llm.minhash_dedup import near_duplicates
 from tallyspark.llm.shared import Scratch
-from tallyspark.llm.suffix_dedup import lcp_intervals, remove_repeats
+from tallyspark.llm.suffix_dedup import ENTRY, Bucket, lcp_intervals, remove_repeats, repeat_groups
 from tests.llm.conftest import LOWER, words
 
 SMALL = "/root/testdata/sf0.001/documents.parquet"
@@ -99,6 +99,57 @@ def test_interval_tree_is_that_of_a_naive_suffix_array(s, least):
         assert (tree[parent][:3] == max(outer)) if outer else parent == -1
 
 
+def test_repeat_groups_have_all_places_and_miss_no_repeat(spark, odd_docs):
+    """Against every place of every string: groups are whole and maximal, and each string of 50 bytes that two documents have is in one with its places."""
+    small = spark.read.parquet(SMALL).select("doc_id", "text").limit(60)
+    for docs in (odd_docs.filter("doc_id <> 7 AND doc_id NOT IN (10, 11)").select("doc_id", "text"), small):
+        text = {d: (t or "").encode() for d, t in pairs(docs)}
+        groups = {}
+        for r in repeat_groups(docs, 50).collect():
+            groups.setdefault((r["group_id"], r["n_bytes"]), set()).add((r["doc_id"], r["start"]))
+        strings = {}
+        for (_, n), places in groups.items():
+            found = {text[d][s : s + n] for d, s in places}
+            assert len(found) == 1
+            strings[found.pop()] = places
+        assert len(strings) == len(groups)
+        at = {}
+        for d, b in text.items():
+            for p in range(len(b) - 49):
+                at.setdefault(b[p : p + 50], set()).add((d, p))
+        for s, places in strings.items():
+            assert len(places) > 1
+            assert places == {(d, p) for d, p in at[s[:50]] if text[d][p : p + len(s)] == s}
+        for w, places in at.items():
+            if len({d for d, _ in places}) > 1:
+                assert any(w in s and {(d, p + s.find(w)) for d, p in own} <= places and len(own) == len(places) for s, own in strings.items())
+    assert repeat_groups(odd_docs.limit(0), 50).count() == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 6), st.integers(0, 40), st.integers(0, 3)), min_size=2, max_size=30), st.integers(0, 5))
+def test_a_bucket_settles_windows_as_brute_force(entries, seed):
+    """Runs with one anchor cut from texts that share parts, each window looked at."""
+    rng = np.random.default_rng(seed)
+    base, length = rng.integers(97, 99, 200).astype(np.uint8), 16
+    texts = [base.copy() for _ in range(4)]
+    for i, x in enumerate(texts[1:], 1):
+        x[rng.integers(60, 140, i)] = 120
+    e, data = np.zeros(len(entries), ENTRY), []
+    for i, (doc, start, which) in enumerate(entries):
+        low = 80 + start % 9
+        e[i] = (7, doc, 0, low, 95 - low, 1 + start % 8, texts[which][low - 1])
+        data.append(texts[which][low : low + e["count"][i] + length - 1])
+    first = {}
+    for x, d in zip(e, data, strict=True):
+        for j in range(x["count"]):
+            w = (x["lead"] - j, d[j : j + length].tobytes())
+            first[w] = min(first.get(w, 99), x["doc"])
+    want = sorted((int(x["doc"]), int(x["start"]) + j) for x, d in zip(e, data, strict=True) for j in range(x["count"]) if first[x["lead"] - j, d[j : j + length].tobytes()] < x["doc"])
+    got = Bucket(e, np.concatenate(data), length).lost()
+    assert sorted((int(f["doc"]), int(f["span"]["start"]) + j) for f in got for j in range(f["span"]["count"])) == want
+
+
 def test_paths_compact_where_their_source_goes_on(spark):
     """Node 12 branches, at 15 the source changes, edges 8 and 9 share a node but not a place in the source."""
     edges = [(1, 10, 11, 1, 5, 0), (2, 11, 12, 3, 5, 1), (3, 12, 13, 1, 5, 4), (4, 12, 14, 2, 5, 30), (5, 14, 15, 1, 5, 32), (6, 15, 16, 1, 6, 33), (8, 20, 21, 1, 5, 50), (9, 21, 22, 1, 5, 70)]
