@@ -42,7 +42,7 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-#: Words that stay small within a case's name.
+#: Words that stay small within a case's name (this library's choice).
 SMALL = ("of", "the", "and", "for", "in", "on", "v.", "ex", "rel.")
 
 
@@ -52,6 +52,13 @@ def case_title(name: Column) -> Column:
     return F.array_join(words, " ")
 
 
+def repaired(text: Column) -> Column:
+    """UTF-8 that was read as Latin-1 and written again, put right; texts that were not are left as they are."""
+    odd = text.rlike("[\u00c2-\u00f4][\u0080-\u00bf]") & ~text.rlike("[^\u0000-\u00ff]")
+    again = F.try_validate_utf8(F.encode(text, "ISO-8859-1").cast("string"))
+    return F.when(odd, F.coalesce(again, text)).otherwise(text)
+
+
 def display_name(override: Column, official: Column, first: Column, middle: Column, nickname: Column) -> Column:
     """An override, a nickname, a name in quotes or parentheses, the middle name if the first is an initial, the first."""
     quoted = F.nullif(F.regexp_extract(official, r"[(“\"]([A-Za-z.]+)[)”\"]", 1), F.lit(""))
@@ -92,7 +99,7 @@ def title_class(title: Column) -> Column:
     """observance, naming, honor, memorial or null by words of a title; laws that merely amend are none of these."""
     low = F.lower(title)
     return (
-        F.when(low.contains("amend"), None)
+        F.when(low.contains("amend") | low.rlike(r"\b(fiscal|calendar|taxable|school|crop) year\b|\bstudy\b|\bboundar"), None)
         .when(low.rlike(r"\b(day|week|month|year)\b.*\b(designat|proclaim)|\b(designat|proclaim).*\b(day|week|month)\b"), "observance")
         .when(low.rlike(r"\b(designate|name|rename)\b.*\b(building|post office|facility|clinic|courthouse)\b"), "naming")
         .when(low.rlike(r"gold medal|commemorative coin"), "honor")
@@ -100,7 +107,7 @@ def title_class(title: Column) -> Column:
     )
 
 
-#: Abbreviations after which a sentence goes on.
+#: Abbreviations after which a sentence goes on (this library's choice).
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Sen", "Rep", "Gov", "Gen", "No", "St", "U.S", "v", "Inc", "Co", "Jr", "Sr")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyspark.operators import gates
+from tallyspark.plans.lineage import small
 
 
 def band_counts(rows: DataFrame, keys: list[str], band: Column, bands: int) -> DataFrame:
@@ -107,6 +108,12 @@ def decades(x: Column) -> Column:
     return (F.floor(x / 10) * 10).cast("int")
 
 
+def clipped_decades(year: Column, first: int, last: int) -> Column:
+    """The decade of a year as a span cut to a window; null for a year outside."""
+    start = decades(year)
+    return F.when(year.between(first, last), F.struct(F.greatest(start, F.lit(first)).alias("from"), F.least(start + 9, F.lit(last)).alias("to")))
+
+
 def year_range(rows: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
     return rows.groupBy(*keys, F.year(day).alias("year")).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max_by(value, day).alias("last"))
 
@@ -119,14 +126,29 @@ def periods_served(rows: DataFrame, key: str, period: str) -> DataFrame:
 def banded_value(rows: DataFrame, key: str, counts: str, bands: DataFrame) -> DataFrame:
     """A map of band -> number as a total of middles; whether an open-ended band is among them. bands: (band, middle, open), a small table."""
     each = rows.select(key, F.explode(counts).alias("band", "n"))
-    return each.join(F.broadcast(bands), "band", "left").groupBy(key).agg(F.sum(F.col("n") * F.col("middle")).alias("total"), F.bool_or("open").alias("open_ended"), F.count_if(F.col("middle").isNull()).alias("unknown_bands"))
+    return each.join(small(bands), "band", "left").groupBy(key).agg(F.sum(F.col("n") * F.col("middle")).alias("total"), F.bool_or("open").alias("open_ended"), F.count_if(F.col("middle").isNull()).alias("unknown_bands"))
 
 
 def peak_and_low(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """First greatest and first least value with their places; null if all are equal."""
-    stats = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(order, F.struct(F.col(value), -F.col(order))).alias("_at_high"), F.min_by(order, F.struct(value, order)).alias("_at_low"))
+    """First greatest and first least value with their places, which may be of any type with an order; no places if all are equal."""
+    least, greatest = F.min(F.struct(F.col(value).alias("v"), F.col(order).alias("at"))), F.min(F.struct((-F.col(value)).alias("v"), F.col(order).alias("at")))
+    stats = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(value).alias("high"), F.min(value).alias("low"), greatest.alias("_high"), least.alias("_low"))
     flat = F.col("high") == F.col("low")
-    return stats.select(*keys, "high", "low", F.when(~flat, F.col("_at_high")).alias("at_high"), F.when(~flat, F.col("_at_low")).alias("at_low"))
+    return stats.select(*keys, "high", "low", F.when(~flat, F.col("_high.at")).alias("at_high"), F.when(~flat, F.col("_low.at")).alias("at_low"))
+
+
+def least_of(rows: DataFrame, keys: list[str], share: str, parts: list[str]) -> DataFrame:
+    """The least share among some columns of each row's key, nulls left out; null if there is none."""
+    return rows.groupBy(*keys).agg(F.min(F.least(*parts) if len(parts) > 1 else F.col(parts[0])).alias(share))
+
+
+def vote_stats(votes: DataFrame, keys: list[str], side: str, close: Column) -> DataFrame:
+    """Per key: votes with a known side, with the majority and in dissent, how many were in close cases and of those with the majority, and the share of all with the majority."""
+    known, won = F.col(side).isin("majority", "dissent"), F.col(side) == "majority"
+    seen = votes.groupBy(*keys).agg(
+        F.count_if(known).alias("took"), F.count_if(won).alias("majority"), F.count_if(F.col(side) == "dissent").alias("dissent"), F.count_if(known & close).alias("close"), F.count_if(won & close).alias("close_majority")
+    )
+    return seen.withColumn("share", F.when(F.col("took") > 0, F.col("majority") / F.col("took")))
 
 
 def revisions(old: DataFrame, new: DataFrame, keys: list[str], value: str, status: str, tolerance: float) -> DataFrame:

@@ -66,12 +66,14 @@ def anchors(df: DataFrame, expected: dict[str, tuple[Column, object]]) -> DataFr
     return _out(row.select(checks.alias("c")).select("c.*").filter(~F.col("found").eqNullSafe(F.col("expected"))), "anchor", "name", "found", "expected")
 
 
-def contiguous(df: DataFrame, number: str, keys: list[str] | None = None) -> DataFrame:
-    """Whole numbers missing between the first and the last, per key."""
+def contiguous(df: DataFrame, number: str, keys: list[str] | None = None, block: int = 1 << 16) -> DataFrame:
+    """Whole numbers missing between the first and the last, per key. Numbers are laid out in blocks, so no row holds a whole range."""
     keys = keys or []
     have = df.select(*keys, F.col(number).cast("long").alias("n")).distinct()
-    span = have.groupBy(*keys).agg(F.min("n").alias("a"), F.max("n").alias("b")).filter("a IS NOT NULL").select(*keys, F.explode(F.sequence("a", "b")).alias("n"))
-    return _out(span.join(have, [*keys, "n"], "left_anti"), "contiguous", *keys, "n")
+    span = have.groupBy(*keys).agg(F.min("n").alias("a"), F.max("n").alias("b")).filter("a IS NOT NULL")
+    blocks = span.select(*keys, "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))).alias("i")).repartition("i")
+    every = blocks.select(*keys, F.explode(F.sequence(F.greatest("a", F.col("i") * block), F.least("b", F.col("i") * block + block - 1))).alias("n"))
+    return _out(every.join(have, [*keys, "n"], "left_anti"), "contiguous", *keys, "n")
 
 
 def within(df: DataFrame, value: str, low: Column, high: Column, *detail: str) -> DataFrame:
@@ -114,3 +116,11 @@ def arbitrate(a: Column, b: Column, minor: int, excepted: Column) -> Column:
 def grade_gap(gap: Column, investigate: float, stop: float) -> Column:
     """A relative gap as pass, investigate or stop."""
     return F.when(gap.isNull(), "stop").when(F.abs(gap) >= stop, "stop").when(F.abs(gap) >= investigate, "investigate").otherwise("pass")
+
+
+def curated(actions: DataFrame, known: DataFrame, key: str, day: str, first: Column, last: Column, kinds: list[str]) -> DataFrame:
+    """Hand-made rows (key, day, kind, quote): of known keys, within a window, of a known kind and with a quote."""
+    missing = references(actions, known, [key])
+    early = valid(actions, "day within window", F.col(day).between(first, last), key, day)
+    odd = valid(actions, "known kind", F.col("kind").isin(kinds), key, "kind")
+    return reduce(DataFrame.unionByName, [missing, early, odd, valid(actions, "quote", F.length(F.trim("quote")) > 0, key)])

@@ -1,4 +1,8 @@
-"""Joins that named rules need: defaults, misses, intervals, as-of, cascades, neighbours."""
+"""Joins that named rules need: defaults, misses, intervals, as-of, cascades, neighbours.
+
+Spans have a first day and a last one; an end of null is open in every operator here. Interval joins go by the year in
+which two spans first meet, an equality, so that no operator compares all with all. A null key or day matches nothing.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyspark.operators.gates import GateError
+from tallyspark.plans.lineage import checkpointed, small
 
 
 def left_with_defaults(left: DataFrame, right: DataFrame, on: list[str], defaults: dict) -> DataFrame:
@@ -56,23 +61,34 @@ def crosswalk(rows: DataFrame, target: str, codes: str) -> tuple[DataFrame, Data
     return grouped.filter(F.size("targets") == 1).select("code", F.get("targets", F.lit(0)).alias(target)), grouped.filter(F.size("targets") > 1)
 
 
-def interval_join(facts: DataFrame, spans: DataFrame, at: str, start: str, end: str, closed: bool, keys: list[str] | None = None, how: str = "inner", small: bool = True) -> DataFrame:
-    """Facts with the spans that hold their day. closed: the last day belongs to the span; an end of null is open.
+def _by_year(rows: DataFrame, start: Column, end: Column, last: int) -> DataFrame:
+    """A row for each year that a span touches, up to the last that matters."""
+    to = F.least(F.coalesce(F.year(end), F.lit(last)), F.lit(last))
+    return rows.withColumn("_year", F.explode(F.when(F.year(start) <= to, F.sequence(F.year(start), to)).otherwise(F.array().cast("array<int>"))))
 
-    small: the spans are a small dimension (checked: at most 10,000 rows) and are broadcast; otherwise give keys.
-    """
-    inside = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end))))
-    if small:
-        if len(spans.limit(10_001).select(F.lit(1)).collect()) > 10_000:
-            raise ValueError("too many spans to broadcast: join them by keys")
-        spans = F.broadcast(spans)
-    if keys:
-        renamed = spans
-        for k in keys:
-            renamed = renamed.withColumnRenamed(k, f"_{k}")
-        inside = reduce(lambda c, k: c & (F.col(k) == F.col(f"_{k}")), keys, inside)
-        return facts.join(renamed, inside, how).drop(*(f"_{k}" for k in keys))
-    return facts.join(spans, inside, how)
+
+def _meeting(a: DataFrame, b: DataFrame, keys: list[str], first: tuple[str, str], second: tuple[str, str], how: str = "inner") -> DataFrame:
+    """Rows of equal keys whose closed spans have a day in common: each pair once, in the year of the later start."""
+    (s1, e1), (s2, e2) = first, second
+    last = max((x for df, s in ((a, s1), (b, s2)) for x in (df.agg(F.max(F.year(s))).first()[0],) if x is not None), default=0)
+    left = _by_year(a, F.col(s1), F.col(e1), last) if s1 != e1 else a.withColumn("_year", F.year(s1))
+    right = _by_year(b, F.col(s2), F.col(e2), last).withColumnsRenamed({k: f"_{k}" for k in [*keys, "_year"]})
+    same = reduce(lambda c, k: c & (F.col(k) == F.col(f"_{k}")), keys, F.col("_year") == F.col("__year"))
+    within = (F.col(e2).isNull() | (F.col(s1) <= F.col(e2))) & (F.col(e1).isNull() | (F.col(s2) <= F.col(e1)))
+    return left.join(right, same & within & (F.col("_year") == F.greatest(F.year(s1), F.year(s2))), how).drop("_year", "__year", *(f"_{k}" for k in keys))
+
+
+def _days(first: tuple[str, str], second: tuple[str, str]) -> Column:
+    """Days that two closed spans share; null if neither has an end (least leaves nulls out)."""
+    (s1, e1), (s2, e2) = first, second
+    return F.datediff(F.least(e1, e2), F.greatest(s1, s2)) + 1
+
+
+def interval_join(facts: DataFrame, spans: DataFrame, at: str, start: str, end: str, closed: bool, keys: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """Facts with the spans that hold their day. closed: the last day belongs to the span; an end of null is open."""
+    spans = spans if closed else spans.withColumns({"_end": F.col(end), end: F.date_sub(F.col(end), 1)})
+    found = _meeting(facts, spans, keys or [], (at, at), (start, end), how)
+    return found if closed else found.withColumn(end, F.col("_end")).drop("_end")
 
 
 def as_of(facts: DataFrame, readings: DataFrame, keys: list[str], at: str, when: str, values: list[str], tie: str, tolerance: int | None = None) -> DataFrame:
@@ -90,10 +106,8 @@ def as_of(facts: DataFrame, readings: DataFrame, keys: list[str], at: str, when:
 
 
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str], first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
-    """Rows of equal keys whose closed spans overlap, with the days in common."""
-    (s1, e1), (s2, e2) = first, second
-    days = F.datediff(F.least(e1, e2), F.greatest(s1, s2)) + 1
-    return a.join(b, keys).filter((F.col(s1) <= F.col(e2)) & (F.col(s2) <= F.col(e1))).withColumn("days", days)
+    """Rows of equal keys whose closed spans overlap, with the days in common (null if both are open)."""
+    return _meeting(a, b, keys, first, second).withColumn("days", _days(first, second))
 
 
 def only_match(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,13 +116,44 @@ def only_match(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def most_days(periods: DataFrame, spans: DataFrame, period: str, label: str, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
-    """Each period with the label it shares most days with (ties to the smaller label); spans are a small dimension."""
-    (s1, e1), (s2, e2) = first, second
-    shared = periods.join(F.broadcast(spans), (F.col(s1) <= F.col(e2)) & (F.col(s2) <= F.col(e1)))
-    days = shared.groupBy(period, label).agg(F.sum(F.datediff(F.least(e1, e2), F.greatest(s1, s2)) + 1).alias("days"))
-    order = W.partitionBy(period).orderBy(F.desc("days"), label)
+    """Each period with the label it shares most days with (ties to the smaller label), the days and their share."""
+    days = _meeting(periods, spans, [], first, second).groupBy(period, label).agg(F.sum(_days(first, second)).alias("days"))
+    order = W.partitionBy(period).orderBy(F.desc_nulls_last("days"), label)
     share = F.col("days") / F.sum("days").over(W.partitionBy(period))
-    return days.withColumns({"place": F.row_number().over(order), "share": share}).filter("place = 1").drop("place")
+    return days.withColumns({"_place": F.row_number().over(order), "share": share}).filter("_place = 1").drop("_place")
+
+
+def as_of_strict(facts: DataFrame, tenures: DataFrame, at: str, start: str, end: str, label: str, key: str) -> DataFrame:
+    """Each fact with the tenure that began last on or before its day; one that has ended by then, or none, stops the run.
+
+    Tenures of one key (null keys are one) follow each other; an end of null is open, the end is the last day.
+    """
+    found = as_of(facts, tenures, [key], at, start, [label, end], label)
+    bad = found.filter(F.col("matched_at").isNull() | (F.col(f"matched_{end}") < F.col(at))).select(key, at).limit(5).collect()
+    if bad:
+        raise GateError(f"no tenure for {[tuple(r) for r in bad]}")
+    return found.withColumnRenamed(f"matched_{label}", label).drop("matched_at", f"matched_{end}")
+
+
+def at_anchor(tenures: DataFrame, anchors: DataFrame, start: str, end: str, day: str) -> DataFrame:
+    """Who holds office on fixed days: anchors (day and others) with the half-open tenures that hold each."""
+    return interval_join(anchors, tenures, day, start, end, closed=False)
+
+
+def exact_then_near(left: DataFrame, right: DataFrame, keys: list[str], key: str, match: str, at: str, when: str, days: int) -> DataFrame:
+    """(key, match, via): by keys and day; what that leaves, by keys within so many days. A pairing counts if it has one candidate."""
+    same = lambda a, b: a.join(b, [*(a[k] == b[k] for k in keys), a[at] == b[when]])
+
+    def near(a: DataFrame, b: DataFrame) -> DataFrame:
+        shifted = a.withColumn("_day", F.explode(F.sequence(F.date_sub(at, days), F.date_add(at, days))))
+        return shifted.join(b, [*(shifted[k] == b[k] for k in keys), shifted["_day"] == b[when]])
+
+    return cascade(left, right, key, match, [("exact", same), ("near", near)])
+
+
+def in_probe_order(probe: DataFrame, build: DataFrame, on: list[str], order: list[str]) -> DataFrame:
+    """Inner join in the probe side's order; place tells it, from 1 within equal first order columns on."""
+    return probe.join(build, on).orderBy(*order)
 
 
 def expand_years(rows: DataFrame, start: str, end: str, last: int) -> DataFrame:
@@ -148,22 +193,29 @@ def first_known(rows: DataFrame, key: str, maps: list[tuple[DataFrame, str]], ou
 
 
 def inherit(rows: DataFrame, key: str, parents: str, value: str) -> DataFrame:
-    """(key, value, from_key): a row without a value takes that of its first parent (in order) that has or inherits one.
+    """(key, value, from_key, review) of the rows that have a value, or get that of their first parent (in order) that has or inherits one.
 
-    Parents have smaller keys, so there are no circles. Joins double nothing here: each round settles one more
-    generation, and rounds end when none is settled; several distinct inherited values set a review flag.
+    A row is settled once each of its parents is (a parent that is no row has no value), so that the order in which rows
+    are reached plays no part; a round settles one generation. review: parents have different values. Parents come before
+    their rows; rows on a circle never settle and get nothing, nor do those that inherit from them alone.
     """
-    known = rows.filter(F.col(value).isNotNull()).select(key, value, F.col(key).alias("from_key"), F.lit(False).alias("review"))
-    open_ = rows.filter(F.col(value).isNull()).select(F.col(key), F.posexplode(parents).alias("place", "parent"))
+    base = rows.select(key, value, parents)
+    settled = base.filter(F.col(value).isNotNull() | (F.coalesce(F.size(parents), F.lit(0)) <= 0)).select(key, value, F.when(F.col(value).isNotNull(), F.col(key)).alias("from_key"), F.lit(False).alias("review"))
+    links = base.filter(F.col(value).isNull()).select(F.col(key), F.posexplode(parents).alias("place", "parent"))
+    known = base.select(F.col(key).alias("parent"), F.lit(True).alias("_row"))
+    links = checkpointed(links.join(known, "parent", "left"))
+    settled = checkpointed(settled)
     while True:
-        have = known.select(F.col(key).alias("parent"), F.col(value).alias("_v"), F.col("from_key").alias("_from"))
-        reached = open_.join(have, "parent", "left")
-        ready = reached.groupBy(key).agg(F.min_by(F.struct("_v", "_from"), F.when(F.col("_v").isNotNull(), F.col("place"))).alias("best"), (F.count_distinct("_v") > 1).alias("review"), F.min(F.when(F.col("_v").isNotNull(), F.col("place"))).alias("hit"))
-        ready = ready.filter("hit IS NOT NULL").select(key, F.col("best._v").alias(value), F.col("best._from").alias("from_key"), "review").checkpoint()
+        have = settled.select(F.col(key).alias("parent"), F.col(value).alias("_v"), F.col("from_key").alias("_from"), F.lit(True).alias("_settled"))
+        hit = F.col("_v").isNotNull()
+        reached = links.join(settled.select(key), key, "left_anti").join(have, "parent", "left")
+        ready = reached.groupBy(key).agg(
+            F.min_by(F.struct("_v", "_from"), F.when(hit, F.col("place"))).alias("_best"), (F.count_distinct("_v") > 1).alias("review"), F.bool_and(F.col("_settled").isNotNull() | F.col("_row").isNull()).alias("_ready")
+        )
+        ready = checkpointed(ready.filter("_ready").select(key, F.col("_best._v").alias(value), F.col("_best._from").alias("from_key"), "review"))
         if not ready.head(1):
-            return known
-        known = known.unionByName(ready).checkpoint()
-        open_ = open_.join(ready, key, "left_anti").checkpoint()
+            return settled.filter(F.col(value).isNotNull())
+        settled = checkpointed(settled.unionByName(ready))
 
 
 def nearest_peers(rows: DataFrame, group: list[str], key: str, value: str, n: int) -> DataFrame:
@@ -184,9 +236,7 @@ def nearest_peers(rows: DataFrame, group: list[str], key: str, value: str, n: in
 
 def nearest_points(points: DataFrame, pool: DataFrame, key: str, axes: list[str], n: int) -> DataFrame:
     """The n nearest rows of a small pool (checked: at most 10,000), by Euclidean distance, without the point itself."""
-    if len(pool.limit(10_001).select(F.lit(1)).collect()) > 10_000:
-        raise ValueError("the pool is not small")
-    other = F.broadcast(pool.select(F.col(key).alias("neighbour"), *(F.col(a).alias(f"_{a}") for a in axes)))
+    other = small(pool.select(F.col(key).alias("neighbour"), *(F.col(a).alias(f"_{a}") for a in axes)))
     distance = F.sqrt(sum((F.pow(F.col(a) - F.col(f"_{a}"), 2) for a in axes), F.lit(0.0)))
     pairs = points.join(other, F.col(key) != F.col("neighbour")).select(key, "neighbour", distance.alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("distance", "neighbour"))).filter(F.col("rank") <= n)
@@ -199,10 +249,15 @@ def token_overlap(left: DataFrame, right: DataFrame, block: str, a: str, b: str,
 
 
 def joined_and_left(rows: DataFrame, group: str, period: str, member: str) -> DataFrame:
-    """Per group and period: who came and who went since the period before."""
-    sets = rows.groupBy(group, period).agg(F.sort_array(F.collect_set(member)).alias("members"))
-    before = F.lag("members").over(W.partitionBy(group).orderBy(period))
-    return sets.withColumn("before", before).select(group, period, F.array_except("members", "before").alias("joined"), F.array_except("before", "members").alias("departed"))
+    """(group, period, member, change): who joined and who left since the group's period before; its first period has neither."""
+    have = rows.select(group, period, member).dropna().distinct()
+    order = W.partitionBy(group).orderBy(period)
+    periods = have.select(group, period).distinct().withColumns({"_before": F.lag(period).over(order), "_after": F.lead(period).over(order)})
+    placed = have.join(periods, [group, period])
+    was, next_ = (placed.filter(F.col(c).isNotNull()).select(group, F.col(c).alias(period), member, F.col(period).alias("_own")) for c in ("_before", "_after"))
+    joined = was.join(have, [group, period, member], "left_anti").select(group, F.col("_own").alias(period), member, F.lit("joined").alias("change"))
+    left = next_.join(have, [group, period, member], "left_anti").select(group, period, member, F.lit("left").alias("change"))
+    return joined.unionByName(left)
 
 
 def inverted(rows: DataFrame, member: str, item: str, role_rank: str) -> DataFrame:

@@ -52,7 +52,7 @@ def map_total(m: Column) -> Column:
     return F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-#: Stages of a bill, the furthest first, with the texts that show them.
+#: Stages of a bill, the furthest first, with words of this library's choice that show them in an action's text.
 STAGES = (
     (6, "became (public )?law|became public"),
     (5, "presented to (the )?president"),
@@ -91,3 +91,32 @@ def vote_role(majority: Column, opinion: Column) -> Column:
 def members_named(document: Column, name: str) -> Column:
     """Every value under a name anywhere in a JSON text, in order (values without nested objects)."""
     return F.regexp_extract_all(document, F.lit(rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|\[[^\[\]{{}}]*\]|[-\w.+]+)'), F.lit(1))
+
+
+def compacted(rows: DataFrame, keys: list[str], optional: list[str]) -> DataFrame:
+    """Optional fields as one JSON object that leaves out those without a value."""
+    return rows.select(*keys, F.to_json(F.struct(*optional)).alias("fields"))
+
+
+def reduced(document: Column, schema: str) -> Column:
+    """Of a JSON text only the fields of a schema, as typed values; what does not fit a type is null."""
+    return F.from_json(document, schema)
+
+
+def bill_stage(chamber: Column, law: Column, passed_house: Column, passed_senate: Column, reported: Column, marked_up: Column, heard: Column) -> Column:
+    """How far a bill got, 1 to 6: referred, heard, marked up, out of committee, past the committee's own chamber (either for a joint one), law. Unknown is no."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    here = F.when(chamber == "house", yes(passed_house)).when(chamber == "senate", yes(passed_senate)).otherwise(yes(passed_house) | yes(passed_senate))
+    return F.when(yes(law), 6).when(here, 5).when(yes(reported), 4).when(yes(marked_up), 3).when(yes(heard), 2).otherwise(1)
+
+
+def bipartisan(party: Column, democrats: Column, republicans: Column) -> Column:
+    """Whether a bill has cosponsors of the other party than its sponsor's; of both, for a sponsor of neither."""
+    d, r = F.coalesce(democrats > 0, F.lit(False)), F.coalesce(republicans > 0, F.lit(False))
+    return F.when(party == "R", d).when(party == "D", r).otherwise(d & r)
+
+
+def waiting_days(stage: Column, last_step: Column, today: Column, least: int = 30) -> Column:
+    """Days since the last step of a bill that is not past markup, if there are so many."""
+    days = F.datediff(today, last_step)
+    return F.when((stage <= 3) & (days >= least), days)

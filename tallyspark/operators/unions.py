@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyspark.operators import gates
+from tallyspark.operators.joins import interval_join, overlaps
 
 
 def with_provenance(**sources: DataFrame) -> DataFrame:
@@ -40,20 +41,18 @@ def persons(*chambers: DataFrame, key: str, period: str) -> DataFrame:
 
 
 def tenure_or_last(facts: DataFrame, spans: DataFrame, at: str, start: str, end: str, label: str) -> DataFrame:
-    """Each fact with the half-open span that holds it; facts after all spans get the last. Spans are a small dimension."""
-    last = spans.agg(F.max_by(label, start).alias("_last"))
-    inside = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
-    held = facts.join(F.broadcast(spans.select(start, end, label)), inside, "left")
-    name = last.first()["_last"]
-    after = F.col(at) >= F.lit(spans.agg(F.max(start).alias("s")).first()["s"])
-    return held.withColumn(label, F.coalesce(F.col(label), F.when(after, F.lit(name)))).drop(start, end)
+    """Each fact with the half-open span that holds it; facts after all spans have begun, and in none, get the last."""
+    held = interval_join(facts, spans.select(start, end, label), at, start, end, closed=False, how="left")
+    last = spans.agg(F.max(start).alias("s"), F.max_by(label, start).alias("name")).first()
+    after = F.col(at) >= F.lit(last["s"])
+    return held.withColumn(label, F.coalesce(F.col(label), F.when(after, F.lit(last["name"])))).drop(start, end)
 
 
 def day_shares(periods: DataFrame, spans: DataFrame, period: str, label: str, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
     """Days that each label has in a period, its share, whose the last day is, and whether the period is shared."""
-    (s1, e1), (s2, e2) = first, second
-    both = periods.join(F.broadcast(spans), (F.col(s1) <= F.col(e2)) & (F.col(s2) <= F.col(e1)))
-    days = both.groupBy(period, label).agg(F.sum(F.datediff(F.least(e1, e2), F.greatest(s1, s2)) + 1).alias("days"), F.max(F.col(e2) >= F.col(e1)).alias("has_last_day"))
+    both = overlaps(periods, spans, [], first, second)
+    last = F.col(second[1]).isNull() | (F.col(second[1]) >= F.col(first[1]))
+    days = both.groupBy(period, label).agg(F.sum("days").alias("days"), F.max(last).alias("has_last_day"))
     part = W.partitionBy(period)
     return days.withColumns({"share": F.col("days") / F.sum("days").over(part), "blended": F.count("*").over(part) > 1})
 

@@ -52,11 +52,13 @@ def change_or_new(rows: DataFrame, keys: list[str], year: str, value: str) -> Da
     return rows.join(years, year, "left").join(before, [*keys, year], "left").withColumn("change", F.when(F.col("_there"), F.col(value) - F.coalesce("_before", F.lit(0)))).drop("_there", "_before")
 
 
-def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of equal values in order: first and last place and length."""
+def runs(rows: DataFrame, keys: list[str], order: list[str], value: str, apart: Column | None = None) -> DataFrame:
+    """Runs of equal values in order: first and last place and length. apart: whether a row, by _before (the place before it), starts anew."""
     by = W.partitionBy(*keys).orderBy(*order)
-    new = F.when(F.lag(F.struct(value)).over(by).isNotNull() & F.col(value).eqNullSafe(F.lag(value).over(by)), 0).otherwise(1)
-    marked = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    same = F.lag(F.lit(True)).over(by).isNotNull() & F.col(value).eqNullSafe(F.lag(value).over(by))
+    marked = rows.withColumns({"_same": same, "_before": F.lag(F.struct(*order)).over(by)})
+    new = F.when(F.col("_same") & ~F.coalesce(apart, F.lit(False)), 0).otherwise(1) if apart is not None else F.when(F.col("_same"), 0).otherwise(1)
+    marked = marked.withColumn("_new", new).withColumn("run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     place = F.struct(*order)
     return marked.groupBy(*keys, "run", value).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("length"))
 
@@ -89,6 +91,13 @@ def merged_spans(rows: DataFrame, keys: list[str], start: str, end: str, label:
     return marked.groupBy(*keys, "_i", label).agg(F.min(start).alias(start), F.when(~open_, F.max(end)).alias(end)).drop("_i")
 
 
+def contiguous_spans(rows: DataFrame, keys: list[str], start: str, end: str, low: Column, high: Column) -> DataFrame:
+    """Half-open spans cut to a window, with gap: days without a span since the one before (negative where they overlap), null for the first."""
+    cut = rows.withColumns({start: F.greatest(F.col(start), low), end: F.least(F.coalesce(F.col(end), high), high)}).filter(F.col(start) < F.col(end))
+    before = F.max(end).over(W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1))
+    return cut.withColumn("gap", F.datediff(F.col(start), before))
+
+
 def stack_edges(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Lower and upper edge of each band of a stack."""
     upper = F.sum(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))

@@ -98,12 +98,59 @@ def test_crosswalk_conflicts_and_id_resolution(spark):
     assert [r["id_status"] for r in joins.resolve_ids(ids, F.col("a"), F.col("b")).collect()] == ["agree", "first", "second", "mismatch", "unmapped"]
 
 
-def test_inheritance_propagates_and_flags(spark):
-    rows = spark.createDataFrame([(1, [], "tax"), (2, [1], None), (3, [2], None), (4, [3, 1], None), (5, [], "war"), (6, [5, 2], None)], "id int, parents array<int>, topic string")
+def test_inheritance_goes_by_the_first_parent_that_has_or_inherits_a_value(spark):
+    rows = spark.createDataFrame([(1, "tax", None), (2, None, [1]), (3, None, []), (5, "war", None), (6, None, [5, 2]), (7, None, [2, 5]), (8, None, [3, 99]), (9, None, [3, 7]), (10, None, [8]), (11, None, [12]), (12, None, [11]), (13, None, None)], "id int, topic string, parents array<int>")
     got = {r["id"]: (r["topic"], r["from_key"], r["review"]) for r in joins.inherit(rows, "id", "parents", "topic").collect()}
-    assert got[3] == ("tax", 1, False)
-    assert got[4][0] == "tax"
-    assert got[6] == ("war", 5, False) or got[6] == ("war", 5, True)
+    assert got == {1: ("tax", 1, False), 2: ("tax", 1, False), 5: ("war", 5, False), 6: ("war", 5, True), 7: ("tax", 1, True), 9: ("tax", 1, False)}
+    assert joins.inherit(rows.limit(0), "id", "parents", "topic").count() == 0
+
+
+def test_open_ends_count_in_every_interval_operator(spark):
+    spans = spark.createDataFrame([("x", D(2019, 5, 1), D(2020, 2, 1)), ("y", D(2020, 2, 2), None), ("z", None, None)], "who string, s date, e date")
+    year = spark.createDataFrame([(2020, D(2020, 1, 1), D(2020, 12, 31)), (2030, D(2030, 1, 1), D(2030, 12, 31)), (2031, D(2031, 1, 1), None)], "fy int, a date, b date")
+    assert {(r["fy"], r["who"]): r["days"] for r in joins.overlaps(year, spans, [], ("a", "b"), ("s", "e")).collect()} == {(2020, "x"): 32, (2020, "y"): 334, (2030, "y"): 365, (2031, "y"): None}
+    assert {r["fy"]: (r["who"], r["days"]) for r in joins.most_days(year, spans, "fy", "who", ("a", "b"), ("s", "e")).collect()} == {2020: ("y", 334), 2030: ("y", 365), 2031: ("y", None)}
+    facts = spark.createDataFrame([(D(2020, 2, 1),), (D(2040, 1, 1),), (D(2018, 1, 1),), (None,)], "d date")
+    assert {(r["d"], r["who"]) for r in joins.interval_join(facts, spans, "d", "s", "e", closed=True).collect()} == {(D(2020, 2, 1), "x"), (D(2040, 1, 1), "y")}
+    assert joins.interval_join(facts, spans, "d", "s", "e", closed=False, how="left").count() == 4
+    assert joins.interval_join(facts.limit(0), spans, "d", "s", "e", closed=True).count() == 0
+
+
+def test_interval_joins_go_by_an_equality(spark):
+    """No operator over spans compares all with all."""
+    a = spark.range(10).select("id", F.expr("date_add(DATE '2000-01-01', cast(id as int))").alias("s"), F.lit(None).cast("date").alias("e"))
+    plan = joins.overlaps(a, a.toDF("other", "s2", "e2"), [], ("s", "e"), ("s2", "e2"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan
+    assert "CartesianProduct" not in plan
+
+
+def test_a_tenure_that_has_ended_stops_the_run(spark):
+    tenures = spark.createDataFrame([("c", "x", D(2000, 1, 1), D(2000, 12, 31)), ("c", "y", D(2002, 1, 1), None)], "k string, who string, s date, e date")
+    facts = lambda *days: spark.createDataFrame([("c", d) for d in days], "k string, d date")
+    assert {(r["d"], r["who"]) for r in joins.as_of_strict(facts(D(2000, 12, 31), D(2050, 1, 1)), tenures, "d", "s", "e", "who", "k").collect()} == {(D(2000, 12, 31), "x"), (D(2050, 1, 1), "y")}
+    for day in (D(2001, 1, 1), D(1999, 1, 1)):
+        with pytest.raises(gates.GateError, match="no tenure"):
+            joins.as_of_strict(facts(day), tenures, "d", "s", "e", "who", "k")
+
+
+def test_peaks_by_date_and_missing_numbers_in_blocks(spark):
+    rows = spark.createDataFrame([("a", D(2020, 1, 2), 5.0), ("a", D(2020, 1, 1), 5.0), ("a", D(2020, 1, 3), 1.0), ("a", D(2020, 1, 4), None), ("b", D(2020, 1, 1), 2.0)], "k string, d date, v double")
+    got = {r["k"]: (r["high"], r["at_high"], r["low"], r["at_low"]) for r in aggregates.peak_and_low(rows, ["k"], "d", "v").collect()}
+    assert got == {"a": (5.0, D(2020, 1, 1), 1.0, D(2020, 1, 3)), "b": (2.0, None, 2.0, None)}
+    numbers_ = spark.createDataFrame([(n,) for n in (-5, -3, 0, 1, 7)], ["n"])
+    for block in (1, 3, 100):
+        assert sorted(int(r["detail"].split(":")[1][:-1]) for r in gates.contiguous(numbers_, "n", block=block).collect()) == [-4, -2, -1, 2, 3, 4, 5, 6]
+
+
+def test_who_joined_and_who_left(spark):
+    rows = spark.createDataFrame([("g", 1, "a"), ("g", 1, "b"), ("g", 3, "b"), ("g", 3, "c"), ("g", 3, "c"), ("h", 1, "a"), ("g", 3, None)], "g string, p int, m string")
+    assert {tuple(r) for r in joins.joined_and_left(rows, "g", "p", "m").collect()} == {("g", 3, "c", "joined"), ("g", 3, "a", "left")}
+
+
+def test_repaired_text(spark):
+    bad = "café — naïve".encode().decode("latin-1")
+    assert one(spark, text.repaired(F.lit(bad))) == "café — naïve"
+    assert one(spark, text.repaired(F.lit("café"))) == "café"
 
 
 def test_differences_and_failing_join(spark):

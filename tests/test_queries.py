@@ -35,6 +35,7 @@ def test_query_matches_sql(spark, duck, name):
     at = [told.columns.index(c) for c in columns]
     rows = sorted([tuple(map(plain, r)) for r in found.select(*columns).collect()])
     assert rows == sorted([tuple(plain(r[i]) for i in at) for r in told.fetchall()])
+    assert rows
 
 
 def test_flagship_is_sorted_and_sums(spark):
