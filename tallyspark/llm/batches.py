@@ -74,11 +74,12 @@ def find_words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = WORD) ->
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each byte span; about ``step`` bytes are worked on at a time."""
     out = np.zeros(len(starts), np.uint64)
     lens = ends - starts
     table = powers(BASE64, int(lens.max(initial=1)))
+    step = max(1, step * len(lens) // max(1, int(lens.sum())))
     for a in range(0, len(starts), step):
         n, s = lens[a : a + step], starts[a : a + step]
         at = np.cumsum(n) - n
@@ -111,11 +112,6 @@ def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return whole.cast(pa.binary())
 
 
-def joined(column: pa.Array, dtype) -> np.ndarray:
-    """All rows' bytes as one array of dtype."""
-    return utf8(column)[0].view(dtype) if len(column) else np.zeros(0, dtype)
-
-
 def covered(starts: np.ndarray, lens: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in any of the spans."""
     edge = np.zeros(n + 1, np.int64)
@@ -124,16 +120,22 @@ def covered(starts: np.ndarray, lens: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def squeezed(docs):
-    """docs (doc_id, text) with row, a tag of the text, and the text compressed: what moves a text once costs less so."""
+def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that a document is in: groups are what texts and what is told of them travel under."""
+    return (mix64(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def squeezed(docs, groups: int, tag: str = "xxhash64(text) & 4294967295"):
+    """docs (doc_id, text) with row, a tag of the text, the document's group, and the text compressed: what moves a text costs less so."""
 
     def squeeze(batches):
         with_level = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array([with_level.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "row", "text"])
+            group = group_of(batch.column("doc_id").to_numpy(zero_copy_only=False), groups)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), group, pa.array([with_level.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "row", "group", "text"])
 
-    return docs.selectExpr("doc_id", "xxhash64(text) & 4294967295 AS row", "text").mapInArrow(squeeze, "doc_id long, row long, text binary")
+    return docs.selectExpr("doc_id", f"{tag} AS row", "text").mapInArrow(squeeze, "doc_id long, row long, group long, text binary")
 
 
 def expanded(batches: Iterator[pa.RecordBatch], limit: int = 12 << 20) -> Iterator[pa.RecordBatch]:

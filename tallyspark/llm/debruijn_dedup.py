@@ -29,9 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.batches import WORD, binaries, covered, find_words, hash_words, mix64, ranges, slices, utf8
+from tallyspark.llm.batches import WORD, binaries, covered, expanded, find_words, hash_words, mix64, ranges, slices, squeezed, utf8
 from tallyspark.llm.shared import Scratch, forget, written
-from tallyspark.llm.winnow import Windows, gram_hash, is_repeated, repeated_anchors, short_name
+from tallyspark.llm.winnow import Windows, document_groups, gram_hash, is_repeated, repeated_anchors, short_name, with_names
 
 LOST = np.dtype([("start", "<i4"), ("count", "<i4")])
 DOCS = "doc_id long, row long, n_words long, kept_sha256 string, text binary, lost binary, runs array<struct<starts: array<int>, count: int, docs: long, name: long, s1: long, s2: long, nodes: array<long>>>"
@@ -78,7 +78,7 @@ def _runs_of_documents(windows: Windows):
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches):
+        for batch in expanded(batches, limit=24 << 20):
             ids, row = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("row").to_numpy(zero_copy_only=False)
             text, word_at, bounds = words_of(batch.column("text"))
             x = hash_words(text, word_at[:-1], word_at[1:] - 1)
@@ -335,8 +335,7 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50, keep_text: bool
     windows, scratch = Windows(length), Scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter("doc_id IS NOT NULL")
-    names = repeated_anchors(known, windows, word_tokens)
-    rows = known.withColumn("row", F.xxhash64("text")).join(names, "doc_id", "left").select("doc_id", "row", "text", F.coalesce("names", F.array().cast("array<binary>")).alias("names"))
+    rows = with_names(squeezed(known, document_groups(known.sparkSession), "xxhash64(text)"), repeated_anchors(known, windows, word_tokens), everything=True)
     told = written(rows.mapInArrow(_runs_of_documents(windows), DOCS))
     runs = told.filter("text IS NOT NULL").select("doc_id", "row", F.inline("runs")).select("doc_id", "row", "starts", "s1", "s2")
     # Pieces of unitigs with a smaller source, at every place of their run in a document.

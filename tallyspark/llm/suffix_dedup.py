@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.batches import BYTE32, binaries, covered, expanded, hash_spans, mix64, ranges, squeezed, utf8
-from tallyspark.llm.winnow import Windows, bucket_bits, is_repeated, repeated_anchors, short_name, shuffle_partitions
+from tallyspark.llm.batches import BYTE32, covered, expanded, group_of, hash_spans, ranges, squeezed, utf8
+from tallyspark.llm.winnow import Windows, bucket_bits, document_groups, is_repeated, repeated_anchors, short_name, shuffle_partitions, with_names
 
 #: A window run: 32 bits of its anchor, document, tag of its row, first window's start, places from it to the anchor, windows, byte before (or -1).
 ENTRY = np.dtype([("name", "<u4"), ("doc", "<i8"), ("row", "<u4"), ("start", "<i4"), ("lead", "u1"), ("count", "u1"), ("left", "<i2")])
@@ -222,7 +222,7 @@ class Bucket:
             yield np.repeat(name[node], times), np.repeat(size[node], times), entry, self.entries["start"][entry] + np.repeat(offset, times)
 
 
-def equal_texts(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+def equal_texts(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     """Whether n bytes from each a are the m bytes from b."""
     out = n == m
     ask = np.flatnonzero(out & (a != b))
@@ -234,7 +234,7 @@ def equal_texts(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m
     return out
 
 
-def _sender(windows: Windows, few: int, n: int, merge: bool):
+def _sender(windows: Windows, few: int, groups: int, merge: bool):
     """Batches of (doc_id, row, text, names) to MOVED: runs by bucket, and with merge the windows lost to a document of the batch."""
     length = windows.length
 
@@ -264,7 +264,7 @@ def _sender(windows: Windows, few: int, n: int, merge: bool):
                 lost = (e["doc"] > e["doc"][first]) & equal_texts(data, low, low[first], size, size[first])
                 found = np.zeros(int(lost.sum()), FOUND)
                 found["doc"], found["row"], found["span"]["start"], found["span"]["count"] = e["doc"][lost], e["row"][lost], e["start"][lost], e["count"][lost]
-                yield from _spans_by_group(found, n)
+                yield from _spans_by_group(found, groups)
                 e, low, name = e[~lost], low[~lost], name[~lost]
             order = np.argsort(name, kind="stable")
             e, low, name = e[order], low[order], name[order]
@@ -290,18 +290,17 @@ def _buckets(packed: dict[int, list[tuple[bytes, bytes]]], length: int):
 
 
 def _prepared(docs: DataFrame, length: int, merge: bool) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """docs (doc_id, text), those with an id squeezed, their runs dealt by bucket, and how many groups of documents there are."""
+    """docs (doc_id, text), those with an id squeezed, their runs dealt by bucket, and the number of groups of documents."""
     if not 16 <= length <= 200:
         raise ValueError("length must be 16 to 200")
     windows, bits, n = Windows(length, 2 * length // 5 if length >= 20 else None), bucket_bits(docs.sparkSession), shuffle_partitions(docs)
     few = max(6, bits - 3)  # buckets of runs: each batch sends one row to each
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter("doc_id IS NOT NULL")
-    names = repeated_anchors(known, windows, byte_tokens)
-    rows = squeezed(known)
-    # Both joins deal the texts by doc_id alike, so that Spark moves them once and reads them twice.
-    sent = rows.join(names, "doc_id").select("doc_id", "row", "text", "names").mapInArrow(_sender(windows, few, n, merge), MOVED).repartition(n, "key")
-    return docs, rows, sent, n
+    groups = document_groups(docs.sparkSession)
+    rows = squeezed(known, groups)  # dealt by group here and at the end, so that Spark moves texts once and reads them twice
+    named = with_names(rows, repeated_anchors(known, windows, byte_tokens), everything=False)
+    return docs, rows, named.mapInArrow(_sender(windows, few, groups, merge), MOVED).repartition(n, "key"), groups
 
 
 def repeat_groups(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -330,7 +329,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     A byte goes if a string of ``length`` bytes (16 to 200) over it also starts in a document with a smaller doc_id.
     """
-    docs, rows, sent, n = _prepared(docs, length, merge=True)
+    docs, rows, sent, groups = _prepared(docs, length, merge=True)
 
     def settle(batches):
         packed: dict[int, list[tuple[bytes, bytes]]] = {}
@@ -341,20 +340,25 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             yield batch.filter(pc.invert(inner))
         found = [bucket.lost() for bucket in _buckets(packed, length)]
         if found:
-            yield from _spans_by_group(np.concatenate(found), n)
-
-    def finish(batches):
-        for batch in expanded(batches):
-            out = []
-            for doc, row, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                own = np.frombuffer(b"".join(f["a"] for f in found or () if f["row"] == row), SPAN)
+            yield from _spans_by_group(np.concatenate(found), groups)
+
+    def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor()
+        found = np.concatenate([np.zeros(0, FOUND), *(_unpack_found(expand.decompress(a)) for a in told.column("a").to_pylist())])
+        found = found[np.lexsort((found["row"], found["doc"]))]
+        head = runs_of(found["doc"], found["row"])
+        of = {(int(d), int(r)): (a, b) for d, r, a, b in zip(found["doc"][head], found["row"][head], head.tolist(), [*head.tolist(), len(found)][1:], strict=True)}
+        out = []
+        for batch in expanded(texts.to_batches()):
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+                own = found["span"][slice(*of.get((doc, row), (0, 0)))]
                 out.append((doc, *cut_out(text, own["start"], own["count"].astype(np.int64) + length - 1)))
-            cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    spans = sent.mapInArrow(settle, MOVED).select("key", "a").repartition(n, "key").mapInArrow(gather_spans, "doc_id long, found array<struct<row: long, a: binary>>")
-    found = rows.join(spans, "doc_id", "left").select("doc_id", "row", "text", "found").mapInArrow(finish, RESULT)
+    spans = sent.mapInArrow(settle, MOVED).selectExpr("key AS group", "a")
+    found = rows.groupBy("group").cogroup(spans.groupBy("group")).applyInArrow(finish, RESULT)
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     unknown = docs.filter("doc_id IS NULL").select(
         "doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.array().cast("array<struct<start: int, end: int>>").alias("spans")
@@ -377,7 +381,7 @@ def _spans_by_group(found: np.ndarray, groups: int):
     if not len(found):
         return
     squeeze = zstandard.ZstdCompressor(level=1)
-    group = (mix64(found["doc"].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    group = group_of(found["doc"], groups)
     order = np.lexsort((found["doc"], group))
     found, group = found[order], group[order]
     head = runs_of(group)
@@ -394,21 +398,6 @@ def _unpack_found(data: bytes) -> np.ndarray:
     return out
 
 
-def gather_spans(batches):
-    """All groups of a task: one row for each document."""
-    expand = zstandard.ZstdDecompressor()
-    packed = [_unpack_found(expand.decompress(a)) for batch in batches for a in batch.column("a").to_pylist()]
-    found = np.concatenate(packed) if packed else np.zeros(0, FOUND)
-    if not len(found):
-        return
-    found = found[np.lexsort((found["span"]["start"], found["row"], found["doc"]))]
-    head = runs_of(found["doc"], found["row"])
-    doc = found["doc"][head]
-    each = pa.StructArray.from_arrays([pa.array(found["row"][head].astype(np.int64)), binaries(found["span"], np.r_[head, len(found)])], ["row", "a"])
-    first = runs_of(doc)
-    yield pa.record_batch([doc[first], pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), each)], ["doc_id", "found"])
-
-
 def cut_out(text: bytes, starts: np.ndarray, lens: np.ndarray):
     """Bytes, removed bytes, removed runs, hash of the rest, and the runs."""
     if not len(starts):

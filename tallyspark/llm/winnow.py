@@ -4,7 +4,7 @@ Any two equal windows of ``length`` tokens have the same smallest k-mer at the s
 that starts in two documents shows there the same *anchor*. Anchors that stand in two documents or more are
 found by one packed exchange: each batch of documents sends every distinct anchor once (copies within the
 batch are settled there, so that a hot anchor costs one entry a batch), and documents get back their
-repeated anchors. Everything else in a document cannot hold a repeated window and is left out of what follows.
+repeated anchors, packed by groups of documents under whose key their texts travel too. Everything else in a document cannot hold a repeated window and is left out of what follows.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tallyspark.llm.batches import BASE32, BASE64, binaries, joined, mix64, powers, runs, slices, utf8
+from tallyspark.llm.batches import BASE32, BASE64, binaries, group_of, mix64, powers, ranges, runs, slices, utf8
 
 CHUNK = 1 << 16
 
@@ -135,15 +134,22 @@ def short_name(name: np.ndarray) -> np.ndarray:
     return name.astype(np.uint32)
 
 
-PACKED = "key long, kind int, doc_id long, a binary, b binary"
+PACKED = "key long, kind int, a binary, b binary"
+NAMES = ["key", "kind", "a", "b"]
+#: Groups of documents for each shuffle partition.
+GROUPS = 2
+
+
+def document_groups(spark) -> int:
+    return GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
-    """(doc_id, names: list of packed short names) of the anchors that stand in two documents or more.
+    """(group, a, b): packed short names, by group of documents, of the anchors that stand in two documents or more.
 
     docs: doc_id (not null), text. tokens: a function from a RecordBatch to (bytes or 64-bit tokens, 32-bit tokens, bounds).
     """
-    bits, n = bucket_bits(docs.sparkSession), shuffle_partitions(docs)
+    bits, n, groups = bucket_bits(docs.sparkSession), shuffle_partitions(docs), document_groups(docs.sparkSession)
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -163,7 +169,7 @@ def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
             first = runs(name)
             many = np.diff(np.r_[first, len(name)]) > 1
             again = np.repeat(many, np.diff(np.r_[first, len(name)]))
-            yield from _by_document(short_name(name[again]), doc[again])
+            yield from _by_group(short_name(name[again]), doc[again], groups)
             name, doc = name[first], doc[first]
             order = np.lexsort((doc, name >> np.uint64(64 - bits)))  # by document within a bucket: the steps compress well
             name, doc = name[order], doc[order]
@@ -173,22 +179,20 @@ def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
             step[cut[full]] = doc[cut[full]]
             packed = [squeeze.compress(step[cut[i] : cut[i + 1]].tobytes()) for i in full]
             head = binaries(name.astype(np.uint32), np.r_[cut[full], len(name)])
-            yield pa.record_batch([full, np.zeros(len(full), np.int32), np.zeros(len(full), np.int64), head, pa.array(packed, pa.binary())], ["key", "kind", "doc_id", "a", "b"])
+            yield pa.record_batch([full, np.zeros(len(full), np.int32), head, pa.array(packed, pa.binary())], NAMES)
 
     def settle(batches):
         expand = zstandard.ZstdDecompressor()
         names, docs_ = [], []
         for batch in batches:
-            for key, kind, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for key, kind, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if kind:
                     continue
                 low = np.frombuffer(a.as_buffer(), np.uint32)
                 names.append((np.uint64(key) << np.uint64(32)) | low.astype(np.uint64))
                 docs_.append(np.cumsum(np.frombuffer(expand.decompress(b.as_py()), np.int64)))
             if batch.num_rows:
-                done = batch.filter(pc.equal(batch.column("kind"), 1))
-                if done.num_rows:
-                    yield pa.record_batch([done.column("doc_id"), done.column("a")], ["doc_id", "names"])
+                yield batch.filter(pc.equal(batch.column("kind"), 1))
         if not names:
             return
         name, doc = np.concatenate(names), np.concatenate(docs_)
@@ -198,33 +202,56 @@ def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
         first = runs(name)
         apart = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         keep = np.repeat(apart, np.diff(np.r_[first, len(name)]))
-        for rows in _by_document(short_name(name[keep]), doc[keep]):
-            yield pa.record_batch([rows.column("doc_id"), rows.column("a")], ["doc_id", "names"])
+        yield from _by_group(short_name(name[keep]), doc[keep], groups)
 
     sent = docs.select("doc_id", "text").mapInArrow(send, PACKED).repartition(n, "key")
-    return sent.mapInArrow(settle, "doc_id long, names binary").groupBy("doc_id").agg(F.collect_list("names").alias("names"))
+    return sent.mapInArrow(settle, PACKED).selectExpr("key AS group", "a", "b")
 
 
-def _by_document(name: np.ndarray, doc: np.ndarray):
-    """Rows of kind 1: each document's names; they travel under a key of the document."""
+def _by_group(name: np.ndarray, doc: np.ndarray, groups: int):
+    """Rows of kind 1: each group's documents and how many names each has, and the names."""
     if not len(name):
         return
-    order = np.argsort(doc, kind="stable")
-    name, doc = name[order], doc[order]
-    first = runs(doc)
-    ids = doc[first]
-    yield pa.record_batch(
-        [ids, np.ones(len(ids), np.int32), ids, binaries(name, np.r_[first, len(name)]), pa.array([None] * len(ids), pa.binary())], ["key", "kind", "doc_id", "a", "b"]
-    )
+    squeeze = zstandard.ZstdCompressor(level=1)
+    group = group_of(doc, groups)
+    order = np.lexsort((doc, group))
+    name, doc, group = name[order], doc[order], group[order]
+    of_doc = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1])])
+    ids, counts = doc[of_doc], np.diff(np.r_[of_doc, len(doc)]).astype(np.int32)
+    head = runs(group)
+    cut = np.r_[np.searchsorted(of_doc, head), len(ids)].tolist()
+    heads = [squeeze.compress(ids[a:b].tobytes() + counts[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    yield pa.record_batch([group[head], np.ones(len(head), np.int32), pa.array(heads, pa.binary()), binaries(name, np.r_[head, len(name)])], NAMES)
+
+
+def with_names(rows: DataFrame, packed: DataFrame, everything: bool) -> DataFrame:
+    """rows (doc_id, row, group, text) with the names of their repeated anchors; rows without any only if everything is asked."""
+
+    def pair(texts: pa.Table, told: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor()
+        ids, counts, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for a, b in zip(told.column("a").to_pylist(), told.column("b").to_pylist(), strict=True):
+            head = expand.decompress(a)
+            n = len(head) // 12
+            ids.append(np.frombuffer(head, np.int64, n))
+            counts.append(np.frombuffer(head, np.int32, n, 8 * n).astype(np.int64))
+            names.append(np.frombuffer(b, np.uint32))
+        ids, counts, names = np.concatenate(ids), np.concatenate(counts), np.concatenate(names)
+        order = np.argsort(ids, kind="stable")
+        names = names[ranges((np.cumsum(counts) - counts)[order], counts[order])]
+        at = np.r_[0, np.cumsum(counts[order])]
+        doc = texts.column("doc_id").to_numpy()
+        a, b = at[np.searchsorted(ids[order], doc)], at[np.searchsorted(ids[order], doc, side="right")]
+        which = np.arange(len(doc)) if everything else np.flatnonzero(b > a)
+        own = binaries(names[ranges(a[which], (b - a)[which])], np.r_[0, np.cumsum((b - a)[which])])
+        return texts.take(pa.array(which)).select(["doc_id", "row", "text"]).append_column("names", own)
+
+    return rows.groupBy("group").cogroup(packed.groupBy("group")).applyInArrow(pair, "doc_id long, row long, text binary, names binary")
 
 
 def is_repeated(names: pa.Array, which: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """For anchors (short name, row of the batch), whether that row's list has them. names: list<binary>."""
-    flat = names.flatten()
-    per = np.diff(names.offsets.to_numpy())
-    sizes = np.diff(utf8(flat)[1]) // 4
-    rows = np.repeat(np.repeat(np.arange(len(names)), per), sizes)
-    seed = lambda x, r: mix64(x + r.astype(np.uint64) * BASE64)
-    return np.isin(seed(which.astype(np.uint64), row), seed(joined(flat, np.uint32).astype(np.uint64), rows))
-
-
+    """For anchors (short name, row of the batch), whether that row's names have them."""
+    flat, bounds = utf8(names)
+    rows = np.repeat(np.arange(len(names)), np.diff(bounds) // 4)
+    seed = lambda x, r: mix64(x.astype(np.uint64) + r.astype(np.uint64) * BASE64)
+    return np.isin(seed(which, row), seed(flat.view(np.uint32), rows))
