@@ -5,12 +5,13 @@ of these words stands (a table no larger than the templates' vocabulary); the se
 template's own highest-IDF words, turns it into the place where that template would begin, and keeps beginnings on
 which several different rare words agree. A template has so many of them looked up that enough agree wherever as much
 of it stands as a match needs: this misses no match, however many templates or stray words a document has. Around such a beginning the template is laid on the document word by
-word; it is a match if enough words stand at their relative places and one of the template's key phrases stands
+word; it is a match if enough words stand at their relative places and every key phrase of the template stands
 complete there. Exact phrases give base labels wherever they stand.
 
 Defined cases: letters A-Z are lower-cased; a null text is empty: no words, no labels, score 0; the base labels
-stay whatever the method finds; repeated rows each give a row; an empty table gives an empty result; columns other
-than doc_id and text are ignored, whatever their names.
+stay whatever the method finds; of words of one IDF the one that comes first in the alphabet is the rarer; a template
+cut off by an end of the text matches by what is there; a text of any length is read whole; repeated rows each give a
+row; an empty table gives an empty result; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# The opening or best known sentences of public licences, and for each the phrases of which one must stand complete.
+# The opening or best known sentences of public licences, and for each the phrases that must stand in any match.
 TEMPLATES = {
     "mit": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
@@ -49,17 +50,57 @@ TEMPLATES = {
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         ("redistribution and use in source and binary forms",),
     ),
+    "bsd-3": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("may be used to endorse or promote products derived from this software",),
+    ),
     "gpl": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
         ("gnu general public license",),
     ),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        ("gnu lesser general public license",),
+    ),
+    "agpl": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        ("gnu affero general public license",),
+    ),
     "mpl-2": (
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
         ("mozilla public license",),
     ),
+    "epl-2": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+        ("eclipse public license",),
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ("permission to use copy modify and or distribute this software",),
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        ("in no event will the authors be held liable",),
+    ),
+    "bsl-1": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+        ("any person or organization obtaining a copy",),
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    "cc0": (
+        "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
+        ("waived all copyright and related or neighboring rights",),
+    ),
     "cc-by": (
         "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit",
-        ("creative commons attribution",),
+        ("creative commons attribution 4 0",),
+    ),
+    "cc-by-sa": (
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license to view a copy of this license visit",
+        ("creative commons attribution sharealike",),
     ),
     "cc-by-nc": (
         "this work is licensed under a creative commons attribution noncommercial 4 0 international license to view a copy of this license visit",
@@ -210,6 +251,6 @@ def _matches(index: LicenseIndex, posting: np.ndarray, needed: list[int], codes,
         same = codes[lo:hi] == body[lo - b : hi - b]
         share = float(same.sum()) / len(body)
         part = codes[lo:hi]
-        if share >= cover and any(len(stands(part, np.zeros(len(part), np.int64), key)) for key in index.keys[t]):
+        if share >= cover and all(len(stands(part, np.zeros(len(part), np.int64), key)) for key in index.keys[t]):
             out[r].append({"label": index.names[t], "start": lo - int(bounds[r]), "end": hi - int(bounds[r]), "score": share})
     return out
