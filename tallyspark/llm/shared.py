@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +26,24 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
+    for tables in _kept:
+        tables.append(out)
     return out
 
 
+_kept: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tables_of():
+    """The list of the tables written within, for a caller that forgets them once its own result is written."""
+    _kept.append([])
+    try:
+        yield _kept[-1]
+    finally:
+        _kept.pop()
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table of a written() frame that no later result reads."""
     jvm = df.sparkSession._jvm

@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership: document rates whose expected domain totals meet targets.
 
 Method: a naive Bayes classifier, fitted on a labelled table, gives each document a probability for each domain
-(hashed words and binned shares of kinds of characters). With n tokens and rate x a document adds x * n * p[j]
+(hashed words and binned shares of kinds of characters; see posteriors for how evidence adds up). With n tokens and rate x a document adds x * n * p[j]
 tokens to domain j. Projected gradient descent, one distributed aggregation a round, minimises
 
     sum over j of (total[j] - target[j]) ** 2 / (natural[j] * N)  +  ridge * sum over documents of n * (x - 1) ** 2 / N
@@ -10,7 +10,8 @@ over rates x >= 0; dividing by the natural totals makes the curvature 1 at most,
 rounds suffice; the small ridge keeps rates near 1 where targets leave them free. All of it is DataFrame
 expressions; what reaches the driver is a row of numbers for each domain and word place, bounded by parameters.
 
-Defined cases: a null text has no words: its rate is 1 and it adds nothing; rows that share a doc_id each get a rate;
+Defined cases: a null text has no words: its rate is 1 and it adds nothing; rows that share a doc_id each get a rate
+(row, a hash of the text, tells them apart); a text of any length is read whole;
 labels that are null or whose doc_id is null or absent are left out; a domain without labelled rows has a small
 probability everywhere; without any tokens, or an empty table, rates stay 1; of the documents' columns only doc_id
 and text are read.
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.shared import forget, written
 
-PLACES = 4096
-SHRINK = 20
+PLACES = 1 << 16
 TEMPER = 25
+#: Log odds against the first domain from which a word is strong, and how many strong words are told apart.
+STRONG, MOST = 1.5, 3
 #: Character kinds whose shares are binned: (pattern of one character, bounds in thousandths of the text's length).
 KINDS = (("[#*$%&|<>]", (2, 20, 100)), ("[A-Z]", (5, 60, 200)), ("!", (2, 20)), ("[.]", (1, 8, 40)))
 
@@ -52,47 +54,75 @@ def evidence(docs: DataFrame, *keep: str) -> DataFrame:
 WIDTH = PLACES + sum(len(b) + 1 for _, b in KINDS)
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> tuple[list[float], list[list[float]]]:
-    """Log priors, and log weights of each place for each domain, from at most ``sample`` labelled rows (doc_id, domain).
+class DomainModel:
+    """Log priors, log weights of places and bins by domain, and of numbers of strong words: strong[j][d][number] for domain j + 1's strong words."""
 
-    A word's place counts among all places found in its domain, a bin among the domain's documents. Rates are drawn
-    towards those in all domains as by SHRINK more documents, so that places seen a few times weigh little.
+    def __init__(self, prior: list[float], weights: list[list[float]], strong: list[list[list[float]]]):
+        self.prior, self.weights, self.strong = prior, weights, strong
+
+    def table(self, j: int) -> Column:
+        """The log odds of all places and bins for domain j against the first, folded into one literal."""
+        numbers = ",".join(f"{a - b:.6g}" for a, b in zip(self.weights[j], self.weights[0], strict=True))
+        return F.expr(f"cast(split('{numbers}', ',') as array<double>)")
+
+    def numbers_of_strong(self, found: Column) -> list[Column]:
+        """For each domain but the first, how many of its strong words a text has, MOST at most."""
+        words = F.slice(found, F.lit(1), F.size(found) - len(KINDS))
+        return [F.least(F.size(F.filter(words, _at_least(self.table(j)))), F.lit(MOST)) for j in range(1, len(self.prior))]
+
+
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> DomainModel:
+    """The model of at most ``sample`` labelled rows (doc_id, domain).
+
+    A word's place counts among all places found in its domain, a bin among the domain's documents: its weight is how its
+    number there compares with that expected if all domains were alike, both raised by 4 and a 200th of the rows, so that
+    what few rows show by chance weighs little. A second pass counts each domain's texts by how many strong words of each
+    other domain they have. Equal hashes at the cut of the sample go by doc_id, then domain.
     """
     marked = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).select(F.col("doc_id").cast("long").alias("doc_id"), "domain")
     chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id", "domain"), "doc_id", "domain").limit(sample))  # bounded
-    seen = evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"), "domain")
+    seen = written(evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"), "domain"))
     total = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     counts = {(r["place"], r["domain"]): r["n"] for r in seen.select("domain", F.explode("found").alias("place")).groupBy("place", "domain").agg(F.count("*").alias("n")).collect()}
     n = sum(total.values())
     prior = [math.log((total.get(d, 0) + 1) / (n + len(domains))) for d in domains]
     places = {d: sum(counts.get((p, d), 0) for p in range(PLACES)) for d in domains}
-    in_all = sum(places.values())
-    per_document = max(1.0, in_all / max(n, 1))
-    weights = []
-    for d in domains:
-        own = []
-        for p in range(WIDTH):
-            of, all_, more = (places[d], in_all, SHRINK * per_document) if p < PLACES else (total.get(d, 0), n, SHRINK)
-            rate = (sum(counts.get((p, x), 0) for x in domains) + 0.5) / (all_ + 1)
-            own.append(math.log((counts.get((p, d), 0) + more * rate) / (of + more)))
-        weights.append(own)
-    return prior, weights
-
-
-def posteriors(found: Column, prior: list[float], weights: list[list[float]]) -> list[Column]:
+    in_all, raised = sum(places.values()), 4 + n / 200
+    share = {True: {d: places[d] / max(in_all, 1) for d in domains}, False: {d: total.get(d, 0) / max(n, 1) for d in domains}}
+    sums: dict[int, int] = {}
+    for (p, _), c in counts.items():
+        sums[p] = sums.get(p, 0) + c
+    model = DomainModel(prior, [[math.log((counts.get((p, d), 0) + raised) / (sums.get(p, 0) * share[p < PLACES][d] + raised)) for p in range(WIDTH)] for d in domains], [])
+    numbers = model.numbers_of_strong(F.col("found"))
+    for j in range(len(domains) - 1):
+        of = {(r["domain"], r["m"]): r["n"] for r in seen.groupBy("domain", numbers[j].alias("m")).agg(F.count("*").alias("n")).collect()}
+        model.strong.append([[math.log((of.get((d, m), 0) + 1) / (total.get(d, 0) + MOST + 1)) for m in range(MOST + 1)] for d in domains])
+    forget(seen)
+    return model
+
+
+def _at_least(table: Column):
+    return lambda place: F.get(table, place) >= STRONG
+
+
+def posteriors(found: Column, model: DomainModel) -> list[Column]:
     """Columns of the domains' log odds against the first.
 
     A text's words depend on each other, so that the sum of their evidence grows too fast with its length: it is
-    drawn in by TEMPER / (TEMPER + places), which bounds it.
+    drawn in by TEMPER / (TEMPER + places), which bounds it. Strong words count beside that by their number, however long
+    the text around them; that a text has none counts too.
     """
-    out = []
     n = F.size(found) - len(KINDS)
     words, bins = F.slice(found, F.lit(1), n), F.slice(found, F.lit(-len(KINDS)), F.lit(len(KINDS)))
     share = F.lit(float(TEMPER)) / (TEMPER + n)
-    for j in range(1, len(prior)):
-        numbers = ",".join(f"{a - b:.6g}" for a, b in zip(weights[j], weights[0], strict=True))
-        table = F.expr(f"cast(split('{numbers}', ',') as array<double>)")  # folded into one literal
-        out.append(F.aggregate(bins, F.lit(prior[j] - prior[0]), _adding(table)) + share * F.aggregate(words, F.lit(0.0), _adding(table)))
+    numbers = model.numbers_of_strong(found)
+    out = []
+    for j in range(1, len(model.prior)):
+        table = model.table(j)
+        odds = F.aggregate(bins, F.lit(model.prior[j] - model.prior[0]), _adding(table)) + share * F.aggregate(words, F.lit(0.0), _adding(table))
+        for number, by_domain in zip(numbers, model.strong, strict=True):
+            odds = odds + F.get(F.array(*(F.lit(a - b) for a, b in zip(by_domain[j], by_domain[0], strict=True))), number)
+        out.append(odds)
     return out
 
 
@@ -101,19 +131,21 @@ def _adding(table: Column):
 
 
 def domain_probabilities(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> DataFrame:
-    """Per row of docs (doc_id, text): n_tokens and p, the probability of each domain in order."""
-    prior, weights = fit_domains(docs, labelled, domains, sample)
-    rows = evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    odds = posteriors(F.col("found"), prior, weights)
-    rows = rows.select("doc_id", "n_tokens", F.array(F.lit(0.0), *odds).alias("odds"))
+    """Per row of docs (doc_id, text): row, n_tokens and p, the probability of each domain in order."""
+    model = fit_domains(docs, labelled, domains, sample)
+    rows = evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text"), "doc_id", "row")
+    odds = posteriors(F.col("found"), model)
+    rows = rows.select("doc_id", "row", "n_tokens", F.array(F.lit(0.0), *odds).alias("odds"))
     rows = rows.withColumn("likely", F.transform("odds", lambda x: F.exp(x - F.array_max("odds"))))
     total = F.aggregate("likely", F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("total", total).select("doc_id", "n_tokens", F.transform("likely", lambda x: x / F.col("total")).alias("p"))
+    return rows.withColumn("total", total).select("doc_id", "row", "n_tokens", F.transform("likely", lambda x: x / F.col("total")).alias("p"))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], ridge: float = 0.01, rounds: int = 40, tolerance: float = 1e-7) -> DataFrame:
+def fit_rates(rows: DataFrame, targets: list[float], ridge: float = 0.01, rounds: int = 40, tolerance: float = 1e-7, fixed: int | None = None) -> DataFrame:
     """rows (n_tokens, p) with a column rate, so that sums of rate * n_tokens * p are near targets * sum of n_tokens.
 
+    fixed: a domain whose total is to stay as it is, all targets being scaled alike for that.
+
     Rates are kept as an expression of the rounds' residuals and written out every eighth round.
     """
     k = len(targets)
@@ -125,6 +157,8 @@ def fit_rates(rows: DataFrame, targets: list[float], ridge: float = 0.01, rounds
         return state
     natural = [max(first[f"t{j}"] / n, 1e-9) for j in range(k)]
     totals = [first[f"t{j}"] / n for j in range(k)]
+    if fixed is not None:
+        targets = [t * totals[fixed] / targets[fixed] for t in targets]
     step, rate, old = 1 / (1 + ridge), F.col("rate"), None
     for turn in range(1, rounds + 1):
         pull = sum((p[j] * ((totals[j] - targets[j]) / natural[j]) for j in range(k)), F.lit(0.0))
@@ -143,13 +177,25 @@ def fit_rates(rows: DataFrame, targets: list[float], ridge: float = 0.01, rounds
     return state.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = 6000) -> DataFrame:
-    """Per row of docs (doc_id, text): n_tokens, p (probability of each target's domain, in order) and rate.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = 6000, fixed: str | None = None) -> DataFrame:
+    """Per row of docs (doc_id, text): row, n_tokens, p (probability of each target's domain, in order) and rate.
 
-    labelled: (doc_id, domain). targets: each domain's tokens wanted, as a share of all tokens there are.
+    labelled: (doc_id, domain). targets: each domain's tokens wanted, as a share of all tokens there are. fixed: a domain
+    that keeps its tokens; targets are then shares of what results.
     """
     rows = written(domain_probabilities(docs, labelled, list(targets), sample))
-    return fit_rates(rows, list(targets.values()))
+    return fit_rates(rows, list(targets.values()), fixed=None if fixed is None else list(targets).index(fixed))
+
+
+def drawn(doc_id: Column, row: Column, rate: Column) -> Column:
+    """Whether a document of a rate below 1 is drawn: by a hash, so always alike. Each rate's share of documents is, near enough."""
+    return F.pmod(F.xxhash64(F.lit("drawn"), doc_id, row), F.lit(1 << 30)) < rate * float(1 << 30)
+
+
+def token_shares(rows: DataFrame, targets: dict[str, float], kept: Column) -> dict[str, float]:
+    """The expected share of each domain in the tokens of kept rows of mix()."""
+    sums = rows.filter(kept).agg(F.sum("n_tokens").alias("n"), *(F.sum(F.col("n_tokens") * F.col("p")[j]).alias(d) for j, d in enumerate(targets))).first()
+    return {d: (sums[d] or 0.0) / max(sums["n"] or 0, 1) for d in targets}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

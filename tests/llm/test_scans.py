@@ -15,10 +15,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyspark.llm import queries
+from tallyspark.llm import block_knn, queries
 from tallyspark.llm.block_knn import nearest
 from tallyspark.llm.factor_machine import score_quality
-from tallyspark.llm.license_scan import TEMPLATES, scan_licenses
+from tallyspark.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from tallyspark.llm.lm_scoring import read_words, score_documents
 from tallyspark.llm.quality_rules import CATCHES, GOOD, SPARES, STRAYS, fit_accuracies, judge_quality, text_counts, votes, with_posteriors
 from tallyspark.llm.sentencepiece_bpe import encode_batch, encode_documents, load
@@ -79,7 +79,7 @@ def test_licenses_side_by_side(spark):
     body = {k: t for k, (t, _) in TEMPLATES.items()}
     names, stray, rng = list(body), " ".join(w for t, _ in TEMPLATES.values() for w in t.split()[::-1]), random.Random(7)
     texts = [f"{body[a]} and {body[b]}" for a in names for b in names if a != b]
-    texts += [" x ".join(body[k] for k in names[i:] + names[:i]) for i in range(7)] + [" y ".join(body[k] for k in names[i : i + 3]) for i in range(5)]
+    texts += [" x ".join(body[k] for k in names[i:] + names[:i]) for i in range(len(names))] + [" y ".join(body[k] for k in names[i : i + 3]) for i in range(5)]
     texts += [f"{stray} {body[k]} {stray}" for k in names] + [" ".join(body[k].split()[5:]) for k in names]
     texts += [" ".join(w if rng.random() < 0.7 else "zzz" for w in body[k].split()) + " " + stray for k in names for _ in range(10)]
     got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
@@ -90,10 +90,40 @@ def test_licenses_side_by_side(spark):
             for b in range(-len(t) + 1, len(w)):
                 lo, hi = max(b, 0), min(b + len(t), len(w))
                 same = sum(x == y for x, y in zip(w[lo:hi], t[lo - b : hi - b], strict=True)) / len(t)
-                if same >= 0.6 and any(f" {key} " in f" {' '.join(w[lo:hi])} " for key in keys):
+                if same >= 0.6 and all(f" {key} " in f" {' '.join(w[lo:hi])} " for key in keys):
                     want.add((k, lo, hi))
         assert {(s["label"], s["start"], s["end"]) for s in r["spans"]} == want
-    assert {s["label"] for r in got if r["doc_id"] < 42 for s in r["spans"]} == set(names)
+    pairs = len(names) * (len(names) - 1)
+    assert {s["label"] for r in got if r["doc_id"] < pairs for s in r["spans"]} == set(names)
+    assert all({s["label"] for s in r["spans"]} == set(names) for r in got if pairs <= r["doc_id"] < pairs + len(names))
+
+
+def test_licenses_of_a_whole_table(spark, odd_docs):
+    """Every template laid at every place of every text, and phrases by plain search; repeated rows, nulls and clashing names too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    mixed = odd_docs.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("Under the MIT License " + TEMPLATES["isc"][0].upper() + " " + TEMPLATES["cc0"][0][30:]).alias("text"))
+    docs = docs.unionByName(mixed).withColumns({"labels": F.lit("x"), "score": F.lit(0)})
+    code = {}
+    bodies = {k: (np.array([code.setdefault(w, len(code)) for w in body.split()]), keys) for k, (body, keys) in TEMPLATES.items()}
+    want = Counter()
+    for r in docs.collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r["text"] or "").translate(LOWER))
+        x, flat = np.array([code.get(v, -1) for v in w], np.int64), f" {' '.join(w)} "
+        places = sorted(i for p in PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        base = sorted({label for p, label in PHRASES.items() if f" {p} " in flat})
+        labels, best = set(base), 0.0
+        for k, (body, keys) in bodies.items():
+            n = len(body)
+            padded = np.r_[np.full(n - 1, -2), x, np.full(n - 1, -2)]
+            same = sum((padded[j : j + len(padded) - n + 1] == body[j]).astype(int) for j in range(n)) / n
+            for b in np.flatnonzero(same >= 0.6) - n + 1:
+                if all(f" {key} " in f" {' '.join(w[max(b, 0) : b + n])} " for key in keys):
+                    labels.add(k)
+                    best = max(best, float(same[b + n - 1]))
+        want[r["doc_id"], len(w), len(places), min(places, default=None), max(places, default=None), ",".join(base), ",".join(sorted(labels)), round(1.0 if base else best, 9)] += 1
+    got = Counter((*tuple(r)[:7], round(r["score"], 9)) for r in scan_licenses(docs).collect())
+    assert got == want
+    assert {r[6] for r in got if r[0] == -1} == {"cc0,isc,mit"}
 
 
 def test_quality_counts_and_verdicts(spark, odd_docs):
@@ -198,7 +228,8 @@ def test_neighbours_equal_sql_and_skip_unusable(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
-def test_neighbours_with_many_ties_over_blocks(spark):
+def test_neighbours_with_many_ties_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(block_knn, "FAN", 3)  # two levels of merging
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(300, 6)), 1)
     got = nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 7 == 0, 5, 40).collect()
@@ -208,6 +239,16 @@ def test_neighbours_with_many_ties_over_blocks(spark):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
 
 
+def test_neighbours_of_repeated_ids_and_copies(spark):
+    """Each row of an id asks for itself; a block of copies gives the smallest ids; clashing names are left alone."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.2]), (3, [1.0, 0.3])] + [(i, [5.0, 1.0]) for i in range(200, 100, -1)]
+    docs = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, score int, at string")
+    for block in (3, 200):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in nearest(docs, F.col("vec_id") == 0, 3, block).collect())
+        near, far = [(0, 1, 1, 0.1), (0, 2, 2, 0.2), (0, 3, 3, 0.3)], [(0, j, 100 + j, 1.0) for j in (1, 2, 3)]
+        assert got == sorted(near + near + far)
+
+
 def test_language_models_equal_brute_force(spark, odd_docs):
     size, weight = 40, 20
     target = [("the w1 w2 w3 short one.",), ("w5 w6 W7",), (None,), ("",)]
