@@ -1,71 +1,5 @@
-"""The corpus pipeline: from documents to token ids in five stages, each written as Parquet and read again.
+"""The corpus pipeline: documents in, token ids out. Its stages are in tallyspark.llm.stages."""
 
-Stages keep clean documents: the classifier drops what it rejects, near-duplicate groups keep their smallest document,
-repeated passages stay in the document that has them first, and mixing drops only documents more likely not good of which the fitted rates
-want less than half. Columns stay those of documents until the last stage; n_chars follows the text.
-"""
+from tallyspark.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tallyspark.llm.debruijn_dedup import remove_repeated_passages
-from tallyspark.llm.factor_machine import score_quality
-from tallyspark.llm.minhash_dedup import near_duplicates
-from tallyspark.llm.sentencepiece_bpe import encode_documents
-from tallyspark.llm.shared import written
-from tallyspark.llm.soft_mixing import label_domains, mix
-
-#: Shares of all tokens; a document that is more likely good than not stays whatever its rate.
-WANTED = {"good": 0.9, "low": 0.02, "toxic": 0.08}
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine predicts to be good."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return score_quality(docs, labels, keep=others).filter("predicted = 1").select(*docs.columns)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, on five-word shingles at a similarity of 0.8."""
-    spare = near_duplicates(docs, width=5, percent=80, bands=40, rows=5).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
-
-
-def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words that an earlier document has; a document of which nothing is left goes."""
-    changed = remove_repeated_passages(docs, 50).filter("n_removed > 0").select(F.col("doc_id").alias("id"), "row", "kept_text", (F.col("n_removed") == F.col("n_words")).alias("gone"))
-    changed = changed.dropDuplicates(["id", "row"])
-    own = docs.withColumn("row_of_text", F.xxhash64("text"))
-    both = own.join(changed, (own.doc_id == changed.id) & (own.row_of_text == changed.row), "left").filter("gone IS NULL OR NOT gone")
-    text = F.coalesce("kept_text", "text")
-    return both.withColumns({"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("kept_text").cast("long"))}).select(*docs.columns)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents but those whose fitted rate is below a half and that are more likely not good."""
-    rates = mix(docs, label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), WANTED)
-    spare = rates.filter("rate < 0.5 AND p[0] < 0.5").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with begin and end, their number, and hashes of the ids and of the text that they decode to."""
-    import public_tokenizers
-
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
-
-
-STAGES = [("quality", quality), ("near_copies", near_copies), ("passages", passages), ("mixture", mixture), ("tokens", tokens)]
-
-#: SQL can express neither the fitted models nor the encoding.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
