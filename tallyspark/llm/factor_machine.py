@@ -7,8 +7,10 @@ so that scoring is linear in the features. The model is fitted by Adagrad on a b
 (``sample``, those with the smallest hashes of doc_id) and has a fixed size; scoring covers every whole text.
 
 Defined cases: a null text is empty and has a score like any; labels that are null or whose doc_id is null or absent
-are left out, a document labelled twice counts twice; without labels every score is 0.5; repeated rows each give a
-row; an empty table gives an empty result; of the documents' columns only doc_id and text are read.
+are left out, a document labelled twice counts twice; without labels every score is 0.5; labels of equal hashes at the
+cut of the sample go by doc_id, then label; repeated rows each give a row; a text of any length is read whole; an empty
+table gives an empty result; of the documents' columns only doc_id and text are read, and those to keep must not be
+called doc_id, held_out, score or predicted.
 """
 
 from __future__ import annotations
@@ -136,6 +138,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs (doc_id, text): held_out, score, predicted (1 if score >= 0.7) and the columns to keep, text among them or not."""
+    clash = {"doc_id", "held_out", "score", "predicted"} & set(keep)
+    if clash:
+        raise ValueError(f"columns to keep that the result has itself: {sorted(clash)}")
     model = fit_quality(docs, labels, sample=sample)
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors))  # of a fixed size
 

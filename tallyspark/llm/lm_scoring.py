@@ -12,8 +12,8 @@ are gathered, a row of numbers for each task. A caller may ask for the ``words``
 vocabulary, all others being one unknown word; only then does a table of that size go to every task.
 
 Defined cases: A-Z are lower-cased; a null or empty text has no words, loss 0 and score 0; without target texts the
-target model is uniform; rows that share a doc_id count and score each; an empty table gives an empty result; only
-doc_id and text of documents and text of targets are read.
+target model is uniform; rows that share a doc_id count and score each; of words of one count at the cut of a vocabulary
+the smaller hash stays; a text of any length is read whole; an empty table gives an empty result; only doc_id and text of documents and text of targets are read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ loaded), and each different chunk is encoded once per batch and remembered by th
 piece has become their UTF-8 bytes' pieces.
 
 Defined cases: a null text is empty and has begin and end only; the vocabulary file's path is a parameter;
-repeated rows each give a row; columns other than doc_id and text are ignored, whatever their names.
+a text of any length is encoded whole, and a run without spaces is one chunk, whose work grows with its length;
+repeated rows each give a row; an empty table gives an empty result; columns other than doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -108,20 +110,20 @@ class BpeModel:
         if not chunk:
             return []
         n, longest, ids = len(chunk), self._longest(chunk), self.ids
-        failed = 0  # bit i: no way from place i, with any piece before that was compatible
+        failed = bytearray(len(chunk) // 8 + 1)  # bit i: no way from place i, with any piece before that was compatible
         path: list[str] = []
         at, length = 0, longest[0]
         while at < n:
             piece = chunk[at : at + length]
             to = at + length
-            if not failed >> to & 1 and self.fits(path[-1] if path else "", piece):
+            if not failed[to >> 3] >> (to & 7) & 1 and self.fits(path[-1] if path else "", piece):
                 path.append(piece)
                 at = to
                 length = longest[at] if at < n else 0
                 continue
             length = self.shorter[piece]
             while not length:  # nothing shorter: this place has failed, so the piece before goes back too
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not path:
                     raise ValueError(f"no encoding of {chunk!r}")
                 piece = path.pop()

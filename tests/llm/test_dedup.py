@@ -240,3 +240,28 @@ def test_near_duplicates_where_stars_do_not_settle_a_bucket(spark):
     rows += [(1000 + i, " ".join(base[: 120 - 6 * i])) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(tuple(r)) for r in near_duplicates(docs).collect()) == expected_components(rows, 3, 85)
+
+
+def test_near_duplicates_of_a_whole_table_miss_no_link(spark):
+    """Every pair of sf0.01 that shares a shingle, by its full sets: recall of the bands and precision of the links are 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, holders, parent = {}, {}, {}
+    for d, t in pairs(docs):
+        w = words((t or "").translate(LOWER))
+        sets[d] = frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+        parent[d] = d
+        for g in sets[d]:
+            holders.setdefault(g, []).append(d)
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    seen = {(a, b) for group in holders.values() for i, a in enumerate(group) for b in group[:i]}
+    for a, b in seen:
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = sorted(tuple(r) for r in near_duplicates(docs).collect())
+    assert got == sorted((d, len(s), find(d), find(d) == d) for d, s in sets.items())

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import block_knn, queries
 from tallyspark.llm.block_knn import nearest
-from tallyspark.llm.factor_machine import score_quality
+from tallyspark.llm.factor_machine import FactorMachine, features, score_quality
 from tallyspark.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
-from tallyspark.llm.lm_scoring import read_words, score_documents
+from tallyspark.llm.lm_scoring import pack_counts, read_counts, read_words, score_documents
 from tallyspark.llm.quality_rules import CATCHES, GOOD, SPARES, STRAYS, fit_accuracies, judge_quality, text_counts, votes, with_posteriors
 from tallyspark.llm.sentencepiece_bpe import encode_batch, encode_documents, load
 from tallyspark.llm.soft_mixing import label_domains, mix
@@ -52,6 +53,19 @@ def test_decoding_any_ids_equals_the_library(library):
         assert model.decode(np.array(ids)).decode() == library.decode(ids)
 
 
+def test_a_very_long_run_without_spaces(library):
+    model, rng = load(P.path("piece_bpe_32k.model")), random.Random(9)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.perf_counter()
+    ids, _ = encode_batch(model, pa.array([long, None, ""]))
+    assert time.perf_counter() - began < 60
+    assert ids.tolist() == library.encode(long, add_bos=True, add_eos=True) + 2 * library.encode("", add_bos=True, add_eos=True)
+
+
+def test_encoding_an_empty_table(spark, odd_docs):
+    assert encode_documents(odd_docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+
+
 def test_encoded_documents(spark, odd_docs, library):
     got = Counter(tuple(r)[:4] for r in encode_documents(odd_docs, P.path("piece_bpe_32k.model")).collect())
     want = Counter()
@@ -217,6 +231,28 @@ def test_factor_machine_on_held_out_rows(spark, odd_docs):
     assert all(r["score"] == 0.5 for r in odd)
 
 
+def test_factor_machine_is_the_double_loop(spark, odd_docs):
+    """The sum-of-squares identity against all pairs of features, and clashing or empty input."""
+    model = FactorMachine(4)
+    model.bias, model.linear = 0.3, np.random.default_rng(1).normal(size=len(model.linear))
+    texts = ["One two! 3 two # one", "", "a b c " * 5, "é日本\nX"]
+    place, value, bounds = features(pa.array(texts))
+    raw, _ = model.raw(place, value, bounds)
+    for got, a, b in zip(raw, bounds[:-1], bounds[1:], strict=True):
+        f = list(zip(place[a:b].tolist(), value[a:b].tolist(), strict=True))
+        want = model.bias + sum(model.linear[p] * x for p, x in f) + sum(model.factors[p] @ model.factors[q] * x * y for i, (p, x) in enumerate(f) for q, y in f[:i])
+        assert got == pytest.approx(want, abs=1e-9)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (99, 1)], "doc_id long, quality int")
+    assert score_quality(odd_docs.limit(0), labels).count() == 0
+    with pytest.raises(ValueError, match="score"):
+        score_quality(odd_docs.withColumn("score", F.lit(1)), labels, keep=("score",))
+
+
+def test_counts_beyond_32_bits_are_kept():
+    counts = np.array([1, 2**31, 3 * 2**31 + 5, 7])
+    assert read_counts([pack_counts(counts), pack_counts(np.array([4, 5]))], np.array([4, 2])).tolist() == [*counts.tolist(), 4, 5]
+
+
 def test_neighbours_equal_sql_and_skip_unusable(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
