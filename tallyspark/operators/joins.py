@@ -235,11 +235,18 @@ def nearest_peers(rows: DataFrame, group: list[str], key: str, value: str, n: in
 
 
 def nearest_points(points: DataFrame, pool: DataFrame, key: str, axes: list[str], n: int) -> DataFrame:
-    """The n nearest rows of a small pool (checked: at most 10,000), by Euclidean distance, without the point itself."""
-    other = small(pool.select(F.col(key).alias("neighbour"), *(F.col(a).alias(f"_{a}") for a in axes)))
-    distance = F.sqrt(sum((F.pow(F.col(a) - F.col(f"_{a}"), 2) for a in axes), F.lit(0.0)))
-    pairs = points.join(other, F.col(key) != F.col("neighbour")).select(key, "neighbour", distance.alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("distance", "neighbour"))).filter(F.col("rank") <= n)
+    """The n nearest rows of a small pool (checked: at most 10,000), by Euclidean distance, without the point itself; ties go to the smaller key.
+
+    The pool is one literal in the plan, so that only a point's n rows ever exist and nothing is shuffled. Points and rows
+    of the pool without all coordinates have no neighbours and are none.
+    """
+    rows = small(pool.select(key, *axes).dropna()).toJSON().collect()
+    kinds = dict(pool.dtypes)
+    struct = ", ".join(f"`{c}`: {kinds[c]}" for c in (key, *axes))
+    others = F.filter(F.from_json(F.lit(f"[{','.join(rows)}]"), f"array<struct<{struct}>>"), lambda x: x[key] != F.col(key))
+    distance = lambda x: F.sqrt(sum((F.pow(F.col(a) - x[a], 2) for a in axes), F.lit(0.0)))
+    best = F.slice(F.array_sort(F.transform(others, lambda x: F.struct(distance(x).alias("distance"), x[key].alias("neighbour")))), 1, n)
+    return points.dropna(subset=axes).select(key, F.posexplode(best).alias("_at", "_p")).select(key, "_p.neighbour", "_p.distance", (F.col("_at") + 1).alias("rank"))
 
 
 def token_overlap(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -24,3 +25,16 @@ def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     if len(df.limit(most + 1).select(F.lit(1)).collect()) > most:
         raise ValueError(f"more than {most} rows are too many to broadcast")
     return F.broadcast(df)
+
+
+def numbered_in_order(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with a number from 0 in a total order: ranges of the order are numbered apart, each from where the one before ends."""
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    ends, at = [], 0
+    for part, n in sorted(map(tuple, placed.groupBy("_part").count().collect())):  # a row for each partition
+        ends += [F.lit(part), F.lit(at)]
+        at += n
+    if not ends:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn(name, (F.element_at(F.create_map(*ends), F.col("_part")) + place).cast("long")).drop("_part")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from tallyspark.operators.gates import require
+from tallyspark.plans.lineage import numbered_in_order
 
 
 def write_entities(rows: DataFrame, schema: T.StructType, path: str, *gates: DataFrame, kind: str = "parquet") -> None:
@@ -28,7 +28,7 @@ def write_shards(rows: DataFrame, path: str, key: str) -> DataFrame:
 def with_dictionary(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """rows with numbers in place of a column's values, and the table of both; numbers go by frequency, then value."""
     table = rows.filter(F.col(column).isNotNull()).groupBy(column).count()
-    table = table.withColumn("code", F.row_number().over(W.orderBy(F.desc("count"), column)) - 1).select(column, "code")
+    table = numbered_in_order(table, "code", F.desc("count"), F.asc(column)).select(column, F.col("code").cast("int").alias("code"))
     return rows.join(table, column, "left").withColumn(column, F.col("code")).drop("code"), table
 
 

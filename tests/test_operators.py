@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, numbers, text
+from tallyspark.plans.lineage import numbered_in_order
 from tallyspark.operators import aggregates, gates, joins, nested, places, windows
 from tallyspark.plans import inspect
 
@@ -261,3 +262,15 @@ def test_stage_counts_drop_no_row(spark, stage):
     assert [(r["stopped"], r["reached"]) for r in whole.collect()] == [(1, 2), (0, 1), (1, 1)]
     with pytest.raises(gates.GateError, match="s is 0 to 2"):
         aggregates.stage_counts(spark.createDataFrame([("a", 0), ("a", stage)], schema), ["k"], "s", 2)
+
+
+def test_numbers_in_order_and_nearest_points_without_single_tasks(spark):
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"))
+    got = numbered_in_order(rows, "n", F.desc("v"))
+    assert {r["v"]: r["n"] for r in got.collect()} == {v: 499 - v for v in range(500)}
+    assert numbered_in_order(rows.limit(0), "n", F.desc("v")).count() == 0
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 0.0, -1.0), (4, None, 0.0), (5, 9.0, 9.0)], "k int, x double, y double")
+    near = joins.nearest_points(points, points, "k", ["x", "y"], 2)
+    assert {(r["k"], r["rank"], r["neighbour"], r["distance"]) for r in near.collect() if r["k"] == 1} == {(1, 1, 2, 1.0), (1, 2, 3, 1.0)}
+    assert near.filter("k = 4 OR neighbour = 4").count() == 0
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
