@@ -2,9 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import filters, unions
+from tallyspark.functions import dates, numbers, text
+from tallyspark.operators import filters, places, unions, windows
+from tallyspark.sources import readers
 
 D = dt.date
 
@@ -53,3 +56,29 @@ def test_representatives_and_nested_totals(spark):
     assert [(r["topic"], r["id"]) for r in unions.representatives(rows, "topic", "score", "id", 2).collect()] == [("a", 2), ("b", 3)]
     row = unions.totals_and_items(rows, "y", "term", "topic", "id").first()
     assert (row["n"], row["items"], [tuple(x) for x in row["topics"]]) == (3, [1, 2, 3], [("a", 2), ("b", 1)])
+
+
+def test_rules_that_no_query_shows(spark, tmp_path):
+    (tmp_path / "lines.txt").write_text("code  name\nA1  first \nnot a row\nB2  second\n")
+    rows = readers.pattern_lines(spark, str(tmp_path / "lines.txt"), r"^([A-Z]\d)\s+(.*)$", ["code", "name"], 2)
+    assert {tuple(r) for r in rows.collect()} == {("A1", "first"), ("B2", "second")}
+    with pytest.raises(ValueError, match="fewer"):
+        readers.pattern_lines(spark, str(tmp_path / "lines.txt"), r"^([A-Z]\d)\s+(.*)$", ["code", "name"], 3)
+    spans = spark.createDataFrame([("g", 1, 0, 5), ("g", 2, 3, 8), ("g", 3, 5, 6), ("g", 4, 6, 9), ("g", 5, 7, 7), ("h", 1, 0, 1)], "g string, k int, a int, b int")
+    got = {(r["g"], r["k"]): r["lane"] for r in places.packed_lanes(spans, "g", "k", "a", "b").collect()}
+    lanes = {}
+    for g, k, a, b in [tuple(r) for r in spans.orderBy("g", "a", "k").collect()]:  # the lowest lane that is free
+        ends = lanes.setdefault(g, [])
+        want = next((i for i, e in enumerate(ends) if e <= a), len(ends))
+        ends[want : want + 1] = [b]
+        assert got[g, k] == want
+    one = spark.range(1).select(
+        text.child_id(F.lit("HSAG"), F.lit("01")).alias("child"), text.number_in(F.lit(1234567), F.lit("of 1,234,567 cases")).alias("sep"), text.number_in(F.lit(12), F.lit("1 and 2")).alias("no"),
+        numbers.clip_band(F.lit(9), 4).alias("band"), numbers.signed_log_inverse(numbers.signed_log(F.lit(-250.0))).alias("back"), dates.month_of_index(F.lit(13), 1991).alias("month"), dates.convening_day(F.lit(73)).alias("old"), dates.convening_day(F.lit(119)).alias("new"),
+    ).first()
+    assert (one["child"], one["sep"], one["no"], one["band"]) == ("HSAG01", True, False, 4)
+    assert abs(one["back"] + 250) < 1e-6
+    assert [str(one[c]) for c in ("month", "old", "new")] == ["1992-02-01", "1933-03-04", "2025-01-03"]
+    names = spark.createDataFrame([("b",), (None,), ("a",)], "n string")
+    assert [[r["n"] for r in names.orderBy(windows.nulls_last("n", d)).collect()] for d in (False, True)] == [["a", "b", None], ["b", "a", None]]
+    assert [r["n"] for r in spark.createDataFrame([("b",), ("É",), ("a",), ("F",)], "n string").orderBy(windows.by_name("n")).collect()] == ["a", "b", "É", "F"]
