@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.shared import forget, written
 
-PLACES = 1 << 16
+PLACES = 1 << 14
 TEMPER = 25
 #: Log odds against the first domain from which a word is strong, and how many strong words are told apart.
 STRONG, MOST = 1.5, 3
@@ -60,15 +60,21 @@ class DomainModel:
     def __init__(self, prior: list[float], weights: list[list[float]], strong: list[list[list[float]]]):
         self.prior, self.weights, self.strong = prior, weights, strong
 
-    def table(self, j: int) -> Column:
-        """The log odds of all places and bins for domain j against the first, folded into one literal."""
-        numbers = ",".join(f"{a - b:.6g}" for a, b in zip(self.weights[j], self.weights[0], strict=True))
-        return F.expr(f"cast(split('{numbers}', ',') as array<double>)")
+    def weighed(self, rows: DataFrame) -> DataFrame:
+        """rows (found) with _w1, _w2, ...: the log odds of each place found, for each domain against the first. Each table is in the plan once."""
+        for j in range(1, len(self.prior)):
+            numbers = ",".join(f"{a - b:.5g}" for a, b in zip(self.weights[j], self.weights[0], strict=True))
+            table = F.expr(f"cast(split('{numbers}', ',') as array<double>)")  # folded into one literal
+            rows = rows.withColumn(f"_w{j}", F.transform("found", _looked_up(table)))
+        return rows
 
-    def numbers_of_strong(self, found: Column) -> list[Column]:
-        """For each domain but the first, how many of its strong words a text has, MOST at most."""
-        words = F.slice(found, F.lit(1), F.size(found) - len(KINDS))
-        return [F.least(F.size(F.filter(words, _at_least(self.table(j)))), F.lit(MOST)) for j in range(1, len(self.prior))]
+    def strong_words(self, j: int) -> Column:
+        """How many strong words of domain j a text has, MOST at most."""
+        return F.least(F.size(F.filter(F.slice(f"_w{j}", F.lit(1), F.size(f"_w{j}") - len(KINDS)), lambda x: x >= STRONG)), F.lit(MOST))
+
+
+def _looked_up(table: Column):
+    return lambda place: F.get(table, place)
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> DomainModel:
@@ -93,49 +99,36 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     for (p, _), c in counts.items():
         sums[p] = sums.get(p, 0) + c
     model = DomainModel(prior, [[math.log((counts.get((p, d), 0) + raised) / (sums.get(p, 0) * share[p < PLACES][d] + raised)) for p in range(WIDTH)] for d in domains], [])
-    numbers = model.numbers_of_strong(F.col("found"))
-    for j in range(len(domains) - 1):
-        of = {(r["domain"], r["m"]): r["n"] for r in seen.groupBy("domain", numbers[j].alias("m")).agg(F.count("*").alias("n")).collect()}
+    for j in range(1, len(domains)):
+        of = {(r["domain"], r["m"]): r["n"] for r in model.weighed(seen).groupBy("domain", model.strong_words(j).alias("m")).agg(F.count("*").alias("n")).collect()}
         model.strong.append([[math.log((of.get((d, m), 0) + 1) / (total.get(d, 0) + MOST + 1)) for m in range(MOST + 1)] for d in domains])
     forget(seen)
     return model
 
 
-def _at_least(table: Column):
-    return lambda place: F.get(table, place) >= STRONG
-
-
-def posteriors(found: Column, model: DomainModel) -> list[Column]:
-    """Columns of the domains' log odds against the first.
+def posteriors(model: DomainModel) -> list[Column]:
+    """The domains' log odds against the first, over weighed() rows.
 
     A text's words depend on each other, so that the sum of their evidence grows too fast with its length: it is
     drawn in by TEMPER / (TEMPER + places), which bounds it. Strong words count beside that by their number, however long
     the text around them; that a text has none counts too.
     """
-    n = F.size(found) - len(KINDS)
-    words, bins = F.slice(found, F.lit(1), n), F.slice(found, F.lit(-len(KINDS)), F.lit(len(KINDS)))
-    share = F.lit(float(TEMPER)) / (TEMPER + n)
-    numbers = model.numbers_of_strong(found)
     out = []
     for j in range(1, len(model.prior)):
-        table = model.table(j)
-        odds = F.aggregate(bins, F.lit(model.prior[j] - model.prior[0]), _adding(table)) + share * F.aggregate(words, F.lit(0.0), _adding(table))
-        for number, by_domain in zip(numbers, model.strong, strict=True):
-            odds = odds + F.get(F.array(*(F.lit(a - b) for a, b in zip(by_domain[j], by_domain[0], strict=True))), number)
+        n = F.size(f"_w{j}") - len(KINDS)
+        total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+        odds = model.prior[j] - model.prior[0] + total(F.slice(f"_w{j}", F.lit(-len(KINDS)), F.lit(len(KINDS)))) + total(F.slice(f"_w{j}", F.lit(1), n)) * TEMPER / (TEMPER + n)
+        for i, by_domain in enumerate(model.strong, 1):
+            odds = odds + F.get(F.array(*(F.lit(a - b) for a, b in zip(by_domain[j], by_domain[0], strict=True))), model.strong_words(i))
         out.append(odds)
     return out
 
 
-def _adding(table: Column):
-    return lambda total, place: total + F.get(table, place)
-
-
 def domain_probabilities(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> DataFrame:
     """Per row of docs (doc_id, text): row, n_tokens and p, the probability of each domain in order."""
     model = fit_domains(docs, labelled, domains, sample)
     rows = evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text"), "doc_id", "row")
-    odds = posteriors(F.col("found"), model)
-    rows = rows.select("doc_id", "row", "n_tokens", F.array(F.lit(0.0), *odds).alias("odds"))
+    rows = model.weighed(rows).select("doc_id", "row", "n_tokens", F.array(F.lit(0.0), *posteriors(model)).alias("odds"))
     rows = rows.withColumn("likely", F.transform("odds", lambda x: F.exp(x - F.array_max("odds"))))
     total = F.aggregate("likely", F.lit(0.0), lambda a, x: a + x)
     return rows.withColumn("total", total).select("doc_id", "row", "n_tokens", F.transform("likely", lambda x: x / F.col("total")).alias("p"))
