@@ -78,7 +78,7 @@ def _runs_of_documents(windows: Windows):
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in expanded(batches, limit=24 << 20):
+        for batch in expanded(batches):
             ids, row = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("row").to_numpy(zero_copy_only=False)
             text, word_at, bounds = words_of(batch.column("text"))
             x = hash_words(text, word_at[:-1], word_at[1:] - 1)
@@ -268,7 +268,7 @@ def _finish(length: int, keep_text: bool):
 
     def finish(batches):
         expand = zstandard.ZstdDecompressor()
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=4 << 20):
             m = batch.num_rows
             texts = [expand.decompress(t) for t in batch.column("text").to_pylist()]
             text, word_at, bounds = words_of(pa.array(texts, pa.binary()))
@@ -335,8 +335,8 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50, keep_text: bool
     windows, scratch = Windows(length), Scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter("doc_id IS NOT NULL")
-    rows = with_names(squeezed(known, document_groups(known.sparkSession), "xxhash64(text)"), repeated_anchors(known, windows, word_tokens), everything=True)
-    told = written(rows.mapInArrow(_runs_of_documents(windows), DOCS))
+    texts = squeezed(known, document_groups(known.sparkSession), "xxhash64(text)")
+    told = written(with_names(texts, repeated_anchors(known, windows, word_tokens), True, _runs_of_documents(windows), DOCS))
     runs = told.filter("text IS NOT NULL").select("doc_id", "row", F.inline("runs")).select("doc_id", "row", "starts", "s1", "s2")
     # Pieces of unitigs with a smaller source, at every place of their run in a document.
     lost = runs.join(repeat_graph(told.filter("text IS NOT NULL"), scratch), ["s1", "s2"]).select("doc_id", "row", "starts", F.filter("pieces", lambda p: p["doc"] < F.col("doc_id")).alias("pieces")).filter(F.size("pieces") > 0)

@@ -120,7 +120,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)  # bounded, so it may be broadcast
 
     def make(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=8 << 20):
             place, value, bounds = features(batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), binaries(place.astype(np.int32), bounds), binaries(value.astype(np.float32), bounds)], ["doc_id", "y", "place", "value"])
 
@@ -147,7 +147,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, keep:
     def score(batches):
         own = FactorMachine(1)
         own.bias, own.linear, own.factors = sent.value
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=6 << 20):
             raw, _ = own.raw(*features(batch.column("text")))
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *keep)), 1 / (1 + np.exp(-np.clip(raw, -30, 30)))], ["doc_id", *keep, "score"])
 

@@ -34,7 +34,7 @@ from tallyspark.llm.batches import ranges, slices, utf8
 SPACE = "▁"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 #: Chunks that a worker remembers between batches, the first it meets; others are encoded again. Results do not depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 class BpeModel:
@@ -235,7 +235,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True) -> DataF
 
     def encode(batches):
         model = load(path)
-        for batch in slices(batches, limit=16 << 20):
+        for batch in slices(batches, limit=8 << 20):
             ids, bounds = encode_batch(model, batch.column("text"))
             sums, decoded = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):

@@ -222,6 +222,12 @@ class Bucket:
             yield np.repeat(name[node], times), np.repeat(size[node], times), entry, self.entries["start"][entry] + np.repeat(offset, times)
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """The bytes of many spans, one after the other; places are worked out for some spans at a time."""
+    parts = [data[ranges(starts[i : i + step], sizes[i : i + step])] for i in range(0, len(starts), step)]
+    return np.concatenate([data[:0], *parts])
+
+
 def equal_texts(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     """Whether n bytes from each a are the m bytes from b."""
     out = n == m
@@ -269,7 +275,7 @@ def _sender(windows: Windows, few: int, groups: int, merge: bool):
             order = np.argsort(name, kind="stable")
             e, low, name = e[order], low[order], name[order]
             size = e["count"].astype(np.int64) + length - 1
-            text = data[ranges(low, size)]
+            text = gathered(data, low, size)
             cut = np.searchsorted(name >> np.uint64(64 - few), np.arange((1 << few) + 1, dtype=np.uint64))
             bytes_at = np.r_[0, np.cumsum(size)][cut]
             used = np.flatnonzero(np.diff(cut))

@@ -153,7 +153,7 @@ def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=16 << 20):
             x64, x32, offs = tokens(batch)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             at, _ = windows.anchors(x32, offs[1:], offs[:-1])
@@ -224,8 +224,12 @@ def _by_group(name: np.ndarray, doc: np.ndarray, groups: int):
     yield pa.record_batch([group[head], np.ones(len(head), np.int32), pa.array(heads, pa.binary()), binaries(name, np.r_[head, len(name)])], NAMES)
 
 
-def with_names(rows: DataFrame, packed: DataFrame, everything: bool) -> DataFrame:
-    """rows (doc_id, row, group, text) with the names of their repeated anchors; rows without any only if everything is asked."""
+def with_names(rows: DataFrame, packed: DataFrame, everything: bool, then=None, schema: str = "doc_id long, row long, text binary, names binary") -> DataFrame:
+    """rows (doc_id, row, group, text) with the names of their repeated anchors; rows without any only if everything is asked.
+
+    then: what is made of a group's rows in the same task (batches to batches of the schema; needs everything), so that no
+    second Python process holds them.
+    """
 
     def pair(texts: pa.Table, told: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
@@ -244,9 +248,10 @@ def with_names(rows: DataFrame, packed: DataFrame, everything: bool) -> DataFram
         a, b = at[np.searchsorted(ids[order], doc)], at[np.searchsorted(ids[order], doc, side="right")]
         which = np.arange(len(doc)) if everything else np.flatnonzero(b > a)
         own = binaries(names[ranges(a[which], (b - a)[which])], np.r_[0, np.cumsum((b - a)[which])])
-        return texts.take(pa.array(which)).select(["doc_id", "row", "text"]).append_column("names", own)
+        named = texts.take(pa.array(which)).select(["doc_id", "row", "text"]).append_column("names", own)
+        return pa.Table.from_batches(list(then(named.to_batches()))) if then else named
 
-    return rows.groupBy("group").cogroup(packed.groupBy("group")).applyInArrow(pair, "doc_id long, row long, text binary, names binary")
+    return rows.groupBy("group").cogroup(packed.groupBy("group")).applyInArrow(pair, schema)
 
 
 def is_repeated(names: pa.Array, which: np.ndarray, row: np.ndarray) -> np.ndarray:
