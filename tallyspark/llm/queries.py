@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tallyspark.llm.block_knn import nearest
 from tallyspark.llm.debruijn_dedup import remove_repeated_passages
 from tallyspark.llm.factor_machine import score_quality
+from tallyspark.llm.fill_in_middle import fill_in_middle, restored
+from tallyspark.llm.language_id import fit_centroids, held_out, identify
 from tallyspark.llm.license_scan import scan_licenses
 from tallyspark.llm.lm_scoring import score_documents
 from tallyspark.llm.minhash_dedup import near_duplicates
+from tallyspark.llm.prefix_trie import forked, prefix_trie
 from tallyspark.llm.quality_rules import judge_quality
 from tallyspark.llm.sentencepiece_bpe import encode_documents
 from tallyspark.llm.soft_mixing import label_domains, mix
@@ -68,10 +71,30 @@ def op10_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(forked(table(spark, sf_dir, "conversations"))).drop("preorder", "subtree_end")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    chars = {f"{c}_chars": F.length(c).cast("long") for c in ("prefix", "middle")}
+    return rows.select("doc_id", "n", "form", *(v.alias(k) for k, v in chars.items()), digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_centroids(docs.filter(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cosine", "accepted")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_soft_mixing, op2_suffix_dedup, op3_sentencepiece, op4_debruijn_dedup, op5_license_scan, op6_quality_rules, op7_minhash_dedup, op8_block_knn, op9_lm_scoring, op10_factor_machine)
-}
+    for f in (
+        op1_soft_mixing, op2_suffix_dedup, op3_sentencepiece, op4_debruijn_dedup, op5_license_scan, op6_quality_rules, op7_minhash_dedup, op8_block_knn, op9_lm_scoring, op10_factor_machine,
+        op11_prefix_trie, op12_fill_in_middle, op13_language_id,
+    )
+}
 
 ORACLE_SQL = {
     "op8_block_knn": """
@@ -83,5 +106,20 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score, vec_id) AS rank FROM d)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op12_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), d AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM f
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
 """,
 }
