@@ -1,7 +1,7 @@
 """Joins that named rules need: defaults, misses, intervals, as-of, cascades, neighbours.
 
-Spans have a first day and a last one; an end of null is open in every operator here. Interval joins go by the year in
-which two spans first meet, an equality, so that no operator compares all with all. A null key or day matches nothing.
+Spans have a first day and a last one; an end of null is open in every operator here. Interval joins go by cells of days
+(see cells.py), an equality, so that no operator compares all with all. A null key or day matches nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyspark.operators.cells import MOST, length, meeting
 from tallyspark.operators.gates import GateError
 from tallyspark.plans.lineage import checkpointed, small
 
@@ -61,33 +62,43 @@ def crosswalk(rows: DataFrame, target: str, codes: str) -> tuple[DataFrame, Data
     return grouped.filter(F.size("targets") == 1).select("code", F.get("targets", F.lit(0)).alias(target)), grouped.filter(F.size("targets") > 1)
 
 
-def _by_year(rows: DataFrame, start: Column, end: Column, last: int) -> DataFrame:
-    """A row for each year that a span touches, up to the last that matters."""
-    to = F.least(F.coalesce(F.year(end), F.lit(last)), F.lit(last))
-    return rows.withColumn("_year", F.explode(F.when(F.year(start) <= to, F.sequence(F.year(start), to)).otherwise(F.array().cast("array<int>"))))
-
-
-def _meeting(a: DataFrame, b: DataFrame, keys: list[str], first: tuple[str, str], second: tuple[str, str], how: str = "inner") -> DataFrame:
-    """Rows of equal keys whose closed spans have a day in common: each pair once, in the year of the later start."""
-    (s1, e1), (s2, e2) = first, second
-    last = max((x for df, s in ((a, s1), (b, s2)) for x in (df.agg(F.max(F.year(s))).first()[0],) if x is not None), default=0)
-    left = _by_year(a, F.col(s1), F.col(e1), last) if s1 != e1 else a.withColumn("_year", F.year(s1))
-    right = _by_year(b, F.col(s2), F.col(e2), last).withColumnsRenamed({k: f"_{k}" for k in [*keys, "_year"]})
-    same = reduce(lambda c, k: c & (F.col(k) == F.col(f"_{k}")), keys, F.col("_year") == F.col("__year"))
-    within = (F.col(e2).isNull() | (F.col(s1) <= F.col(e2))) & (F.col(e1).isNull() | (F.col(s2) <= F.col(e1)))
-    return left.join(right, same & within & (F.col("_year") == F.greatest(F.year(s1), F.year(s2))), how).drop("_year", "__year", *(f"_{k}" for k in keys))
-
-
 def _days(first: tuple[str, str], second: tuple[str, str]) -> Column:
     """Days that two closed spans share; null if neither has an end (least leaves nulls out)."""
     (s1, e1), (s2, e2) = first, second
     return F.datediff(F.least(e1, e2), F.greatest(s1, s2)) + 1
 
 
+def shared_spans(rows: DataFrame, key: str, start: str, end: str, within: list[str] | None = None, most: int = MOST) -> DataFrame:
+    """(within, key, peer, shared, first, last, n_spans, ends_at_edge): whose closed spans share days or whole numbers with whose, both ways round.
+
+    shared sums the places in common over all pairs of their spans (spans of one key are taken not to overlap); first and last are the
+    ends of what is shared; ends_at_edge: it ends where the last span of the key does. An end of null is open: shared and last are null where both are.
+    Pairs arise where spans meet, each once, and are then turned round.
+    """
+    keys = within or []
+    one = rows.select(*keys, key, F.col(start).alias("_s1"), F.col(end).alias("_e1"))
+    two = rows.select(*keys, F.col(key).alias("peer"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
+    met = meeting(one, two, keys, ("_s1", "_e1"), ("_s2", "_e2"), most=most).filter(F.col(key) < F.col("peer"))
+    met = met.select(*keys, key, "peer", F.greatest("_s1", "_s2").alias("first"), F.least("_e1", "_e2").alias("last"))
+    pairs = met.groupBy(*keys, key, "peer").agg(
+        F.when(F.count("last") == F.count("*"), F.sum(length(met, "first", "last"))).alias("shared"), F.min("first").alias("first"), F.when(F.count("last") == F.count("*"), F.max("last")).alias("last"), F.count("*").alias("n_spans")
+    )
+    ways = F.explode(F.array(F.struct(F.col(key).alias("a"), F.col("peer").alias("b")), F.struct(F.col("peer").alias("a"), F.col(key).alias("b"))))
+    both = pairs.withColumn("_way", ways).select(*keys, F.col("_way.a").alias(key), F.col("_way.b").alias("peer"), "shared", "first", "last", "n_spans")
+    edge = rows.groupBy(*keys, key).agg(F.when(F.count(end) == F.count("*"), F.max(end)).alias("_edge"))
+    return both.join(edge, [*keys, key]).withColumn("ends_at_edge", F.col("last").eqNullSafe(F.col("_edge"))).drop("_edge")
+
+
+def peers_alongside(rows: DataFrame, group: list[str], key: str, value: str, start: str, end: str, n: int) -> DataFrame:
+    """The rows of a group (one each key) that share places with a row, and for each whether it is among its n nearest by value too."""
+    near = nearest_peers(rows, group, key, value, n).select(*group, key, "peer", F.lit(True).alias("_near"))
+    return shared_spans(rows, key, start, end, group).join(near, [*group, key, "peer"], "left").withColumn("is_neighbor", F.coalesce("_near", F.lit(False))).drop("_near")
+
+
 def interval_join(facts: DataFrame, spans: DataFrame, at: str, start: str, end: str, closed: bool, keys: list[str] | None = None, how: str = "inner") -> DataFrame:
     """Facts with the spans that hold their day. closed: the last day belongs to the span; an end of null is open."""
     spans = spans if closed else spans.withColumns({"_end": F.col(end), end: F.date_sub(F.col(end), 1)})
-    found = _meeting(facts, spans, keys or [], (at, at), (start, end), how)
+    found = meeting(facts, spans, keys or [], (at, at), (start, end), how, MOST)
     return found if closed else found.withColumn(end, F.col("_end")).drop("_end")
 
 
@@ -107,7 +118,7 @@ def as_of(facts: DataFrame, readings: DataFrame, keys: list[str], at: str, when:
 
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str], first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
     """Rows of equal keys whose closed spans overlap, with the days in common (null if both are open)."""
-    return _meeting(a, b, keys, first, second).withColumn("days", _days(first, second))
+    return meeting(a, b, keys, first, second).withColumn("days", _days(first, second))
 
 
 def only_match(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,7 +128,7 @@ def only_match(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def most_days(periods: DataFrame, spans: DataFrame, period: str, label: str, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
     """Each period with the label it shares most days with (ties to the smaller label), the days and their share."""
-    days = _meeting(periods, spans, [], first, second).groupBy(period, label).agg(F.sum(_days(first, second)).alias("days"))
+    days = meeting(periods, spans, [], first, second).groupBy(period, label).agg(F.sum(_days(first, second)).alias("days"))
     order = W.partitionBy(period).orderBy(F.desc_nulls_last("days"), label)
     share = F.col("days") / F.sum("days").over(W.partitionBy(period))
     return days.withColumns({"_place": F.row_number().over(order), "share": share}).filter("_place = 1").drop("_place")

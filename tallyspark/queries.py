@@ -152,13 +152,13 @@ def interval_join(spark, d):
 
 
 @query(f"""
-WITH y AS (SELECT CAST(y AS INTEGER) AS fiscal, make_date(y - 1, 10, 1) AS a, make_date(y, 9, 30) AS b FROM range(1996, 2002) r(y)),
+WITH y AS (SELECT CAST(y AS INTEGER) AS fiscal, make_date(CAST(y - 1 AS BIGINT), 10, 1) AS a, make_date(CAST(y AS BIGINT), 9, 30) AS b FROM (SELECT DISTINCT year(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH) AS y FROM orders)),
 o AS (SELECT fiscal, holder, sum(date_diff('day', greatest(a, since), least(b, coalesce(until, DATE '2001-12-31'))) + 1) AS days
   FROM y JOIN {TENURES} ON a <= coalesce(until, DATE '2001-12-31') AND since <= b GROUP BY 1, 2)
 SELECT fiscal, holder, CAST(days AS BIGINT) AS days, share FROM (SELECT *, CAST(days AS DOUBLE) / sum(days) OVER (PARTITION BY fiscal) AS share,
   row_number() OVER (PARTITION BY fiscal ORDER BY days DESC, holder) AS p FROM o) WHERE p = 1""")
 def most_days(spark, d):
-    years = spark.range(1996, 2002).select(F.col("id").cast("int").alias("fiscal"))
+    years = t(spark, d, "orders").select(dates.fiscal_year(F.col("o_orderdate").cast("date")).alias("fiscal")).distinct()
     a, b = dates.fiscal_bounds(F.col("fiscal"))
     spans = tenures(spark).withColumn("until", F.coalesce("until", F.lit("2001-12-31").cast("date")))
     return joins.most_days(years.withColumns({"a": a, "b": b}), spans, "fiscal", "holder", ("a", "b"), ("since", "until"))
@@ -328,12 +328,12 @@ def dense_months(spark, d):
 
 
 @query("""
-WITH p AS (SELECT p_brand, p_size, count(*) AS stopped FROM part WHERE p_size <= 6 GROUP BY 1, 2),
-g AS (SELECT * FROM (SELECT DISTINCT p_brand FROM part WHERE p_size <= 6) CROSS JOIN (SELECT CAST(s AS INTEGER) AS p_size FROM range(0, 7) r(s))),
+WITH p AS (SELECT p_brand, p_size, count(*) AS stopped FROM part GROUP BY 1, 2),
+g AS (SELECT * FROM (SELECT DISTINCT p_brand FROM part) CROSS JOIN (SELECT CAST(s AS INTEGER) AS p_size FROM range(0, 51) r(s))),
 f AS (SELECT g.p_brand, g.p_size, coalesce(stopped, 0) AS stopped FROM g LEFT JOIN p ON p.p_brand = g.p_brand AND p.p_size = g.p_size)
 SELECT *, CAST(sum(stopped) OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS BIGINT) AS reached FROM f""")
 def stage_reach(spark, d):
-    return aggregates.stage_counts(t(spark, d, "part").filter("p_size <= 6"), ["p_brand"], "p_size", 6)
+    return aggregates.stage_counts(t(spark, d, "part"), ["p_brand"], "p_size", 50)
 
 
 @query("""

@@ -188,26 +188,53 @@ def overlapping_spans(spark, d):
     return joins.overlaps(a, b, ["o_orderpriority"], ("s1", "e1"), ("s2", "e2")).select("o_custkey", "o_orderpriority", "o_orderstatus", "days")
 
 
+FISCAL = f"SELECT DISTINCT CAST(year({DAY} + INTERVAL 3 MONTH) AS INTEGER) AS y FROM orders"
 SHARES = f"""
-WITH y AS (SELECT CAST(y AS INTEGER) AS fiscal, make_date(y - 1, 10, 1) AS a, make_date(y, 9, 30) AS b FROM range(1996, 2003) r(y)),
+WITH y AS (SELECT y AS fiscal, make_date(CAST(y - 1 AS BIGINT), 10, 1) AS a, make_date(CAST(y AS BIGINT), 9, 30) AS b FROM ({FISCAL})),
 o AS (SELECT fiscal, holder, CAST(sum(date_diff('day', greatest(a, since), least(b, until)) + 1) AS BIGINT) AS days, bool_or(until IS NULL OR until >= b) AS has_last_day
   FROM y JOIN {TENURES} ON (until IS NULL OR a <= until) AND since <= b GROUP BY 1, 2)"""
 
 
-def _fiscal_years(spark) -> DataFrame:
-    years = spark.range(1996, 2003).select(F.col("id").cast("int").alias("fiscal"))
+def fiscal_years(spark, d) -> DataFrame:
+    """The fiscal years that orders fall into, with their bounds."""
+    years = t(spark, d, "orders").select(dates.fiscal_year(day()).alias("fiscal")).distinct()
     a, b = dates.fiscal_bounds(F.col("fiscal"))
     return years.withColumns({"a": a, "b": b})
 
 
 @query(SHARES + "SELECT *, days / sum(days) OVER (PARTITION BY fiscal) AS share, count(*) OVER (PARTITION BY fiscal) > 1 AS blended FROM o")
 def day_shares(spark, d):
-    return unions.day_shares(_fiscal_years(spark), tenures(spark), "fiscal", "holder", ("a", "b"), ("since", "until"))
+    return unions.day_shares(fiscal_years(spark, d), tenures(spark), "fiscal", "holder", ("a", "b"), ("since", "until"))
 
 
 @query(SHARES + """SELECT fiscal, holder, days, share FROM (SELECT *, days / sum(days) OVER (PARTITION BY fiscal) AS share, row_number() OVER (PARTITION BY fiscal ORDER BY days DESC, holder) AS p FROM o) WHERE p = 1""")
 def most_days_open(spark, d):
-    return joins.most_days(_fiscal_years(spark), tenures(spark), "fiscal", "holder", ("a", "b"), ("since", "until"))
+    return joins.most_days(fiscal_years(spark, d), tenures(spark), "fiscal", "holder", ("a", "b"), ("since", "until"))
+
+
+@query(f"""
+WITH s AS (SELECT o_custkey, o_orderkey, {DAY} AS a, CASE WHEN o_orderkey % 50 > 0 THEN {DAY} + CAST(o_orderkey % 90 AS INTEGER) END AS b FROM orders),
+p AS (SELECT x.o_custkey, x.o_orderkey, y.o_orderkey AS peer, greatest(x.a, y.a) AS first, least(x.b, y.b) AS last, x.b FROM s x JOIN s y
+  ON x.o_custkey = y.o_custkey AND x.o_orderkey <> y.o_orderkey AND (y.b IS NULL OR x.a <= y.b) AND (x.b IS NULL OR y.a <= x.b))
+SELECT o_custkey, o_orderkey, peer, CAST(last - first + 1 AS BIGINT) AS shared, first, last, CAST(1 AS BIGINT) AS n_spans, last IS NOT DISTINCT FROM b AS ends_at_edge FROM p""")
+def orders_open_together(spark, d):
+    """Which orders of a customer are open on the same days, an order being open some days from its date, or for good."""
+    until = F.when(F.col("o_orderkey") % 50 > 0, F.date_add(day(), (F.col("o_orderkey") % 90).cast("int")))
+    rows = t(spark, d, "orders").select("o_custkey", "o_orderkey", day().alias("a"), until.alias("b"))
+    return joins.shared_spans(rows, "o_orderkey", "a", "b", ["o_custkey"])
+
+
+@query("""
+WITH c AS (SELECT c_nationkey, c_mktsegment, c_custkey, c_acctbal, CAST(min(year(o_orderdate)) AS INTEGER) AS t0, CAST(max(year(o_orderdate)) AS INTEGER) AS t1 FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4),
+p AS (SELECT a.c_nationkey, a.c_mktsegment, a.c_custkey, b.c_custkey AS peer, greatest(a.t0, b.t0) AS first, least(a.t1, b.t1) AS last, a.t1,
+  row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal), b.c_custkey) <= 4 AS is_neighbor
+  FROM c a JOIN c b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey)
+SELECT c_nationkey, c_mktsegment, c_custkey, peer, CAST(last - first + 1 AS BIGINT) AS shared, first, last, CAST(1 AS BIGINT) AS n_spans, last = t1 AS ends_at_edge, is_neighbor FROM p WHERE first <= last""")
+def peers_alongside(spark, d):
+    """Customers of a nation and segment with orders in the same years, and which of them are nearest by balance."""
+    both = t(spark, d, "customer").join(t(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"))
+    years = both.groupBy("c_nationkey", "c_mktsegment", "c_custkey", "c_acctbal").agg(F.min(F.year("o_orderdate")).alias("t0"), F.max(F.year("o_orderdate")).alias("t1"))
+    return joins.peers_alongside(years, ["c_nationkey", "c_mktsegment"], "c_custkey", "c_acctbal", "t0", "t1", 4)
 
 
 HALF_OPEN = "(VALUES ('Early', DATE '1995-06-01', DATE '1997-01-01'), ('Middle', DATE '1997-01-01', DATE '1999-07-01'), ('Late', DATE '1999-07-01', DATE '2000-02-01')) AS h(name, since, until)"
@@ -708,12 +735,13 @@ def exploded_lists(spark, d):
 
 
 @query("""
-WITH m AS (SELECT o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1, 2, 3),
-y AS (SELECT DISTINCT o_orderpriority, year FROM m), g AS (SELECT o_orderpriority, year, CAST(i AS INTEGER) AS month FROM y, range(1, 13) r(i))
-SELECT o_orderpriority, year, string_agg(coalesce(CAST(n AS VARCHAR), '-'), ' ' ORDER BY month) AS months FROM g LEFT JOIN m USING (o_orderpriority, year, month) GROUP BY 1, 2""")
+WITH m AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n FROM orders GROUP BY 1, 2, 3),
+y AS (SELECT DISTINCT o_custkey, year FROM m), g AS (SELECT o_custkey, year, CAST(i AS INTEGER) AS month FROM y, range(1, 13) r(i))
+SELECT o_custkey, year, string_agg(coalesce(CAST(n AS VARCHAR), '-'), ' ' ORDER BY month) AS months FROM g LEFT JOIN m USING (o_custkey, year, month) GROUP BY 1, 2""")
 def month_slots(spark, d):
-    rows = t(spark, d, "orders").filter("o_orderkey % 9 = 0").groupBy("o_orderpriority", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
-    return nested.month_slots(rows, ["o_orderpriority", "year"], "month", "n").withColumn("months", F.array_join("months", " ", "-"))
+    """Orders by month of each customer's year: most months have none."""
+    rows = t(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
+    return nested.month_slots(rows, ["o_custkey", "year"], "month", "n").withColumn("months", F.array_join("months", " ", "-"))
 
 
 @query("""
