@@ -33,9 +33,10 @@ def plain_typography(text: Column) -> Column:
 
 
 def last_name_variants(name: Column) -> Column:
-    """Ways in which sources write a family name of several words: together, its first word, its last, the words reversed."""
-    words = F.filter(F.split(F.lower(name), "[^a-z]+"), lambda w: w != "")
-    return F.array_distinct(F.array(F.array_join(words, ""), F.get(words, F.lit(0)), F.element_at(words, -1), F.array_join(F.reverse(words), "")))
+    """Ways in which sources write a family name of several words, as letters: together, its first word, its last, the words reversed. For names without accents (see strip_marks); a name without letters has none."""
+    words = F.filter(F.transform(F.split(name, r"\s+"), letters_key), lambda w: w != "")
+    ways = F.array(F.array_join(words, ""), F.get(words, F.lit(0)), F.get(words, F.size(words) - 1), F.array_join(F.reverse(words), ""))
+    return F.array_distinct(F.filter(ways, lambda w: w != ""))
 
 
 def slug(text: Column) -> Column:

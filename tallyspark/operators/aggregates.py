@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyspark.operators import gates
+from tallyspark.operators import gates, ranges
 from tallyspark.plans.lineage import small
 
 
@@ -64,7 +64,18 @@ def spread(x: Column) -> Column:
 
 
 def median_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.median(value).alias("median"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    """Exact median, mean and number of the values of each key; keys without any have nulls and 0. No task holds a key's values (see ranges.py)."""
+    whole = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    return with_median(whole, rows, keys, value, "median").select(*keys, "median", "mean", "n")
+
+
+def with_median(by_key: DataFrame, rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """by_key, a row for each of the keys, with the exact median of a value of rows."""
+    if not keys:
+        one = {"_one": F.lit(1)}
+        return with_median(by_key.withColumns(one), rows.withColumns(one), ["_one"], value, name).drop("_one")
+    found = ranges.medians(rows, keys, value).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("median").alias(name))
+    return by_key.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
 
 
 def pair_gap(rows: DataFrame, group: str, key: str, value: str, weight: str) -> DataFrame:
@@ -190,4 +201,6 @@ def folded(rows: DataFrame, keys: list[str], values: list[str], same: list[str])
 
 
 def share_risen(rows: DataFrame, keys: list[str], change: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.avg(F.when(F.col(change) > 0, 1.0).when(F.col(change).isNotNull(), 0.0)).alias("share_risen"), F.median(change).alias("median_change"))
+    """The share of changes above 0 and the exact median of the changes of each key."""
+    shares = rows.groupBy(*keys).agg(F.avg(F.when(F.col(change) > 0, 1.0).when(F.col(change).isNotNull(), 0.0)).alias("share_risen"))
+    return with_median(shares, rows, keys, change, "median_change")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyspark.operators import ranges
+
 
 def ranked(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """A rank without ties; the order must be total."""
@@ -52,8 +54,13 @@ def change_or_new(rows: DataFrame, keys: list[str], year: str, value: str) -> Da
     return rows.join(years, year, "left").join(before, [*keys, year], "left").withColumn("change", F.when(F.col("_there"), F.col(value) - F.coalesce("_before", F.lit(0)))).drop("_there", "_before")
 
 
-def runs(rows: DataFrame, keys: list[str], order: list[str], value: str, apart: Column | None = None) -> DataFrame:
-    """Runs of equal values in order: first and last place and length. apart: whether a row, by _before (the place before it), starts anew."""
+def runs(rows: DataFrame, keys: list[str], order: list[str], value: str, apart: Column | None = None, by_range: bool | None = None) -> DataFrame:
+    """Runs of equal values in order: first and last place, length, and number within their keys. apart: whether a row, by _before (the place before it), starts anew.
+
+    by_range: by ranges of the order (see ranges.py), for keys that may hold a large share of the rows; so it is without keys if nothing is said.
+    """
+    if by_range or (by_range is None and not keys):
+        return ranges.runs(rows, keys, order, value, apart)
     by = W.partitionBy(*keys).orderBy(*order)
     same = F.lag(F.lit(True)).over(by).isNotNull() & F.col(value).eqNullSafe(F.lag(value).over(by))
     marked = rows.withColumns({"_same": same, "_before": F.lag(F.struct(*order)).over(by)})

@@ -103,7 +103,7 @@ WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM m)
 SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS length, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM r GROUP BY 1, 2, 3""")
 def event_runs(spark, d):
-    found = windows.runs(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    found = windows.runs(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", by_range=True)
     return found.select("user_id", "run", "event_type", "length", F.col("first.event_id").alias("first_event"), F.col("last.event_id").alias("last_event"))
 
 
@@ -172,7 +172,7 @@ FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def as_of_view(spark, d):
     events = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     bought, seen = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), events.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
-    found = joins.as_of(bought, seen, ["user_id"], "ts", "ts", ["view_id"], "view_id", 86_400)
+    found = joins.as_of(bought, seen, ["user_id"], "ts", "ts", ["view_id"], "view_id", 86_400, by_range=True)
     return found.select("event_id", "user_id", F.col("matched_view_id").alias("view_id"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, numbers, text
-from tallyspark.operators import aggregates, filters, gates, joins, nested, places, unions, windows
+from tallyspark.operators import aggregates, filters, gates, joins, nested, places, rosters, unions, windows
 from tallyspark.queries import TENURES, query, t, tenures
 
 DAY = "CAST(o_orderdate AS DATE)"
@@ -299,6 +299,25 @@ def inherited_topics(spark, d):
     return joins.inherit(rows, "k", "parents", "topic")
 
 
+WRITTEN = """CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN concat(substring_index(p_name, ' ', -1), '  ', substring_index(p_name, ' ', 1)) ELSE upper(substring_index(p_name, ' ', -1)) END"""
+
+
+@query("""
+WITH m AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, lower(p_type[1:3]) AS start, 'A' || chr(65 + p_size % 25) AS state FROM part),
+v AS (SELECT p_partkey, state, start, unnest([a || b, a, b, b || a]) AS variant FROM m),
+r AS (SELECT p_partkey AS filing, start, CASE WHEN p_partkey % 17 > 0 THEN state END AS state, unnest(CASE p_partkey % 4 WHEN 1 THEN [a || b] WHEN 3 THEN [b] ELSE [a || b, a, b, b || a] END) AS variant FROM m),
+c AS (SELECT filing, max(r.state) AS state, count(DISTINCT v.p_partkey) AS n, min(v.p_partkey) AS one, count(DISTINCT v.p_partkey) FILTER (v.start = r.start) AS n_start, min(v.p_partkey) FILTER (v.start = r.start) AS one_start
+  FROM r LEFT JOIN v ON v.variant = r.variant AND v.state = r.state GROUP BY 1)
+SELECT filing, CASE WHEN state IS NULL THEN NULL WHEN n = 1 THEN one WHEN n > 1 AND n_start = 1 THEN one_start END AS member,
+  CASE WHEN state IS NULL THEN 'bad_state' WHEN n = 0 THEN 'no_candidate' WHEN n = 1 THEN 'ok' WHEN n_start = 1 THEN 'ok_disambiguated' ELSE 'ambiguous' END AS reason FROM c""")
+def roster_match(spark, d):
+    """Parts found again by their names as others write them, within a state made of their size, and by the start of their type."""
+    state = F.concat(F.lit("A"), F.chr(F.lit(65) + F.col("p_size") % 25))
+    rows = t(spark, d, "part").withColumns({"state": state, "written": F.expr(WRITTEN)})
+    filings = rows.select(F.col("p_partkey").alias("filing"), "written", F.col("p_type").alias("first"), F.when(F.col("p_partkey") % 17 == 0, "At large").otherwise(F.concat("state", F.lit("01"))).alias("place"))
+    return rosters.roster_match(filings, rows.withColumnRenamed("p_partkey", "member"), "filing", "written", "first", "place", "member", "p_name", "p_type", "state")
+
+
 @query("""
 WITH p AS (SELECT p_partkey, p_brand || p_type AS block, list_distinct(string_split(p_name, ' ')) AS w FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) AS overlap
