@@ -266,12 +266,6 @@ def nearest_points(points: DataFrame, pool: DataFrame, key: str, axes: list[str]
     return points.dropna(subset=axes).select(key, F.posexplode(best).alias("_at", "_p")).select(key, "_p.neighbour", "_p.distance", (F.col("_at") + 1).alias("rank"))
 
 
-def token_overlap(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float) -> DataFrame:
-    """Pairs within a block whose shared words make a share of the shorter list; blocks keep it from pairing all with all."""
-    shared = F.size(F.array_intersect(a, b)) / F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-    return left.join(right, block).withColumn("overlap", shared).filter(F.col("overlap") >= least)
-
-
 def joined_and_left(rows: DataFrame, group: str, period: str, member: str) -> DataFrame:
     """(group, period, member, change): who joined and who left since the group's period before; its first period has neither."""
     have = rows.select(group, period, member).dropna().distinct()

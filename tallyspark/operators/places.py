@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators import ranges
+from tallyspark.plans.lineage import checkpointed
+
 
 def projected(rows: DataFrame, lon: str, lat: str, lon0: float, lat0: float, scale: float, bounds: tuple[float, float, float, float]) -> DataFrame:
     """Map x, y by an equirectangular projection around a point; places outside the bounds go, as do repeated ones."""
@@ -41,24 +46,39 @@ def thinned(points: DataFrame, ring: str, order: str, tolerance: float) -> DataF
     return points.groupBy(ring).applyInPandas(thin, points.schema)
 
 
+def apart(points: DataFrame, group: str, axis: str, radius: float) -> DataFrame:
+    """points with _of, a number of the band of an axis they are in: bands of a group are more than the radius from each other."""
+    return ranges.parts(points.withColumn("_end", F.col(axis)), [group], [axis], "_end", F.lit(radius)).drop("_end")
+
+
 def clustered(points: DataFrame, group: str, key: str, radius: float) -> DataFrame:
-    """(group, key, cluster, x, y): points of a group, in order of key, join the first cluster whose running centre is near, else start one."""
+    """(group, key, cluster, x, y): points of a group, in order of key, join the first cluster whose running centre is near, else start one.
+
+    A centre lies among its points, so points more than the radius apart along an axis can't share a cluster, nor can what
+    lies between: a group is cut into bands by x, and those by y, that are gathered each on its own. Clusters are numbered from 0 by the
+    order of their first points within the group, by ranges of it. x and y are the centre. Points without both coordinates are left out.
+    """
+    banded = apart(points.dropna(subset=["x", "y"]), group, "x", radius).withColumn("_band", F.struct(F.col(group).alias("g"), F.col("_of").alias("n"))).drop("_of")
+    banded = apart(banded, "_band", "y", radius)
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
-        sums: list[list[float]] = []
-        of = []
-        for x, y in zip(frame["x"], frame["y"], strict=True):
-            found = next((i for i, (sx, sy, n) in enumerate(sums) if math.hypot(sx / n - x, sy / n - y) <= radius), None)
-            if found is None:
-                sums.append([0.0, 0.0, 0])
-                found = len(sums) - 1
-            sums[found] = [sums[found][0] + x, sums[found][1] + y, sums[found][2] + 1]
-            of.append(found)
-        return frame[[group, key]].assign(cluster=of, x=[sums[i][0] / sums[i][2] for i in of], y=[sums[i][1] / sums[i][2] for i in of])
+        keys, xs, ys = frame[key].to_numpy(), frame["x"].to_numpy(), frame["y"].to_numpy()
+        sums, first, of = np.zeros((0, 3)), [], []
+        for k, x, y in zip(keys, xs, ys, strict=True):
+            near = np.flatnonzero(np.hypot(sums[:, 0] / sums[:, 2] - x, sums[:, 1] / sums[:, 2] - y) <= radius) if len(sums) else []
+            if not len(near):
+                sums, first = np.r_[sums, [[0.0, 0.0, 0.0]]], [*first, k]
+            at = int(near[0]) if len(near) else len(sums) - 1
+            sums[at] += (x, y, 1)
+            of.append(at)
+        centre = sums[of, :2] / sums[of, 2:]
+        return frame[[group, key]].assign(_first=[first[i] for i in of], x=centre[:, 0], y=centre[:, 1])
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    return points.groupBy(group).applyInPandas(gather, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int, x double, y double")
+    made = checkpointed(banded.groupBy("_band", "_of").applyInPandas(gather, f"{group} {kinds[group]}, {key} {kinds[key]}, _first {kinds[key]}, x double, y double"))
+    numbered = ranges.numbered(made.filter(F.col(key) == F.col("_first")), [group], [key], "cluster").select(F.col(group).alias("_g"), F.col(key).alias("_k"), (F.col("cluster") - 1).cast("int").alias("cluster"))
+    return made.join(numbered, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_first") == F.col("_k"))).select(group, key, "cluster", "x", "y")
 
 
 def shade(value: Column, thresholds: list[float]) -> Column:
@@ -75,17 +95,28 @@ def shade_signed(value: Column, thresholds: list[float]) -> Column:
 
 
 def packed_lanes(rows: DataFrame, group: str, key: str, start: str, end: str) -> DataFrame:
-    """Each span in the lowest lane that is free at its start; greedy within a group, in order of start and key."""
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([start, key])
-        lanes: list = []
-        out = []
-        for a, b in zip(frame[start], frame[end], strict=True):
-            lane = next((i for i, e in enumerate(lanes) if e <= a), len(lanes))
-            lanes[lane : lane + 1] = [b]
-            out.append(lane)
-        return frame[[group, key]].assign(lane=out)
+    """Each span in the lowest lane that is free at its start; greedy within a group, in order of start and key.
 
+    Where a span starts at or after the end of all before it every lane is free, so a group is cut there and its parts are packed
+    each on its own: what one task holds is a run of spans without such a gap, and not a group. An end of null is open; a span without a start is left out.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(group).applyInPandas(pack, f"{group} {kinds[group]}, {key} {kinds[key]}, lane int")
+    far = {"date": F.lit("9999-12-31").cast("date"), "timestamp": F.lit("9999-12-31").cast("timestamp"), "timestamp_ntz": F.lit("9999-12-31").cast("timestamp_ntz"), "int": F.lit(2**31 - 1), "bigint": F.lit(2**63 - 1)}
+    until = F.coalesce(F.col(end), far.get(kinds[end], F.lit(float("inf")))) if kinds[end] in far or kinds[end] in ("double", "float") else F.col(end)
+    some = rows.filter(F.col(start).isNotNull()).select(group, key, F.col(start).alias("_start"), until.alias("_end"))
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_start", key])
+        free: list = []  # lanes that are free, the lowest first
+        taken: list = []  # (end, lane), the earliest first
+        lanes = []
+        for a, b in zip(frame["_start"], frame["_end"], strict=True):
+            while taken and taken[0][0] <= a:
+                heapq.heappush(free, heapq.heappop(taken)[1])
+            lane = heapq.heappop(free) if free else len(taken)
+            heapq.heappush(taken, (b, lane))
+            lanes.append(lane)
+        return frame[[group, key]].assign(lane=lanes)
+
+    cut = ranges.parts(some, [group], ["_start", key], "_end")
+    return cut.groupBy(group, "_of").applyInPandas(pack, f"{group} {kinds[group]}, {key} {kinds[key]}, lane int")

@@ -32,11 +32,11 @@ def within(keys: list[str], order: list[str]):
 def carried_in(placed: DataFrame, ends: DataFrame, keys: list[str], state: str, chain: str | None = None) -> DataFrame:
     """placed with ``state`` as it was at the end of the ranges before, for rows whose keys began there, else null.
 
-    ends: (_part, the keys of the range's last row as _keys, state of those keys). chain: how states of ranges with one last key add up, sum or last
+    ends: (_part, the keys of the range's last row as _keys, state of those keys). chain: how states of ranges with one last key add up: sum, max or last
     (the last that isn't null); without it, the last range's own counts.
     """
     over = W.partitionBy("_keys").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = {"sum": F.sum(state).over(over), "last": F.last(state, ignorenulls=True).over(over), None: F.col(state)}[chain]
+    whole = {"sum": F.sum(state).over(over), "max": F.max(state).over(over), "last": F.last(state, ignorenulls=True).over(over), None: F.col(state)}[chain]
     before = F.lag(F.struct(F.col("_keys").alias("keys"), F.col("_whole").alias("state"))).over(W.orderBy("_part"))
     table = ends.withColumn("_whole", whole).select("_part", before.alias("_in"))
     same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"_in.keys.{k}")), keys, F.col("_in").isNotNull())
@@ -47,6 +47,14 @@ def keys_of(keys: list[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their number from 1 within their keys, in a total order."""
+    placed = in_ranges(rows, keys, order)
+    sizes = placed.groupBy("_part", *keys).agg(F.count("*").alias("_size")).groupBy("_part").agg(F.max(F.struct(keys_of(keys).alias("k"), F.col("_size").alias("n"))).alias("_end"))
+    ends = sizes.select("_part", F.col("_end.k").alias("_keys"), F.col("_end.n").alias("_before"))
+    return carried_in(placed, ends, keys, "_before", "sum").withColumn(name, F.row_number().over(within(keys, order)) + F.coalesce("_before", F.lit(0))).drop("_before", "_part")
+
+
 def runs(rows: DataFrame, keys: list[str], order: list[str], value: str, apart: Column | None = None) -> DataFrame:
     """windows.runs() by ranges: runs of equal values in order, their first and last place, length and number within their keys."""
     placed = in_ranges(rows, keys, order)
@@ -78,6 +86,24 @@ def last_known(rows: DataFrame, keys: list[str], order: list[str], value: str, n
     return carried_in(placed, ends, keys, "_state", "last").withColumn(name, F.coalesce(own, "_state")).drop("_state", "_part")
 
 
+def parts(rows: DataFrame, keys: list[str], order: list[str], end: str, gap: Column | None = None) -> DataFrame:
+    """rows with _of, a number that rows of equal keys share if none of them, in order, begins after the greatest end of all before it in its keys.
+
+    order begins with where a row starts. gap: how far beyond that end a row may start and still go on with what is before; without it, starting
+    at the end begins a part. So parts share no place, however long a chain of rows is.
+    """
+    placed, by = in_ranges(rows, keys, order), within(keys, order)
+    reach = placed.groupBy("_part", *keys).agg(F.max(end).alias("_reach")).groupBy("_part").agg(F.max(F.struct(keys_of(keys).alias("k"), F.col("_reach").alias("r"))).alias("_end"))
+    ends = reach.select("_part", F.col("_end.k").alias("_keys"), F.col("_end.r").alias("_reach"))
+    reached = carried_in(placed, ends, keys, "_reach", "max")
+    before = F.greatest(F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach"))
+    fresh = before.isNull() | ((F.col(order[0]) >= before) if gap is None else (F.col(order[0]) > before + gap))
+    marked = checkpointed(reached.withColumn("_new", fresh.cast("int")).drop("_reach").withColumn("_n", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))))
+    top = F.max(F.struct(keys_of(keys).alias("k"), F.col("_n").alias("n")))
+    begun = marked.groupBy("_part").agg(top.alias("_end")).select("_part", F.col("_end.k").alias("_keys"), F.col("_end.n").alias("_before"))
+    return carried_in(marked, begun, keys, "_before", "sum").withColumn("_of", F.col("_n") + F.coalesce("_before", F.lit(0))).drop("_new", "_n", "_before", "_part")
+
+
 def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, median) of keys that have a value, exact, the mean of the two middle values where their number is even.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, numbers, text
-from tallyspark.operators import aggregates, filters, gates, joins, nested, places, rosters, unions, windows
+from tallyspark.operators import aggregates, filters, gates, joins, nested, places, rosters, similar, unions, windows
 from tallyspark.queries import TENURES, query, t, tenures
 
 DAY = "CAST(o_orderdate AS DATE)"
@@ -325,7 +325,7 @@ FROM p a JOIN p b ON a.block = b.block AND a.p_partkey < b.p_partkey WHERE overl
 def token_overlap(spark, d):
     words = t(spark, d, "part").select("p_partkey", F.concat("p_brand", "p_type").alias("block"), F.split("p_name", " ").alias("w"))
     right = words.select(F.col("p_partkey").alias("b"), "block", F.col("w").alias("v"))
-    return joins.token_overlap(words.withColumnRenamed("p_partkey", "a"), right, "block", "w", "v", 0.5).filter("a < b").select("a", "b", "overlap")
+    return similar.token_overlap(words.withColumnRenamed("p_partkey", "a"), right, "block", "w", "v", 0.5).filter("a < b").select("a", "b", "overlap")
 
 
 @query("""
