@@ -96,18 +96,6 @@ def passing_method(text: Column) -> Column:
     return F.when(low.contains("voice vote"), "voice").when(low.contains("unanimous consent"), "consent").when(low.rlike(r"roll|yea-nay|\d+\s*-\s*\d+"), "roll").otherwise("unstated")
 
 
-def title_class(title: Column) -> Column:
-    """observance, naming, honor, memorial or null by words of a title; laws that merely amend are none of these."""
-    low = F.lower(title)
-    return (
-        F.when(low.contains("amend") | low.rlike(r"\b(fiscal|calendar|taxable|school|crop) year\b|\bstudy\b|\bboundar"), None)
-        .when(low.rlike(r"\b(day|week|month|year)\b.*\b(designat|proclaim)|\b(designat|proclaim).*\b(day|week|month)\b"), "observance")
-        .when(low.rlike(r"\b(designate|name|rename)\b.*\b(building|post office|facility|clinic|courthouse)\b"), "naming")
-        .when(low.rlike(r"gold medal|commemorative coin"), "honor")
-        .when(low.rlike(r"\bmemorial\b|\bmonument\b"), "memorial")
-    )
-
-
 #: Abbreviations after which a sentence goes on (this library's choice).
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Sen", "Rep", "Gov", "Gen", "No", "St", "U.S", "v", "Inc", "Co", "Jr", "Sr")
 

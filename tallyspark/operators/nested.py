@@ -52,30 +52,6 @@ def map_total(m: Column) -> Column:
     return F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-#: Stages of a bill, the furthest first, with words of this library's choice that show them in an action's text.
-STAGES = (
-    (6, "became (public )?law|became public"),
-    (5, "presented to (the )?president"),
-    (4, "passed.*(senate|house).*(senate|house)|conference"),
-    (3, "passed"),
-    (2, "reported|markup"),
-    (1, "referred"),
-)
-
-
-def furthest_stage(texts: Column) -> Column:
-    """The furthest stage that an array of action texts shows, 0 if none."""
-    low = F.transform(texts, F.lower)
-    out = F.lit(0)
-    for stage, pattern in reversed(STAGES):
-        out = F.when(F.exists(low, _shows(pattern)), stage).otherwise(out)
-    return out
-
-
-def _shows(pattern: str):
-    return lambda text: text.rlike(pattern)
-
-
 def filing_state(spine: DataFrame, filings: DataFrame, keys: list[str]) -> DataFrame:
     """Each key and year as usable, needs_review, not_extractable or no_filing. filings: (keys, extractable, needs_review)."""
     state = F.when(F.col("_f").isNull(), "no_filing").when(~F.col("extractable"), "not_extractable").when(F.col("needs_review"), "needs_review").otherwise("usable")
@@ -88,11 +64,6 @@ def vote_role(majority: Column, opinion: Column) -> Column:
     return F.when(side.isNotNull(), F.struct(side.alias("side"), (opinion >= 2).alias("wrote")))
 
 
-def members_named(document: Column, name: str) -> Column:
-    """Every value under a name anywhere in a JSON text, in order (values without nested objects)."""
-    return F.regexp_extract_all(document, F.lit(rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|\[[^\[\]{{}}]*\]|[-\w.+]+)'), F.lit(1))
-
-
 def compacted(rows: DataFrame, keys: list[str], optional: list[str]) -> DataFrame:
     """Optional fields as one JSON object that leaves out those without a value."""
     return rows.select(*keys, F.to_json(F.struct(*optional)).alias("fields"))

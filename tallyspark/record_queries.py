@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions import dates, numbers, text
-from tallyspark.operators import aggregates, filters, gates, joins, nested, places, rosters, similar, unions, windows
+from tallyspark.functions import dates, numbers, rules, text
+from tallyspark.operators import aggregates, documents, filters, gates, joins, nested, places, rosters, similar, unions, windows
 from tallyspark.queries import TENURES, query, t, tenures
+from tallyspark.sources import sinks
 
 DAY = "CAST(o_orderdate AS DATE)"
 
@@ -654,13 +655,92 @@ def vote_texts(spark, d):
     return rows.select("event_id", text.passing_method(F.col("text")).alias("method"), text.roll_number(F.col("text")).alias("roll"), tally["yes"].alias("yes"), tally["no"].alias("no"), text.occurrences(F.col("text"), "as").alias("n_as"))
 
 
-TITLE = """CASE p_size % 6 WHEN 0 THEN 'To designate the facility at ' || p_name || ' as the Smith Post Office Building' WHEN 1 THEN 'To designate ' || p_name || ' Week' WHEN 2 THEN 'To award a Congressional Gold Medal to ' || p_name
- WHEN 3 THEN 'To establish a memorial for ' || p_name WHEN 4 THEN 'To amend the ' || p_name || ' memorial act' ELSE 'To fund ' || p_name || ' for the fiscal year, to designate a day' END"""
+TITLE = """CASE p_size % 7 WHEN 0 THEN 'To name the bridge at ' || p_name || ' after J. Smith' WHEN 1 THEN 'To set aside ' || p_name || ' Week' WHEN 2 THEN 'To strike a coin for ' || p_name
+ WHEN 3 THEN 'To put up a stone for ' || p_name WHEN 4 THEN 'To change the ' || p_name || ' stone act' WHEN 5 THEN 'To name the head of ' || p_name || ' as keeper of the park' ELSE 'To pay for ' || p_name || ' in the last week of a quarter' END"""
 
+TITLE_RULES = (
+    rules.Rule("naming", r"(?i)\bname\b", (rules.Guard(r"(?i)\bpark\b", after=r"(?i)\bas\b"),)),
+    rules.Rule("observance", r"(?i)\b(week|day)\b", (rules.Guard(r"(?i)\bquarter\b"),)),
+    rules.Rule("honor", r"(?i)\bcoin\b"),
+    rules.Rule("memorial", r"(?i)\bstone\b", (rules.Guard(r"(?i)\bchange\b"), rules.Guard(r"(?i)\bact$"))),
+)
 
-@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'naming' WHEN 1 THEN 'observance' WHEN 2 THEN 'honor' WHEN 3 THEN 'memorial' END AS class FROM part")
+
+@query("""
+SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'naming' WHEN 1 THEN 'observance' WHEN 2 THEN 'honor' WHEN 3 THEN 'memorial' END AS class,
+  CASE p_size % 7 WHEN 0 THEN 'naming' WHEN 1 THEN 'observance' WHEN 2 THEN 'honor' WHEN 3 THEN 'memorial' WHEN 4 THEN 'memorial-0' WHEN 5 THEN 'naming-0' ELSE 'observance-0' END AS report FROM part""")
 def title_classes(spark, d):
-    return t(spark, d, "part").select("p_partkey", text.title_class(F.expr(TITLE)).alias("class"))
+    """Titles made of names, by a table of rules with exclusions, and which exclusion decided."""
+    title = F.expr(TITLE)
+    report = F.transform(rules.rule_report(title, TITLE_RULES), lambda x: F.concat_ws("-", x["name"], x["excluded_by"].cast("string")))
+    return t(spark, d, "part").select("p_partkey", rules.first_rule(title, TITLE_RULES).alias("class"), F.array_join(report, ",").alias("report"))
+
+
+FUNNEL = (rules.Step(None, "^error$", "start"), rules.Step("start", "^view$", "seen"), rules.Step("seen", "^click$", "chosen"), rules.Step("chosen", "^purchase$", "bought"))
+STEP = "CASE WHEN e = 4 THEN 0 WHEN e = 1 AND s % 10 = 0 THEN 1 WHEN e = 2 AND s % 10 = 1 THEN 2 WHEN e = 3 AND s % 10 = 2 THEN 3 ELSE s % 10 END"
+
+
+@query(f"""
+WITH c AS (SELECT user_id, list(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 ELSE 5 END ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+r AS (SELECT user_id, list_reduce(list_prepend(0, l), lambda s, e: greatest(s // 10, {STEP}) * 10 + {STEP}) AS x FROM c)
+SELECT user_id, ['start', 'seen', 'chosen', 'bought'][x % 10 + 1] AS state, ['start', 'seen', 'chosen', 'bought'][x // 10 + 1] AS furthest FROM r""")
+def funnel_states(spark, d):
+    """Each user's events through a table of transitions: the state they end in, and the furthest they were in."""
+    actions = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
+    rows = t(spark, d, "events").groupBy("user_id").agg(actions.alias("actions"))
+    order = ("start", "seen", "chosen", "bought")
+    return rows.select("user_id", rules.final_state(F.col("actions"), "start", FUNNEL).alias("state"), rules.furthest_state(F.col("actions"), "start", FUNNEL, order).alias("furthest"))
+
+
+@query("SELECT o_custkey, o_orderkey AS key, CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice AS total FROM orders WHERE o_orderstatus = 'P'")
+def nested_objects(spark, d):
+    """Objects of one status out of documents that hold a customer's orders by year."""
+    rows = t(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    order = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_totalprice").alias("total"), "year").alias("of"), F.col("o_totalprice").alias("total"), "year")
+    years = rows.groupBy("o_custkey", "year").agg(F.collect_list(order).alias("orders")).groupBy("o_custkey").agg(F.collect_list(F.struct("year", "orders")).alias("years"))
+    docs = years.select("o_custkey", F.to_json(F.struct(F.struct("years").alias("file"))).alias("doc"))
+    return documents.objects_where(docs, ["o_custkey"], "doc", "status", F.lit("P"), {"key": "bigint", "year": "int", "total": "double"}).drop("path")
+
+
+@query("SELECT o_orderpriority, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS BIGINT) AS place, o_custkey, o_orderstatus, o_orderkey FROM orders")
+def shard_round_trip(spark, d):
+    """Orders as shards of a priority with dictionaries, and back."""
+    rows = t(spark, d, "orders")
+    return sinks.decoded_shards(*sinks.coded_shards(rows, "o_orderpriority", ["o_custkey", "o_orderstatus"], ["o_orderkey"], ["o_orderkey"], most=700), "o_orderpriority", most=700)
+
+
+@query("""
+WITH c AS (SELECT o_orderpriority, o_custkey AS value, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_orderpriority, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, value) - 1 AS INTEGER) AS code, value, n FROM c""")
+def shard_dictionaries(spark, d):
+    return sinks.coded_shards(t(spark, d, "orders"), "o_orderpriority", ["o_custkey"], ["o_orderkey"], ["o_orderkey"])[1]["o_custkey"]
+
+
+LANES = f"SELECT o_custkey AS g, o_orderkey AS k, {DAY} AS a, {DAY} + CAST(o_orderkey % 90 AS INTEGER) AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY {DAY}, o_orderkey) AS n FROM orders"
+
+
+@query(f"""
+WITH RECURSIVE p AS ({LANES}), r AS (SELECT g, k, n, 1 AS spot, [b] AS ends FROM p WHERE n = 1
+  UNION ALL SELECT g, k, n, spot, CASE WHEN spot > len(ends) THEN list_append(ends, b) ELSE list_concat(list_append(ends[1:spot - 1], b), ends[spot + 1:]) END
+  FROM (SELECT p.*, r.ends, coalesce(nullif(list_position(list_transform(r.ends, lambda e: e <= p.a), true), 0), len(r.ends) + 1) AS spot FROM r JOIN p ON p.g = r.g AND p.n = r.n + 1))
+SELECT g AS o_custkey, k AS o_orderkey, CAST(spot - 1 AS INTEGER) AS lane FROM r""")
+def order_lanes(spark, d):
+    """Orders open for some days in lanes of their customer."""
+    until = F.date_add(day(), (F.col("o_orderkey") % 90).cast("int"))
+    return places.packed_lanes(t(spark, d, "orders").select("o_custkey", "o_orderkey", day().alias("a"), until.alias("b")), "o_custkey", "o_orderkey", "a", "b")
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT c_mktsegment AS g, c_custkey AS k, CAST(c_nationkey * 10 AS DOUBLE) AS x, CAST(c_custkey % 1000 AS DOUBLE) AS y, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer),
+r AS (SELECT g, k, n, 1 AS spot, [{'x': x, 'y': y, 'n': 1.0::DOUBLE}] AS c FROM p WHERE n = 1
+  UNION ALL SELECT g, k, n, spot, CASE WHEN spot > len(c) THEN list_append(c, {'x': x, 'y': y, 'n': 1.0::DOUBLE}) ELSE list_transform(c, lambda e, j: CASE WHEN j = spot THEN {'x': e.x + x, 'y': e.y + y, 'n': e.n + 1.0::DOUBLE} ELSE e END) END
+  FROM (SELECT p.*, r.c, coalesce(nullif(list_position(list_transform(r.c, lambda e: sqrt(power(e.x / e.n - p.x, 2) + power(e.y / e.n - p.y, 2)) <= 6.5), true), 0), len(r.c) + 1) AS spot FROM r JOIN p ON p.g = r.g AND p.n = r.n + 1)),
+z AS (SELECT g, arg_max(c, n) AS c FROM r GROUP BY 1)
+SELECT g AS c_mktsegment, k AS c_custkey, CAST(spot - 1 AS INTEGER) AS cluster, z.c[spot].x / z.c[spot].n AS x, z.c[spot].y / z.c[spot].n AS y FROM r JOIN z USING (g)""")
+def customer_clusters(spark, d):
+    """Customers of a segment gathered where their nation and number put them."""
+    points = t(spark, d, "customer").select("c_mktsegment", "c_custkey", (F.col("c_nationkey") * 10.0).alias("x"), (F.col("c_custkey") % 1000).cast("double").alias("y"))
+    return places.clustered(points, "c_mktsegment", "c_custkey", 6.5)
 
 
 @query("""
