@@ -149,7 +149,8 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     )
     nodes = tables.written(nodes)
     children = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
-    above = nodes.join(children, "node").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+    # Written, so that both sides of the next join are plain shuffles, of which Spark splits the part of a parent with very many children.
+    above = tables.written(nodes.join(children, "node").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id")))
     whole = nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))).join(above, "parent", "left").drop("parent")
     whole = whole.withColumns({"leaf": (F.col("n_children") == 0).cast("long"), "saved": (F.col("n_convs") - 1) * F.col("n_bytes"), "range": F.shiftright("first", 33)})
     whole = tables.written(whole)
