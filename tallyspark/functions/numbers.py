@@ -75,6 +75,12 @@ def nice_step(span: Column, steps: int = 5) -> Column:
     return F.when(raw <= unit, unit).when(raw <= 2 * unit, 2 * unit).when(raw <= 2.5 * unit, 2.5 * unit).when(raw <= 5 * unit, 5 * unit).otherwise(10 * unit)
 
 
+def nice_domain(low: Column, high: Column, steps: int = 5) -> Column:
+    """(low, high, step): bounds at whole steps around two numbers, the step being nice_step() of their distance, or 1 if that is nothing."""
+    step = F.when(high > low, nice_step(high - low, steps)).otherwise(F.lit(1.0))
+    return F.when(low.isNotNull() & high.isNotNull(), F.struct((F.floor(low / step) * step).alias("low"), (F.ceil(high / step) * step).alias("high"), step.alias("step")))
+
+
 def money_label(x: Column) -> Column:
     """$950, $12.3K, $1.2M, $4.5B."""
     size, sign = F.abs(x), F.when(x < 0, "-").otherwise("")

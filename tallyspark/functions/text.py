@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html.entities
 import unicodedata
 
 import pandas as pd
@@ -101,23 +102,45 @@ ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Sen", "Rep", "Gov", "Gen", "No", "St"
 
 
 def sentences(text: Column) -> Column:
-    """Split after . ! ? before a capital or digit, but not after an abbreviation."""
-    known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    return F.split(text, rf"(?<=[.!?])(?<!\b(?:{known})\.)\s+(?=[A-Z0-9“\"])")
+    """Split after . ! ? and what closes with it (quotes, parentheses), before a capital, a digit or what opens; not after an abbreviation or a lone letter."""
+    known, closes = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS), "[\"”'’)\\]]{0,3}"
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.split(flat, rf"(?<=[.!?]{closes})(?<!\b(?:{known}|[A-Za-z])\.{closes}) (?=[\"“‘(\[]?[A-Z0-9])")
 
 
-def lead(text: Column, heading: str = "") -> Column:
-    """The first sentence after a heading, if it is one: it starts with a capital and ends with a stop."""
-    first = F.trim(F.get(sentences(F.regexp_replace(text, f"^{heading}\\s*", "")), F.lit(0)))
-    return F.when(first.rlike(r"^[A-Z].{10,}[.!?]$"), first)
+def whole_sentence(text: Column, least: int = 12, most: int = 600) -> Column:
+    """Whether a text reads as one finished sentence: a capital or quote first, a stop last, all brackets and quotes closed, no markup, of a fit length."""
+    even = lambda a, b: F.regexp_count(text, F.lit(a)) == F.regexp_count(text, F.lit(b))
+    plain = ~text.rlike(r"[\[\]{}<>|]") & text.rlike("^[A-Z“\"'‘]") & text.rlike("[.!?][\"”'’)]?$")
+    return F.coalesce(plain & F.length(text).between(least, most) & even(r"\(", r"\)") & even("“", "”") & (F.regexp_count(text, F.lit('"')) % 2 == 0), F.lit(False))
 
 
-def html_text(html: Column) -> Column:
-    """Without scripts, styles, comments and tags, with the common entities decoded, single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for entity, character in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(character))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+def lead(text: Column, heading: str = "", says: str = "", among: int = 3) -> Column:
+    """The first of a text's first sentences, after a heading, that is a whole sentence and says what is asked for (a pattern); null without one."""
+    body = F.regexp_replace(text, f"^{heading}\\s*", "") if heading else text
+    good = F.filter(F.slice(sentences(body), 1, among), lambda s: whole_sentence(s) & (s.rlike(says) if says else F.lit(True)))
+    return F.get(good, F.lit(0))
+
+
+def decoded_entities(text: Column) -> Column:
+    """HTML's named entities (of HTML 4, and &apos;) and numbered ones, decimal or hexadecimal, as characters; what is none stays."""
+    names = {n: chr(c) for n, c in html.entities.name2codepoint.items()} | {"apos": "'"}
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    numbered = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+    def one(piece: Column) -> Column:
+        inner = F.regexp_extract(piece, r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        code = F.when(inner.rlike("^#[0-9]"), F.substr(inner, F.lit(2)).cast("long")).when(inner.rlike("^#"), F.conv(F.substr(inner, F.lit(3)), 16, 10).cast("long"))
+        known = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), numbered(code)).when(code.isNull(), F.element_at(table, inner))
+        return F.when((inner != "") & known.isNotNull(), F.concat(known, F.substr(piece, F.length(inner) + 3))).otherwise(piece)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "(?=&)"), one), "")).otherwise(text)
+
+
+def html_text(page: Column) -> Column:
+    """Without scripts, styles, comments and tags, with entities decoded, single spaces."""
+    bare = F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    return F.trim(F.regexp_replace(decoded_entities(bare), r"[\s\u00a0]+", " "))
 
 
 def bill_label(kind: Column, number: Column) -> Column:

@@ -115,6 +115,19 @@ def dense_months(rows: DataFrame, day: str) -> DataFrame:
     return span.join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def dense_periods(rows: DataFrame, keys: list[str], day: str, unit: str) -> DataFrame:
+    """(keys, period, n): rows a week, month, quarter or year of each key, from its first to its last, periods without any as 0; period is its first day.
+
+    Keys are null-safe; rows without a day count nowhere, and a key with none has no periods.
+    """
+    steps = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month", "quarter": "interval 3 months", "year": "interval 1 year"}
+    counts = rows.filter(F.col(day).isNotNull()).groupBy(*keys, F.date_trunc(unit, F.col(day)).cast("date").alias("period")).agg(F.count("*").alias("n"))
+    every = counts.groupBy(*keys).agg(F.min("period").alias("_a"), F.max("period").alias("_b")).filter("_a IS NOT NULL").select(*keys, F.explode(F.sequence("_a", "_b", F.expr(steps[unit]))).alias("period"))
+    have = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("period").alias("_p"), "n")
+    same = [F.col("period") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)]
+    return every.join(have, same, "left").select(*keys, "period", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def decades(x: Column) -> Column:
     return (F.floor(x / 10) * 10).cast("int")
 

@@ -118,6 +118,41 @@ def grade_gap(gap: Column, investigate: float, stop: float) -> Column:
     return F.when(gap.isNull(), "stop").when(F.abs(gap) >= stop, "stop").when(F.abs(gap) >= investigate, "investigate").otherwise("pass")
 
 
+def reconciled(df: DataFrame, targets: dict[str, tuple[Column, float]], investigate: float, stop: float, sanity: tuple[str, ...] = ()) -> DataFrame:
+    """(label, expected, actual, diff_pct, status) of published numbers against aggregates of the rows, in one pass.
+
+    targets: label -> (aggregate, published number). status: pass, investigate from one gap in percent on, stop from another on (and where there is no
+    aggregate, or nothing to compare with); sanity for labels that are only to be looked at.
+    """
+    row = df.agg(*(F.struct(F.lit(label).alias("label"), F.lit(float(expected)).alias("expected"), actual.cast("double").alias("actual"), F.lit(label in sanity).alias("sane")).alias(f"_{i}") for i, (label, (actual, expected)) in enumerate(targets.items())))
+    each = row.select(F.explode(F.array(*(f"_{i}" for i in range(len(targets))))).alias("t")).select("t.*")
+    gap = F.try_divide(F.col("actual") - F.col("expected"), F.col("expected")) * 100
+    graded = F.when(F.col("sane"), "sanity").otherwise(grade_gap(F.col("diff_pct"), investigate, stop))
+    return each.withColumn("diff_pct", gap).withColumn("status", graded).drop("sane")
+
+
+def reconciles(found: DataFrame) -> DataFrame:
+    """Gate over reconciled(): what stops the run."""
+    return _out(found.filter(F.col("status") == "stop"), "reconciles", "label", "expected", "actual", "diff_pct")
+
+
+def tallies(votes: DataFrame, cases: DataFrame, key: str, member: str, side: str, majority: str, minority: str) -> DataFrame:
+    """Votes counted again against each case's printed tally. votes: (key, member, side); cases: (key, majority, minority).
+
+    side is majority, dissent, divided or anything else (no side). An equally divided case has no sides: its divided votes make both numbers together.
+    Violations are cases whose votes give other numbers, cases without votes, and members with two votes in a case. Votes in no case are out of scope.
+    """
+    is_ = lambda name: F.count_if(F.col(side) == name)
+    found = votes.groupBy(key).agg(is_("majority").alias("_maj"), is_("dissent").alias("_min"), is_("divided").alias("_div"))
+    both = cases.select(key, F.col(majority).alias("_told"), F.col(minority).alias("_against")).join(found, key, "left")
+    whole = F.when(F.col("_div") > 0, (F.col("_div") == F.col("_told") + F.col("_against")) & (F.col("_maj") + F.col("_min") == 0)).otherwise((F.col("_maj") == F.col("_told")) & (F.col("_min") == F.col("_against")))
+    names = [F.col(c).alias(c[1:]) for c in ("_maj", "_min", "_div", "_told", "_against")]
+    off = _out(both.filter(F.col("_maj").isNotNull() & ~F.coalesce(whole, F.lit(False))), "tally", key, *names)
+    none = _out(both.filter(F.col("_maj").isNull()), "case without votes", key)
+    twice = votes.join(cases.select(key), key, "left_semi").groupBy(key, member).count().filter("count > 1")
+    return off.unionByName(none).unionByName(_out(twice, "two votes of one member", key, member, "count"))
+
+
 def curated(actions: DataFrame, known: DataFrame, key: str, day: str, first: Column, last: Column, kinds: list[str]) -> DataFrame:
     """Hand-made rows (key, day, kind, quote): of known keys, within a window, of a known kind and with a quote."""
     missing = references(actions, known, [key])

@@ -169,8 +169,8 @@ def exact_then_near(left: DataFrame, right: DataFrame, keys: list[str], key: str
 
 
 def in_probe_order(probe: DataFrame, build: DataFrame, on: list[str], order: list[str]) -> DataFrame:
-    """Inner join in the probe side's order; place tells it, from 1 within equal first order columns on."""
-    return probe.join(build, on).orderBy(*order)
+    """Inner join that keeps the probe side's order: place numbers its rows from 1 in a total order, those that match nothing too, by ranges of it (see ranges.py)."""
+    return ranges.numbered(probe, [], order, "place").join(build, on)
 
 
 def expand_years(rows: DataFrame, start: str, end: str, last: int) -> DataFrame:

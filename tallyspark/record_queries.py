@@ -144,7 +144,7 @@ def inner_or_fail(spark, d):
 
 
 @query("""
-SELECT o_custkey, o_orderkey, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY'""")
+SELECT o_custkey, o_orderkey, place, c_acctbal FROM (SELECT *, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders) JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY'""")
 def probe_order(spark, d):
     build = t(spark, d, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
     return joins.in_probe_order(t(spark, d, "orders").select("o_custkey", "o_orderkey"), build, ["o_custkey"], ["o_custkey", "o_orderkey"])
@@ -620,6 +620,55 @@ def merged_spans(spark, d):
     return windows.merged_spans(spans.select("o_custkey", "a", "b", F.col("o_orderstatus").alias("label")), ["o_custkey"], "a", "b", "label")
 
 
+@query("""
+WITH x AS (SELECT 'orders with lines' AS label, (SELECT count(DISTINCT l_orderkey) FROM lineitem)::DOUBLE AS expected, count(*)::DOUBLE AS actual, false AS sane FROM orders
+UNION ALL SELECT 'customers', (SELECT count(*) FROM customer)::DOUBLE, count(DISTINCT o_custkey)::DOUBLE, false FROM orders
+UNION ALL SELECT 'urgent', (SELECT count(*) FROM lineitem)::DOUBLE, count(*) FILTER (o_orderpriority = '1-URGENT')::DOUBLE, true FROM orders),
+d AS (SELECT *, (actual - expected) / expected * 100 AS diff_pct FROM x)
+SELECT label, expected, actual, diff_pct, CASE WHEN sane THEN 'sanity' WHEN abs(diff_pct) >= 20 THEN 'stop' WHEN abs(diff_pct) >= 1 THEN 'investigate' ELSE 'pass' END AS status FROM d""")
+def targets_met(spark, d):
+    """Numbers told by other tables against the orders."""
+    told = t(spark, d, "lineitem").agg(F.count_distinct("l_orderkey").alias("orders"), F.count("*").alias("lines")).first()
+    found = {
+        "orders with lines": (F.count("*"), told["orders"]), "customers": (F.count_distinct("o_custkey"), t(spark, d, "customer").count()),
+        "urgent": (F.count_if(F.col("o_orderpriority") == "1-URGENT"), told["lines"]),
+    }
+    return gates.reconciled(t(spark, d, "orders"), found, 1, 20, sanity=("urgent",))
+
+
+@query("""
+WITH c AS (SELECT o_orderkey, count(l_orderkey) FILTER (l_returnflag = 'A') AS maj, count(l_orderkey) FILTER (l_returnflag = 'R') AS min, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+p AS (SELECT *, maj + CASE WHEN o_orderkey % 40 = 0 THEN 1 ELSE 0 END AS told FROM c)
+SELECT CASE WHEN n = 0 THEN 'case without votes' ELSE 'tally' END AS rule, o_orderkey AS "case", CASE WHEN n > 0 THEN told - maj END AS "over" FROM p WHERE n = 0 OR told <> maj""")
+def gate_tallies(spark, d):
+    """Lines as votes of their orders, whose printed majority is one too many now and then."""
+    side = F.when(F.col("l_returnflag") == "A", "majority").when(F.col("l_returnflag") == "R", "dissent").otherwise("none")
+    votes = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), F.monotonically_increasing_id().alias("member"), side.alias("side"))
+    printed = votes.groupBy("case").agg(F.count_if(F.col("side") == "majority").alias("maj"), F.count_if(F.col("side") == "dissent").alias("min"))
+    cases = t(spark, d, "orders").select(F.col("o_orderkey").alias("case")).join(printed, "case", "left").fillna(0, ["maj", "min"])
+    cases = cases.withColumn("maj", F.col("maj") + (F.col("case") % 40 == 0).cast("int"))
+    found = gates.tallies(votes, cases, "case", "member", "side", "maj", "min")
+    number = lambda name: F.get_json_object("detail", f"$.{name}").cast("long")
+    return found.select("rule", number("case").alias("case"), (number("told") - number("maj")).alias("over"))
+
+
+@query(f"""
+WITH c AS (SELECT o_custkey, CAST(date_trunc('quarter', {DAY}) AS DATE) AS period, count(*) AS n FROM orders GROUP BY 1, 2),
+s AS (SELECT o_custkey, unnest(generate_series(min(period), max(period), INTERVAL 3 MONTH)) AS p FROM c GROUP BY 1)
+SELECT s.o_custkey, CAST(p AS DATE) AS period, coalesce(n, 0) AS n FROM s LEFT JOIN c ON c.o_custkey = s.o_custkey AND c.period = CAST(p AS DATE)""")
+def dense_quarters(spark, d):
+    return aggregates.dense_periods(t(spark, d, "orders"), ["o_custkey"], "o_orderdate", "quarter")
+
+
+@query("""
+WITH b AS (SELECT c_nationkey, min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer GROUP BY 1), u AS (SELECT *, (b - a) / 5 AS raw, power(10.0, floor(log10((b - a) / 5))) AS unit FROM b WHERE b > a),
+s AS (SELECT *, CASE WHEN raw <= unit THEN unit WHEN raw <= 2 * unit THEN 2 * unit WHEN raw <= 2.5 * unit THEN 2.5 * unit WHEN raw <= 5 * unit THEN 5 * unit ELSE 10 * unit END AS step FROM u)
+SELECT c_nationkey, floor(a / step) * step AS low, ceil(b / step) * step AS high, step FROM s""")
+def nice_domains(spark, d):
+    spans = t(spark, d, "customer").groupBy("c_nationkey").agg(F.min("c_acctbal").alias("a"), F.max("c_acctbal").alias("b")).filter("b > a")
+    return spans.select("c_nationkey", numbers.nice_domain(F.col("a"), F.col("b")).alias("d")).select("c_nationkey", "d.*")
+
+
 # Functions
 
 

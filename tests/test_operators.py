@@ -63,6 +63,56 @@ def test_text_rules(spark):
     assert one(spark, text.occurrences(F.lit("$1 - $2; $1 - $2"), "$1 - $2")) == 2
 
 
+@pytest.mark.parametrize(
+    ("words", "found"),
+    [
+        ('He said "Stop." Then he left. (It was late.) J. Smith agreed!  So did Mr. Lee.', ['He said "Stop."', "Then he left.", "(It was late.)", "J. Smith agreed!", "So did Mr. Lee."]),
+        ("In 5 U.S. 137 the Court ruled. \n 4 dissented.", ["In 5 U.S. 137 the Court ruled.", "4 dissented."]),
+        ("no stop", ["no stop"]),
+    ],
+)
+def test_sentences_know_quotes_and_initials(spark, words, found):
+    assert one(spark, text.sentences(F.lit(words))) == found
+
+
+def test_leads_are_whole_sentences(spark):
+    body = "Lead: A (broken one. The court held that the rule (of 1999) stands. It ruled so again."
+    assert one(spark, text.lead(F.lit(body), "Lead:", says="(?i)held")) == "The court held that the rule (of 1999) stands."
+    assert one(spark, text.lead(F.lit("Plain is the word here. And more."))) == "Plain is the word here."
+    assert one(spark, text.lead(F.lit("lower case start. <b>It</b> has markup left in it."))) is None
+    assert one(spark, text.lead(F.lit(None).cast("string"))) is None
+
+
+def test_entities_are_decoded(spark):
+    assert one(spark, text.decoded_entities(F.lit("&lt;&amp;lt; caf&eacute; &#8217;&#x1F389;&#0;&nosuch; &copy &euro;&"))) == "<&lt; café ’🎉&#0;&nosuch; &copy €&"
+    assert one(spark, text.html_text(F.lit("<p>A&nbsp;&nbsp;B&mdash;C</p>"))) == "A B—C"
+
+
+def test_targets_are_graded(spark):
+    rows = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    found = gates.reconciled(rows, {"n": (F.count("*"), 100), "sum": (F.sum("v"), 5000), "odd": (F.sum("v"), 9000), "none": (F.sum(F.lit(None).cast("double")), 5), "seen": (F.count("*"), 1)}, 0.5, 5, sanity=("seen",))
+    assert {r["label"]: (r["status"], r["diff_pct"]) for r in found.collect()} == {"n": ("pass", 0.0), "sum": ("investigate", pytest.approx(-1.0)), "odd": ("stop", pytest.approx(-45.0)), "none": ("stop", None), "seen": ("sanity", 9900.0)}
+    with pytest.raises(gates.GateError, match="odd"):
+        gates.require(gates.reconciles(found))
+
+
+def test_tallies_are_counted_again(spark):
+    votes = [(1, m, "majority" if m < 6 else "dissent") for m in range(9)] + [(2, m, "divided") for m in range(8)] + [(3, 0, "majority"), (3, 0, "majority"), (9, 1, "majority"), (5, 1, "majority"), (5, 2, "divided")]
+    cases = spark.createDataFrame([(1, 6, 3), (2, 4, 4), (3, 2, 0), (4, 5, 4), (5, 1, 1)], "c int, told int, against int")
+    found = gates.tallies(spark.createDataFrame(votes, "c int, m int, side string"), cases, "c", "m", "side", "told", "against").select("rule", F.get_json_object("detail", "$.c"))
+    assert {tuple(r) for r in found.collect()} == {("tally", "5"), ("case without votes", "4"), ("two votes of one member", "3")}
+
+
+def test_dense_periods(spark):
+    rows = spark.createDataFrame([("a", D(2020, 2, 5)), ("a", D(2020, 8, 1)), (None, D(2021, 1, 1)), ("b", None)], "k string, d date")
+    got = {(r["k"], r["period"]): r["n"] for r in aggregates.dense_periods(rows, ["k"], "d", "quarter").collect()}
+    assert got == {("a", D(2020, 1, 1)): 1, ("a", D(2020, 4, 1)): 0, ("a", D(2020, 7, 1)): 1, (None, D(2021, 1, 1)): 1}
+    weeks = [r["n"] for r in aggregates.dense_periods(rows.filter("k = 'a'"), [], "d", "week").orderBy("period").collect()]
+    assert len(weeks) == 26
+    assert sum(weeks) == 2
+    assert tuple(one(spark, numbers.nice_domain(F.lit(3.2), F.lit(17.9)))) == (0.0, 20.0, 5.0)
+
+
 def test_months_before_leaves_gaps_null(spark):
     rows = spark.createDataFrame([(D(2020, 1, 1), 1.0), (D(2020, 3, 1), 3.0), (D(2020, 4, 1), 4.0)], ["month", "v"])
     got = {r["month"].month: r["p"] for r in joins.months_before(rows, [], "month", "v", 1, "p").collect()}
