@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, numbers, rules, text
 from tallyspark.operators import aggregates, documents, filters, gates, joins, nested, places, rosters, similar, unions, windows
+from tallyspark.plans.lineage import checkpointed
 from tallyspark.queries import TENURES, query, t, tenures
-from tallyspark.sources import sinks
+from tallyspark.sources import grids, sinks
 
 DAY = "CAST(o_orderdate AS DATE)"
 
@@ -765,6 +766,29 @@ def shard_dictionaries(spark, d):
     return sinks.coded_shards(t(spark, d, "orders"), "o_orderpriority", ["o_custkey"], ["o_orderkey"], ["o_orderkey"])[1]["o_custkey"]
 
 
+@query("""
+WITH c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN c_nationkey < 10 THEN 'inner' ELSE 'outer' END AS section, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), f AS (SELECT year, section, unnest(['urgent', 'low']) AS field, unnest([urgent, low]) AS sum FROM c)
+SELECT 'section total' AS rule, year, section, field, sum, sum + 1 AS printed FROM f WHERE section = 'inner' AND field = 'urgent' AND year % 2 = 0
+UNION ALL SELECT 'grand total', year, NULL, field, CAST(sum(sum) + 1 AS BIGINT), CAST(sum(sum) AS BIGINT) FROM f WHERE field = 'urgent' AND year % 2 = 0 GROUP BY year, field""")
+def grid_totals(spark, d):
+    """Counts laid out as a printed grid for each year, with a wrong total now and then, read back by headings and sections."""
+    both = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    counts = [F.count_if(F.col("o_orderpriority") == p).alias(n) for n, p in (("urgent", "1-URGENT"), ("low", "5-LOW"))]
+    year, outer = F.year("o_orderdate").alias("year"), (F.col("c_nationkey") >= 10).cast("int").alias("part")
+    print_ = lambda rows, row, label: rows.select("year", row.cast("int").alias("row"), F.create_map(F.lit("B"), label, F.lit("D"), F.format_number("urgent", 0), F.lit("E"), F.col("low").cast("string")).alias("cells"))
+    lines = print_(both.groupBy(year, outer, "c_nationkey", "n_name").agg(*counts), 10 + F.col("part") * 100 + F.col("c_nationkey"), F.col("n_name"))
+    wrong = F.col("urgent") + F.when((F.col("year") % 2 == 0) & (F.col("part") == 0), 1).otherwise(0)
+    totals = print_(both.groupBy(year, outer).agg(*counts).withColumn("urgent", wrong), 90 + F.col("part") * 100, F.when(F.col("part") == 0, "Inner total").otherwise("Outer total**"))
+    grand = print_(both.groupBy(year).agg(*counts), F.lit(300), F.lit("GRAND  TOTAL"))
+    cells = lambda **c: F.create_map(*(F.lit(x) for pair in c.items() for x in pair))
+    head = both.select(year).distinct().select("year", F.explode(F.array(F.struct(F.lit(2).alias("row"), cells(D="Orders", F="Other").alias("cells")), F.struct(F.lit(3).alias("row"), cells(B="Nation", D="URGENT*", E="Low", F="All").alias("cells")))).alias("h")).select("year", "h.*")
+    rows = checkpointed(lines.unionByName(totals).unionByName(grand).unionByName(head))  # each reading and gate looks at it
+    columns = grids.headed_columns(rows, ["year"], "ORDERS", {"URGENT": "urgent", "LOW": "low"}, ["urgent", "low"])
+    found = grids.printed_totals(grids.sectioned(rows, ["year"], columns, "B", [("inner", "Inner total"), ("outer", "Outer total")], "Grand total"), ["year"])
+    return found.select("rule", *(F.get_json_object("detail", f"$.{c}").cast(k).alias(c) for c, k in (("year", "int"), ("section", "string"), ("field", "string"), ("sum", "bigint"), ("printed", "bigint"))))
+
+
 LANES = f"SELECT o_custkey AS g, o_orderkey AS k, {DAY} AS a, {DAY} + CAST(o_orderkey % 90 AS INTEGER) AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY {DAY}, o_orderkey) AS n FROM orders"
 
 

@@ -54,28 +54,47 @@ def _per_file(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
     return _files(spark, path).mapInPandas(read, schema)
 
 
-def parse_xlsx(content: bytes) -> list[tuple[int, dict[str, str]]]:
-    """Rows of the first sheet as column letter -> text."""
-    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_SHEET = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
+
+
+def parse_sheets(content: bytes) -> list[tuple[str, int, dict[str, str]]]:
+    """(sheet, row, column letter -> text) of every sheet of a workbook, in its order; sheets of a book without a list are named after their files."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{space['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        names, shared = z.namelist(), []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in si.iterfind(".//m:t", _SHEET)) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _SHEET)]
+        files = {n.rpartition("/")[2].removesuffix(".xml"): n for n in sorted(names) if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)}
+        if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+            of = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iterfind("p:Relationship", _SHEET)}
+            listed = [(s.get("name"), of.get(s.get(f"{{{_SHEET['r']}}}id"), "")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheet", _SHEET)]
+            files = {name: target.lstrip("/") if target.startswith("/") else f"xl/{target}" for name, target in listed}
+        sheets = [(name, ElementTree.fromstring(z.read(file))) for name, file in files.items() if file in names]
     out = []
-    for row in sheet.iterfind(".//m:row", space):
-        cells = {}
-        for c in row.iterfind("m:c", space):
-            v, inline = c.find("m:v", space), c.find("m:is", space)
-            text = "".join(t.text or "" for t in inline.iter(f"{{{space['m']}}}t")) if inline is not None else (v.text if v is not None else None)
-            if text is not None:
-                cells[re.match("[A-Z]+", c.get("r"))[0]] = shared[int(text)] if c.get("t") == "s" else text
-        out.append((int(row.get("r")), cells))
+    for name, sheet in sheets:
+        for row in sheet.iterfind(".//m:row", _SHEET):
+            cells = {}
+            for c in row.iterfind("m:c", _SHEET):
+                v, inline = c.find("m:v", _SHEET), c.find("m:is", _SHEET)
+                text = "".join(t.text or "" for t in inline.iterfind(".//m:t", _SHEET)) if inline is not None else (v.text if v is not None else None)
+                if text is not None:
+                    cells[re.match("[A-Z]+", c.get("r"))[0]] = shared[int(text)] if c.get("t") == "s" else text
+            out.append((name, int(row.get("r")), cells))
     return out
 
 
+def xlsx_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sheet, row, cells) of all sheets of workbooks."""
+    return _per_file(spark, path, parse_sheets, "file string, sheet string, row int, cells map<string,string>")
+
+
 def xlsx_rows(spark: SparkSession, path: str) -> DataFrame:
-    return _per_file(spark, path, parse_xlsx, "file string, row int, cells map<string,string>")
+    """(file, row, cells) of each workbook's first sheet."""
+
+    def first(content: bytes):
+        rows = parse_sheets(content)
+        return [r[1:] for r in rows if r[0] == rows[0][0]]
+
+    return _per_file(spark, path, first, "file string, row int, cells map<string,string>")
 
 
 def zipped_xml(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.sources import readers, sinks
+from tallyspark.operators.gates import GateError, require
+from tallyspark.sources import grids, readers, sinks
 from tallyspark.streaming import events
 
 
@@ -38,6 +39,60 @@ def test_xlsx(spark, tmp_path):
     assert (row["row"], row["cells"]) == (1, {"A": "name", "C": "12.5"})
 
 
+GRID = [
+    (1, {"A": "As of June"}), (3, {"D": "Active  duty", "H": "Reserve"}), (4, {"D": "Army***", "E": "Navy", "F": "Total", "H": "Army"}),
+    (5, {"A": "UNITED STATES"}), (6, {"B": "Ohio", "D": "1,200", "E": "3", "F": "1203", "H": "9"}), (7, {"B": "Utah*", "D": "*", "E": "2", "F": "7"}), (8, {"A": "United States Total", "D": "1205", "E": "5", "F": "1210"}),
+    (9, {"B": "Peru", "D": "N/A", "E": "4", "F": "4"}), (10, {"A": "OVERSEAS TOTAL", "D": "0", "E": "4", "F": "4"}), (11, {"A": "GRAND TOTAL", "D": "1205", "E": "9", "F": "1214"}), (12, {"A": "Footnote", "D": "77"}),
+]
+PRINTED = [("us", "UNITED STATES TOTAL"), ("overseas", "OVERSEAS TOTAL")]
+FIELDS = {"ARMY": "army", "NAVY": "navy", "TOTAL": "total"}
+
+
+def read_grid(spark, rows):
+    df = spark.createDataFrame([("f", r, {**c, "L": c.get("A") or c.get("B")}) for r, c in rows], "k string, row int, cells map<string,string>")
+    return grids.sectioned(df, ["k"], grids.headed_columns(df, ["k"], "ACTIVE DUTY", FIELDS, ["army", "total"]), "L", PRINTED, "GRAND TOTAL")
+
+
+def test_grids_are_read_by_headings_and_sections(spark):
+    cells = read_grid(spark, GRID)
+    got = {(r["section"], r["label"], r["field"]): (r["kind"], r["state"], r["n"]) for r in cells.collect()}
+    assert got["us", "Ohio", "army"] == ("row", "value", 1200)
+    assert got["us", "Utah*", "army"] == ("row", "suppressed", None)
+    assert got["overseas", "Peru", "navy"] == ("row", "value", 4)
+    assert ("overseas", "Peru", "army") not in got
+    assert got[None, "GRAND TOTAL", "total"] == ("grand", "value", 1214)
+    assert len(got) == 17
+    found = [(r["rule"], r["detail"]) for r in grids.printed_totals(cells, ["k"]).collect()]
+    assert [x[0] for x in found] == ["section total"]  # no number at all, and 0 printed
+    assert '"field":"army"' in found[0][1]
+
+
+def test_a_wrong_total_stops_the_run(spark):
+    change = lambda row, **c: [(r, cells | c if r == row else cells) for r, cells in GRID]
+    gone = lambda row: [(r, cells) for r, cells in GRID if r != row]
+    fine = change(9, D="0")
+    assert grids.printed_totals(read_grid(spark, fine), ["k"]).count() == 0
+    for row, field, value in ((8, "E", "6"), (8, "D", "1199"), (11, "F", "1"), (9, "E", "5")):
+        with pytest.raises(GateError, match="total"):
+            require(grids.printed_totals(read_grid(spark, [(r, c | {field: value} if r == row else c) for r, c in fine]), ["k"]))
+    for rows, message in ((gone(3), "no heading"), (gone(10), "out of order"), (change(4, E="Marines"), "known"), (change(4, E="Army"), "twice"), (change(4, F=""), "missing"), (change(8, A="OVERSEAS TOTAL"), "out of order")):
+        with pytest.raises(GateError, match=message):
+            read_grid(spark, rows).count()
+
+
+def test_all_sheets_of_a_workbook(spark, tmp_path):
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = lambda text: f'<worksheet {space}><sheetData><row r="2"><c r="AB2" t="inlineStr"><is><t>{text}</t></is></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {space} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Second" sheetId="1" r:id="r2"/><sheet name="First" sheetId="2" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet("one"))
+        z.writestr("xl/worksheets/sheet2.xml", sheet("two"))
+    assert [tuple(r)[1:] for r in readers.xlsx_sheets(spark, str(tmp_path / "b.xlsx")).collect()] == [("Second", 2, {"AB": "two"}), ("First", 2, {"AB": "one"})]
+    assert readers.xlsx_rows(spark, str(tmp_path / "b.xlsx")).first()["cells"] == {"AB": "two"}
+    assert spark.range(1).select(grids.column_number(F.lit("AB")), grids.column_number(F.lit("Z"))).first()[:] == (28, 26)
+
+
 def test_zipped_xml(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("b1.xml", "<bill><number>7</number><title>An Act</title></bill>")
