@@ -61,9 +61,7 @@ def clustered(points: DataFrame, group: str, key: str, radius: float) -> DataFra
     banded = apart(points.dropna(subset=["x", "y"]), group, "x", radius).withColumn("_band", F.struct(F.col(group).alias("g"), F.col("_of").alias("n"))).drop("_of")
     banded = apart(banded, "_band", "y", radius)
 
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key)
-        keys, xs, ys = frame[key].to_numpy(), frame["x"].to_numpy(), frame["y"].to_numpy()
+    def gather(keys: list, xs: list, ys: list) -> pd.DataFrame:
         sums, first, of = np.zeros((0, 3)), [], []
         for k, x, y in zip(keys, xs, ys, strict=True):
             near = np.flatnonzero(np.hypot(sums[:, 0] / sums[:, 2] - x, sums[:, 1] / sums[:, 2] - y) <= radius) if len(sums) else []
@@ -73,10 +71,29 @@ def clustered(points: DataFrame, group: str, key: str, radius: float) -> DataFra
             sums[at] += (x, y, 1)
             of.append(at)
         centre = sums[of, :2] / sums[of, 2:]
-        return frame[[group, key]].assign(_first=[first[i] for i in of], x=centre[:, 0], y=centre[:, 1])
+        return pd.DataFrame({key: keys, "_first": [first[i] for i in of], "_x": centre[:, 0], "_y": centre[:, 1]})
+
+    def gathered(frames):
+        """Frames of rows by part and key; a part's rows wait until it ends."""
+        part, held = None, []
+        for frame in frames:
+            done = []
+            for row in frame.itertuples(index=False, name=None):
+                if row[0] != part:
+                    if held:
+                        done.append(gather(*map(list, zip(*held, strict=True))).assign(_group=part))
+                    part, held = row[0], []
+                held.append(row[1:])
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield gather(*map(list, zip(*held, strict=True))).assign(_group=part)
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    made = checkpointed(banded.groupBy("_band", "_of").applyInPandas(gather, f"{group} {kinds[group]}, {key} {kinds[key]}, _first {kinds[key]}, x double, y double"))
+    named = F.to_json(F.struct(F.col("_band").alias("band"), F.col("_of").alias("of")))
+    sorted_ = banded.select(named.alias("_group"), key, "x", "y").repartition("_group").sortWithinPartitions("_group", key)
+    made = sorted_.mapInPandas(gathered, f"{key} {kinds[key]}, _first {kinds[key]}, _x double, _y double, _group string")
+    made = checkpointed(made.select(F.from_json("_group", f"band struct<g: {kinds[group]}>")["band"]["g"].alias(group), key, "_first", F.col("_x").alias("x"), F.col("_y").alias("y")))
     numbered = ranges.numbered(made.filter(F.col(key) == F.col("_first")), [group], [key], "cluster").select(F.col(group).alias("_g"), F.col(key).alias("_k"), (F.col("cluster") - 1).cast("int").alias("cluster"))
     return made.join(numbered, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_first") == F.col("_k"))).select(group, key, "cluster", "x", "y")
 
@@ -105,18 +122,21 @@ def packed_lanes(rows: DataFrame, group: str, key: str, start: str, end: str) ->
     until = F.coalesce(F.col(end), far.get(kinds[end], F.lit(float("inf")))) if kinds[end] in far or kinds[end] in ("double", "float") else F.col(end)
     some = rows.filter(F.col(start).isNotNull()).select(group, key, F.col(start).alias("_start"), until.alias("_end"))
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_start", key])
-        free: list = []  # lanes that are free, the lowest first
-        taken: list = []  # (end, lane), the earliest first
-        lanes = []
-        for a, b in zip(frame["_start"], frame["_end"], strict=True):
-            while taken and taken[0][0] <= a:
-                heapq.heappush(free, heapq.heappop(taken)[1])
-            lane = heapq.heappop(free) if free else len(taken)
-            heapq.heappush(taken, (b, lane))
-            lanes.append(lane)
-        return frame[[group, key]].assign(lane=lanes)
-
-    cut = ranges.parts(some, [group], ["_start", key], "_end")
-    return cut.groupBy(group, "_of").applyInPandas(pack, f"{group} {kinds[group]}, {key} {kinds[key]}, lane int")
+    def pack(frames):
+        """Frames of rows by part, start and key; only the lanes of one part are held."""
+        part, free, taken = None, [], []  # lanes that are free, the lowest first; (end, lane), the earliest first
+        for frame in frames:
+            lanes = []
+            for of, a, b in zip(frame["_group"], frame["_start"], frame["_end"], strict=True):
+                if of != part:
+                    part, free, taken = of, [], []
+                while taken and taken[0][0] <= a:
+                    heapq.heappush(free, heapq.heappop(taken)[1])
+                lane = heapq.heappop(free) if free else len(taken)
+                heapq.heappush(taken, (b, lane))
+                lanes.append(lane)
+            yield frame[["_group", key]].assign(lane=lanes)
+
+    cut = ranges.parts(some, [group], ["_start", key], "_end").withColumn("_group", F.to_json(F.struct(F.col(group).alias("g"), F.col("_of").alias("of"))))
+    packed = cut.select("_group", key, "_start", "_end").repartition("_group").sortWithinPartitions("_group", "_start", key).mapInPandas(pack, f"_group string, {key} {kinds[key]}, lane int")
+    return packed.select(F.from_json("_group", f"g {kinds[group]}")["g"].alias(group), key, "lane")
