@@ -1,8 +1,11 @@
 """LM scoring by cross-entropy difference: how much better a target model predicts a document than a background model.
 
 Method: two bigram models of one form share one vocabulary, every word of the documents and the target texts (V words):
-P(w | v) = (c(v, w) + k * P(w)) / (c(v) + k), P(w) = (c(w) + 1) / (N + V). The background model counts all documents, the
-target model all target texts. A document's score is its mean loss per word under the target model minus that under
+P(w | v) = (f * c(v, w) + k * P(w)) / (f * c(v) + k), P(w) = (f * c(w) + 1) / (f * N + V). The target model counts all
+target texts; the background model counts all documents but the one that it scores, whose own words and pairs are taken
+off. The two are matched in size: f scales the counts of the larger of them to the words of the smaller one, which is what
+a draw of that size would have on average, so that a score doesn't tell which of the two had more to learn from and no
+document is left out of a draw. A document's score is its mean loss per word under the target model minus that under
 the background model; the lower, the more it is like the target.
 
 Counts grow with the corpus and are never gathered in one place: each batch of texts sends every distinct word and
@@ -12,7 +15,7 @@ are gathered, a row of numbers for each task. A caller may ask for the ``words``
 vocabulary, all others being one unknown word; only then does a table of that size go to every task.
 
 Defined cases: A-Z are lower-cased; a null or empty text has no words, loss 0 and score 0; without target texts the
-target model is uniform; rows that share a doc_id count and score each; of words of one count at the cut of a vocabulary
+target model is uniform, and where no other document has words the background is; nothing is scaled then; rows that share a doc_id count and score each, and only the row itself is taken off; of words of one count at the cut of a vocabulary
 the smaller hash stays; a text of any length is read whole; an empty table gives an empty result; only doc_id and text of documents and text of targets are read.
 """
 
@@ -122,6 +125,47 @@ def written_alone(df: DataFrame) -> DataFrame:
         conf.unset(name) if old is None else conf.set(name, old)
 
 
+def within(text: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How often each entry of x stands in its own text. text: the text of each, in order."""
+    order = np.lexsort((x, text))
+    head = np.flatnonzero(np.r_[True, (x[order][1:] != x[order][:-1]) | (text[order][1:] != text[order][:-1])][: len(x)])
+    times = np.diff(np.r_[head, len(x)])
+    out = np.empty(len(x), np.int64)
+    out[order] = np.repeat(times, times)
+    return out
+
+
+def pieces(bounds: np.ndarray, words: int = 1 << 18) -> list[tuple[int, int]]:
+    """Texts cut, between two of them, about every so many words."""
+    cuts = np.unique(np.r_[0, np.searchsorted(bounds, np.arange(0, bounds[-1], words)), len(bounds) - 1])
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def mean_losses(ids: np.ndarray, before: np.ndarray, pair: np.ndarray, n_words: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], tokens: tuple[int, int], size: int, weight: float) -> np.ndarray:
+    """Mean losses of texts under the background (row 0) and the target (row 1).
+
+    ids, before, pair: each word, the one before and the pair, as places in counts: of background and target, those of pairs and
+    those of words, the last one being how many texts begin. The texts are among those that the background counts.
+    """
+    text = np.repeat(np.arange(len(n_words)), n_words)
+    own_pair, own_word = within(text, pair), within(text, ids)
+    begins = np.r_[True, text[1:] != text[:-1]][: len(text)]
+    own_before = np.where(begins, 1, np.r_[0, own_word[:-1]][: len(text)])
+    rest = tokens[0] - n_words
+    even = np.minimum(tokens[1], rest)
+    end = np.cumsum(n_words)
+    out = []
+    for side, n in enumerate((rest, np.full(len(n_words), tokens[1]))):
+        scale = np.where(even > 0, even / np.maximum(n, 1), 1.0)
+        f, own = scale[text], 1 - side
+        pairs, words = counts[side]
+        single = (f * (words[ids] - own * own_word) + 1) / ((scale * n)[text] + size)
+        p = (f * (pairs[pair] - own * own_pair) + weight * single) / (f * (words[before] - own * own_before) + weight)
+        total = np.r_[0, np.cumsum(-np.log(p))]
+        out.append((total[end] - total[end - n_words]) / np.maximum(n_words, 1))
+    return np.array(out)
+
+
 def score_documents(docs: DataFrame, target: DataFrame, words: int | None = None, weight: float = 20.0) -> DataFrame:
     """Per row of docs (doc_id, text): words, mean losses in nats under the models of target (text) and docs, and their difference.
 
@@ -242,15 +286,12 @@ def score_documents(docs: DataFrame, target: DataFrame, words: int | None = None
                 one = np.sort(np.r_[pairs, word])
                 pair_at, word_at = np.searchsorted(one, pairs), np.searchsorted(one, word)
                 sizes = np.diff(buckets(one, bits))[[x for x, *_ in answers]] if answers else []
-                losses = []
-                for s in (0, 1):
-                    count = read_counts([expand.decompress(x[1 + s]) for x in answers], sizes)
-                    words_ = count[word_at]
-                    single = (words_ + 1) / (tokens[s] + size)
-                    context = np.r_[words_, float(begins[s])]
-                    p = (count[pair_at][of] + weight * single[ids]) / (context[before] + weight)
-                    total = np.r_[0, np.cumsum(-np.log(p))]
-                    losses.append((total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n_words, 1))
+                counts = [read_counts([expand.decompress(x[1 + s]) for x in answers], sizes) for s in (0, 1)]
+                told_ = [(count[pair_at], np.r_[count[word_at], float(begins[s])]) for s, count in enumerate(counts)]
+                losses = np.zeros((2, len(doc)))
+                for lo, hi in pieces(bounds):
+                    mine = slice(bounds[lo], bounds[hi])
+                    losses[:, lo:hi] = mean_losses(ids[mine], before[mine], of[mine], n_words[lo:hi], told_, tokens, size, weight)
                 ids_ = pa.array(doc, pa.int64(), mask=doc == np.iinfo(np.int64).min)
                 yield pa.record_batch([ids_, n_words, losses[1], losses[0], losses[1] - losses[0]], ["doc_id", "n_words", "loss_target", "loss_background", "score"])
 

@@ -355,6 +355,27 @@ def test_neighbours_of_repeated_ids_and_copies(spark):
         assert got == sorted(near + near + far)
 
 
+def expected_losses(docs, wanted, v, weight):
+    """docs: (doc_id, words); v: the vocabulary's size. Each document is scored by a background without it, of the target's size or the other way round."""
+
+    def model(texts, n_even):
+        one, two, first = Counter(), Counter(), sum(map(bool, texts))
+        for t in texts:
+            one.update(t)
+            two.update(zip(["^", *t], t, strict=False))
+        n = sum(one.values())
+        f = n_even / n if n_even else 1
+        return lambda a, w: (f * two[a, w] + weight * (f * one[w] + 1) / (f * n + v)) / (f * (first if a == "^" else one[a]) + weight)
+
+    want = []
+    for i, (doc, t) in enumerate(docs):
+        others = [x for j, (_, x) in enumerate(docs) if j != i]
+        even = min(sum(map(len, others)), sum(map(len, wanted)))
+        loss = [sum(-math.log(m(a, w)) for a, w in zip(["^", *t], t, strict=False)) / max(1, len(t)) for m in (model(wanted, even), model(others, even))]
+        want.append((doc, len(t), *loss, loss[0] - loss[1]))
+    return want
+
+
 def test_language_models_equal_brute_force(spark, odd_docs):
     size, weight = 40, 20
     target = [("the w1 w2 w3 short one.",), ("w5 w6 W7",), (None,), ("",)]
@@ -367,21 +388,8 @@ def test_language_models_equal_brute_force(spark, odd_docs):
     hashes = read_words(pa.record_batch([pa.array([" ".join(every)])], ["text"]))[0].view(np.int64).tolist()
     known = {w for _, _, w in sorted((-count[w], h, w) for w, h in zip(every, hashes, strict=True))[:size]}
 
-    def model(texts):
-        one, two, first = Counter(), Counter(), 0
-        for t in ([w if w in known else None for w in t] for t in texts):
-            one.update(t)
-            two.update(zip(["^", *t], t, strict=False))
-            first += bool(t)
-        n, v = sum(one.values()), min(size, len(count)) + 1
-        return lambda a, w: (two[a, w] + weight * (one[w] + 1) / (n + v)) / ((first if a == "^" else one[a]) + weight)
-
-    background, wish = model(docs), model(wanted)
-    want = []
-    for r, t in zip(rows, docs, strict=True):
-        t = [w if w in known else None for w in t]
-        loss = [sum(-math.log(m(a, w)) for a, w in zip(["^", *t], t, strict=False)) / max(1, len(t)) for m in (wish, background)]
-        want.append((r["doc_id"], len(t), *loss, loss[0] - loss[1]))
+    masked = lambda texts: [[w if w in known else None for w in t] for t in texts]
+    want = expected_losses([(r["doc_id"], t) for r, t in zip(rows, masked(docs), strict=True)], masked(wanted), min(size, len(count)) + 1, weight)
     for a, b in zip(got, sorted(want, key=str), strict=True):
         assert a[:2] == b[:2]
         assert a[2:] == pytest.approx(b[2:], abs=1e-9)
@@ -396,18 +404,25 @@ def test_language_models_tell_every_word_apart(spark):
     docs, wanted = [words(t.translate(LOWER)) for t in texts], [words(t) for t in wishes]
     v = len({w for t in docs + wanted for w in t})
 
-    def model(some):
-        one, two = Counter(w for t in some for w in t), Counter(p for t in some for p in zip(["^", *t], t, strict=False))
-        n = sum(one.values())
-        return lambda a, w: (two[a, w] + weight * (one[w] + 1) / (n + v)) / ((len(some) if a == "^" else one[a]) + weight)
-
-    background, wish = model(docs), model(wanted)
-    for i, t in enumerate(docs):
-        loss = [sum(-math.log(m(a, w)) for a, w in zip(["^", *t], t, strict=False)) / len(t) for m in (wish, background)]
-        assert [got[i]["loss_target"], got[i]["loss_background"]] == pytest.approx(loss, abs=1e-9)
+    for doc, n, *losses in expected_losses(list(enumerate(docs)), wanted, v, weight):
+        assert list(got[doc][1:]) == [n, *(pytest.approx(x, abs=1e-9) for x in losses)]
     assert score_documents(rows.limit(0), spark.createDataFrame([], "text string")).count() == 0
 
 
+def test_language_models_without_a_target_or_other_documents(spark):
+    """Nothing is scaled; a text that stands alone has a uniform background, and one that is there twice is known by its copy."""
+    weight, texts = 20, ["a b a c", None, "", "d d e", "d d e"]
+    docs = list(enumerate((t or "").split() for t in texts))
+    none = spark.createDataFrame([], "text string")
+    for some, target, v in ((texts, [], 5), (texts, ["a d z", None], 6), (texts[:3], ["a b"], 3), (texts[:3], [], 3)):
+        wishes = spark.createDataFrame([(t,) for t in target], "text string") if target else none
+        got = sorted(map(tuple, score_documents(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), wishes).collect()))
+        for a, b in zip(got, expected_losses(docs[: len(some)], [(t or "").split() for t in target], v, weight), strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+        by_doc = {r[0]: r for r in got}
+        assert len(some) < 5 or by_doc[3][3] < by_doc[0][3]
+
+
 def test_mixing_meets_targets_and_ignores_what_it_must(spark, odd_docs):
     d = "/root/testdata/sf0.01"
     labels = label_domains(spark.read.parquet(f"{d}/labels.parquet"))
