@@ -323,6 +323,34 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.repeat(np.arange(len(column)), sizes), {f.name: flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, f in enumerate(flat.type)}
 
 
+def _runs_told(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """docs as (doc_id, text), and their DOCS rows, written."""
+    if length < 4:
+        raise ValueError("length must be 4 or more")
+    windows = Windows(length)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = docs.filter("doc_id IS NOT NULL")
+    groups = document_groups(known)
+    texts = squeezed(known, groups, "xxhash64(text)")
+    return docs, written(with_names(texts, repeated_anchors(known, windows, word_tokens, groups), True, _runs_of_documents(windows), DOCS))
+
+
+def repeated_unitigs(docs: DataFrame, length: int = 50) -> DataFrame:
+    """(doc_id, row, start, n_words): the unitigs among docs (doc_id, text), as stretches of the words of their sources.
+
+    Every window of ``length`` words (4 or more) of a stretch stands in two documents or more, its source being the smallest
+    of them; a stretch ends where its windows stop being shared, where they go on in two ways, or where their smallest
+    document changes. row is the tag of the source's text.
+    """
+    (_, told), scratch = _runs_told(docs, length), Scratch()
+    pieces = repeat_graph(told.filter("text IS NOT NULL"), scratch).select(F.inline("pieces"))
+    words = (F.max(F.col("offset") + F.col("windows")) + length - 1).cast("long").alias("n_words")
+    found = written(pieces.groupBy("unitig", F.col("doc").alias("doc_id"), "row", "start").agg(words).drop("unitig"))
+    scratch.clear()
+    forget(told)
+    return found
+
+
 def remove_repeated_passages(docs: DataFrame, length: int = 50, keep_text: bool = True) -> DataFrame:
     """Per row of docs (doc_id, text): a tag of the row, its words, those removed, the hash of those kept joined by a space, the
     removed spans of words, and where any is removed the text without them (what stands between words goes with the word before).
@@ -330,13 +358,7 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50, keep_text: bool
     A word goes if a window of ``length`` words (4 or more) over it also starts in a document with a smaller doc_id.
     keep_text: False leaves kept_text null.
     """
-    if length < 4:
-        raise ValueError("length must be 4 or more")
-    windows, scratch = Windows(length), Scratch()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.filter("doc_id IS NOT NULL")
-    texts = squeezed(known, document_groups(known.sparkSession), "xxhash64(text)")
-    told = written(with_names(texts, repeated_anchors(known, windows, word_tokens), True, _runs_of_documents(windows), DOCS))
+    docs, told, scratch = *_runs_told(docs, length), Scratch()
     runs = told.filter("text IS NOT NULL").select("doc_id", "row", F.inline("runs")).select("doc_id", "row", "starts", "s1", "s2")
     # Pieces of unitigs with a smaller source, at every place of their run in a document.
     lost = runs.join(repeat_graph(told.filter("text IS NOT NULL"), scratch), ["s1", "s2"]).select("doc_id", "row", "starts", F.filter("pieces", lambda p: p["doc"] < F.col("doc_id")).alias("pieces")).filter(F.size("pieces") > 0)

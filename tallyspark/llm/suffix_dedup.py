@@ -303,9 +303,9 @@ def _prepared(docs: DataFrame, length: int, merge: bool) -> tuple[DataFrame, Dat
     few = max(6, bits - 3)  # buckets of runs: each batch sends one row to each
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter("doc_id IS NOT NULL")
-    groups = document_groups(docs.sparkSession)
+    groups = document_groups(known)
     rows = squeezed(known, groups)  # dealt by group here and at the end, so that Spark moves texts once and reads them twice
-    named = with_names(rows, repeated_anchors(known, windows, byte_tokens), everything=False)
+    named = with_names(rows, repeated_anchors(known, windows, byte_tokens, groups), everything=False)
     return docs, rows, named.mapInArrow(_sender(windows, few, groups, merge), MOVED).repartition(n, "key"), groups
 
 

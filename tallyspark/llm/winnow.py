@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyspark.llm.batches import BASE32, BASE64, binaries, group_of, mix64, powers, ranges, runs, slices, utf8
 
@@ -136,20 +137,22 @@ def short_name(name: np.ndarray) -> np.ndarray:
 
 PACKED = "key long, kind int, a binary, b binary"
 NAMES = ["key", "kind", "a", "b"]
-#: Groups of documents for each shuffle partition.
-GROUPS = 2
+#: Groups of documents for each shuffle partition, at least, and the bytes of text that one has on average, at most.
+GROUPS, GROUP_BYTES = 2, 32 << 20
 
 
-def document_groups(spark) -> int:
-    return GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def document_groups(docs: DataFrame) -> int:
+    """Into how many groups docs (text) go: one group's texts meet in one task's memory, so their number follows the bytes there are."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    return max(GROUPS * shuffle_partitions(docs), -(-size // GROUP_BYTES))
 
 
-def repeated_anchors(docs: DataFrame, windows: Windows, tokens) -> DataFrame:
+def repeated_anchors(docs: DataFrame, windows: Windows, tokens, groups: int) -> DataFrame:
     """(group, a, b): packed short names, by group of documents, of the anchors that stand in two documents or more.
 
     docs: doc_id (not null), text. tokens: a function from a RecordBatch to (bytes or 64-bit tokens, 32-bit tokens, bounds).
     """
-    bits, n, groups = bucket_bits(docs.sparkSession), shuffle_partitions(docs), document_groups(docs.sparkSession)
+    bits, n = bucket_bits(docs.sparkSession), shuffle_partitions(docs)
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1)

@@ -9,12 +9,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyspark.llm import debruijn_dedup
+from tallyspark.llm import debruijn_dedup, winnow
 from tallyspark.llm.components import components
-from tallyspark.llm.debruijn_dedup import compact_paths, place_on_unitigs, remove_repeated_passages
+from tallyspark.llm.debruijn_dedup import compact_paths, place_on_unitigs, remove_repeated_passages, repeated_unitigs
 from tallyspark.llm.minhash_dedup import near_duplicates
 from tallyspark.llm.shared import Scratch
 from tallyspark.llm.suffix_dedup import ENTRY, Bucket, lcp_intervals, remove_repeats, repeat_groups
+from tallyspark.llm.winnow import document_groups
 from tests.llm.conftest import LOWER, words
 
 SMALL = "/root/testdata/sf0.001/documents.parquet"
@@ -263,3 +264,30 @@ def test_near_duplicates_of_a_whole_table_miss_no_link(spark):
             parent[max(x, y)] = min(x, y)
     got = sorted(tuple(r) for r in near_duplicates(docs).collect())
     assert got == sorted((d, len(s), find(d), find(d) == d) for d, s in sets.items())
+
+
+def test_groups_of_documents_follow_their_bytes(spark, odd_docs, monkeypatch):
+    """Far more groups than partitions: the same results, and a group has so many bytes on average at most."""
+    docs = odd_docs.repartition(3)
+    few = document_groups(docs)
+    monkeypatch.setattr(winnow, "GROUP_BYTES", 1000)
+    size = sum(len((t or "").encode()) for _, t in pairs(docs))
+    assert document_groups(docs) == -(-size // 1000) > few
+    assert document_groups(docs.limit(0)) == few
+    got = sorted(str(tuple(r)[:5]) for r in remove_repeats(docs, 50).drop("spans").collect())
+    assert got == expected_bytes(pairs(docs), 50)
+    got = remove_repeated_passages(docs, 50).collect()
+    assert sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])) for r in got) == expected_words(pairs(docs), 50)
+
+
+def test_unitigs_are_whole_shared_stretches(spark, odd_docs, monkeypatch):
+    """A passage is one unitig however many minimizers it has, and ends where its source changes; without compaction it is many."""
+    p, q = ([f"{x}{i}" for i in range(n)] for x, n in (("p", 200), ("q", 120)))
+    rows = [(1, ["a1", *p, "z1"]), (2, ["a2", "b2", *p[:150], "z2"]), (3, [*q, "z3", *p[40:]]), (4, ["a4", *q]), (5, [f"own{i}" for i in range(90)])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3, "doc_id")
+    unitigs = lambda: sorted((r["doc_id"], r["start"], r["n_words"]) for r in repeated_unitigs(docs).collect())
+    assert unitigs() == [(1, 1, 200), (3, 0, 120)]
+    assert repeated_unitigs(odd_docs.limit(0)).count() == 0
+    monkeypatch.setattr(debruijn_dedup, "compact_paths", lambda edges, scratch: edges.select("edge", F.col("edge").alias("unitig")))
+    alone = unitigs()
+    assert len(alone) > 10 and max(n for *_, n in alone) < 120
