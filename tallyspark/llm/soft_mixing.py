@@ -8,7 +8,8 @@ tokens to domain j. Projected gradient descent, one distributed aggregation a ro
 
 over rates x >= 0; dividing by the natural totals makes the curvature 1 at most, so that the step is known and a few
 rounds suffice; the small ridge keeps rates near 1 where targets leave them free. All of it is DataFrame
-expressions; what reaches the driver is a row of numbers for each domain and word place, bounded by parameters.
+expressions. The classifier's weights are a written table of one row, arrays as long as there are places, which later
+plans read as a scalar subquery; what reaches the driver's code is a few numbers for each domain.
 
 Defined cases: a null text has no words: its rate is 1 and it adds nothing; rows that share a doc_id each get a rate
 (row, a hash of the text, tells them apart); a text of any length is read whole;
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.shared import forget, written
 
-PLACES = 1 << 14
+PLACES = 1 << 16
 TEMPER = 25
 #: Log odds against the first domain from which a word is strong, and how many strong words are told apart.
 STRONG, MOST = 1.5, 3
@@ -55,26 +56,30 @@ WIDTH = PLACES + sum(len(b) + 1 for _, b in KINDS)
 
 
 class DomainModel:
-    """Log priors, log weights of places and bins by domain, and of numbers of strong words: strong[j][d][number] for domain j + 1's strong words."""
+    """Log priors, a table of one row with the log odds of places and bins, and log weights of numbers of strong words.
 
-    def __init__(self, prior: list[float], weights: list[list[float]], strong: list[list[list[float]]]):
-        self.prior, self.weights, self.strong = prior, weights, strong
+    odds: a written table with one array, by_place, of structs w1, w2, ...: domain j's log odds against the first.
+    strong[j][d][number] is for domain j + 1's strong words.
+    """
+
+    def __init__(self, prior: list[float], odds: DataFrame, strong: list[list[list[float]]]):
+        self.prior, self.odds, self.strong = prior, odds, strong
 
     def weighed(self, rows: DataFrame) -> DataFrame:
-        """rows (found) with _w1, _w2, ...: the log odds of each place found, for each domain against the first. Each table is in the plan once."""
-        for j in range(1, len(self.prior)):
-            numbers = ",".join(f"{a - b:.5g}" for a, b in zip(self.weights[j], self.weights[0], strict=True))
-            table = F.expr(f"cast(split('{numbers}', ',') as array<double>)")  # folded into one literal
-            rows = rows.withColumn(f"_w{j}", F.transform("found", _looked_up(table)))
-        return rows
+        """rows (found) with _w: the log odds w1, w2, ... of each place found.
+
+        The table is looked up once a place, in the step that reads it: as a column of its own it would be copied to each row.
+        """
+        return rows.select("*", self.odds.scalar().alias("_table")).withColumn("_w", F.transform("found", lambda place: F.get(F.col("_table"), place))).drop("_table")
 
     def strong_words(self, j: int) -> Column:
         """How many strong words of domain j a text has, MOST at most."""
-        return F.least(F.size(F.filter(F.slice(f"_w{j}", F.lit(1), F.size(f"_w{j}") - len(KINDS)), lambda x: x >= STRONG)), F.lit(MOST))
+        return F.least(F.size(F.filter(F.slice(_of_places(j), F.lit(1), F.size("_w") - len(KINDS)), lambda x: x >= STRONG)), F.lit(MOST))
 
 
-def _looked_up(table: Column):
-    return lambda place: F.get(table, place)
+def _of_places(j: int) -> Column:
+    """Log odds of the places found, those of words first, for domain j against the first, over weighed() rows."""
+    return F.col("_w")[f"w{j}"]
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> DomainModel:
@@ -89,16 +94,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id", "domain"), "doc_id", "domain").limit(sample))  # bounded
     seen = written(evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"), "domain"))
     total = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    counts = {(r["place"], r["domain"]): r["n"] for r in seen.select("domain", F.explode("found").alias("place")).groupBy("place", "domain").agg(F.count("*").alias("n")).collect()}
     n = sum(total.values())
     prior = [math.log((total.get(d, 0) + 1) / (n + len(domains))) for d in domains]
-    places = {d: sum(counts.get((p, d), 0) for p in range(PLACES)) for d in domains}
-    in_all, raised = sum(places.values()), 4 + n / 200
-    share = {True: {d: places[d] / max(in_all, 1) for d in domains}, False: {d: total.get(d, 0) / max(n, 1) for d in domains}}
-    sums: dict[int, int] = {}
-    for (p, _), c in counts.items():
-        sums[p] = sums.get(p, 0) + c
-    model = DomainModel(prior, [[math.log((counts.get((p, d), 0) + raised) / (sums.get(p, 0) * share[p < PLACES][d] + raised)) for p in range(WIDTH)] for d in domains], [])
+    found = seen.select("domain", F.explode("found").alias("place")).groupBy("place").agg(*(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)))
+    model = DomainModel(prior, written(_log_odds(found, [total.get(d, 0) for d in domains])), [])
     for j in range(1, len(domains)):
         of = {(r["domain"], r["m"]): r["n"] for r in model.weighed(seen).groupBy("domain", model.strong_words(j).alias("m")).agg(F.count("*").alias("n")).collect()}
         model.strong.append([[math.log((of.get((d, m), 0) + 1) / (total.get(d, 0) + MOST + 1)) for m in range(MOST + 1)] for d in domains])
@@ -106,6 +105,22 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     return model
 
 
+def _log_odds(found: DataFrame, total: list[int]) -> DataFrame:
+    """One row with by_place, an array of structs w1, w2, ...: each domain's log odds against the first. found: place, n0, n1, ... (texts of each domain); total: each domain's texts."""
+    domains = range(len(total))
+    in_words = found.filter(F.col("place") < PLACES).agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in domains)).first()
+    in_all, n = max(sum(in_words), 1), sum(total)
+    raised = 4 + n / 200
+    every = found.sparkSession.range(WIDTH).select(F.col("id").cast("int").alias("place"))
+    rows = every.join(found, "place", "left").select("place", *(F.coalesce(f"n{i}", F.lit(0)).alias(f"n{i}") for i in domains))
+    together = sum((F.col(f"n{i}") for i in domains), F.lit(0))
+    shares = [F.when(F.col("place") < PLACES, in_words[i] / in_all).otherwise(total[i] / max(n, 1)) for i in domains]
+    weight = [F.log((F.col(f"n{i}") + raised) / (together * shares[i] + raised)) for i in domains]
+    by_place = rows.select("place", *((weight[i] - weight[0]).alias(f"w{i}") for i in domains[1:]))
+    ordered = by_place.agg(F.array_sort(F.collect_list(F.struct(*by_place.columns))).alias("by_place"))
+    return ordered.select(F.transform("by_place", lambda x: F.struct(*(x[f"w{i}"].alias(f"w{i}") for i in domains[1:]))).alias("by_place"))
+
+
 def posteriors(model: DomainModel) -> list[Column]:
     """The domains' log odds against the first, over weighed() rows.
 
@@ -115,18 +130,17 @@ def posteriors(model: DomainModel) -> list[Column]:
     """
     out = []
     for j in range(1, len(model.prior)):
-        n = F.size(f"_w{j}") - len(KINDS)
+        n = F.size("_w") - len(KINDS)
         total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-        odds = model.prior[j] - model.prior[0] + total(F.slice(f"_w{j}", F.lit(-len(KINDS)), F.lit(len(KINDS)))) + total(F.slice(f"_w{j}", F.lit(1), n)) * TEMPER / (TEMPER + n)
+        odds = model.prior[j] - model.prior[0] + total(F.slice(_of_places(j), F.lit(-len(KINDS)), F.lit(len(KINDS)))) + total(F.slice(_of_places(j), F.lit(1), n)) * TEMPER / (TEMPER + n)
         for i, by_domain in enumerate(model.strong, 1):
             odds = odds + F.get(F.array(*(F.lit(a - b) for a, b in zip(by_domain[j], by_domain[0], strict=True))), model.strong_words(i))
         out.append(odds)
     return out
 
 
-def domain_probabilities(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> DataFrame:
+def domain_probabilities(docs: DataFrame, model: DomainModel) -> DataFrame:
     """Per row of docs (doc_id, text): row, n_tokens and p, the probability of each domain in order."""
-    model = fit_domains(docs, labelled, domains, sample)
     rows = evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text"), "doc_id", "row")
     rows = model.weighed(rows).select("doc_id", "row", "n_tokens", F.array(F.lit(0.0), *posteriors(model)).alias("odds"))
     rows = rows.withColumn("likely", F.transform("odds", lambda x: F.exp(x - F.array_max("odds"))))
@@ -176,7 +190,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample:
     labelled: (doc_id, domain). targets: each domain's tokens wanted, as a share of all tokens there are. fixed: a domain
     that keeps its tokens; targets are then shares of what results.
     """
-    rows = written(domain_probabilities(docs, labelled, list(targets), sample))
+    model = fit_domains(docs, labelled, list(targets), sample)
+    rows = written(domain_probabilities(docs, model))
+    forget(model.odds)
     return fit_rates(rows, list(targets.values()), fixed=None if fixed is None else list(targets).index(fixed))
 
 

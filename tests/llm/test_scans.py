@@ -23,7 +23,7 @@ from tallyspark.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from tallyspark.llm.lm_scoring import pack_counts, read_counts, read_words, score_documents
 from tallyspark.llm.quality_rules import CATCHES, GOOD, SPARES, STRAYS, fit_accuracies, judge_quality, text_counts, votes, with_posteriors
 from tallyspark.llm.sentencepiece_bpe import encode_batch, encode_documents, load
-from tallyspark.llm.soft_mixing import label_domains, mix
+from tallyspark.llm.soft_mixing import KINDS, MOST, PLACES, STRONG, TEMPER, label_domains, mix
 from tests.llm.conftest import LOWER, words
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -440,6 +440,58 @@ def test_mixing_meets_targets_and_ignores_what_it_must(spark, odd_docs):
     assert mix(odd_docs.limit(0), labels.limit(0), targets).count() == 0
 
 
+def test_posteriors_equal_those_counted_by_hand(spark):
+    """Weights, numbers of strong words and probabilities of a small labelled table, in plain Python."""
+    rng = random.Random(5)
+    own = {"good": "tree river stone path".split(), "low": "buy click now win".split(), "toxic": "vile foul rot scum".split()}
+    rows = []
+    for i in range(240):
+        domain = ("good", "low", "toxic")[i % 3]
+        words = [rng.choice(own[domain] if rng.random() < 0.4 else [f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(1, 40))]
+        rows.append((i, " ".join(words) + ("!!! ##" if domain == "low" else "."), domain))
+    rows += [(240, None, "good"), (241, "", "low"), (242, "stone foul WIN", None), (243, "\u00e9t\u00e9 stone", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, d) for i, _, d in rows], "doc_id long, domain string")
+    domains = list(own)
+    every = {w for _, t, _ in rows for w in (t or "").split()}
+    place = {r["w"]: r["p"] for r in spark.createDataFrame([(w,) for w in every], "w string").selectExpr("w", f"pmod(hash(w), {PLACES}) AS p").collect()}
+
+    def found(text):
+        bins = [("bin", i, sum(1000 * len(re.findall(kind, text)) > b * len(text) for b in bounds)) for i, (kind, bounds) in enumerate(KINDS)]
+        return sorted({place[w] for w in text.split()}), bins
+
+    seen = [(*found(t or ""), d) for _, t, d in rows if d]
+    total = Counter(d for *_, d in seen)
+    n, raised = len(seen), 4 + len(seen) / 200
+    counts = Counter((at, d) for words, bins, d in seen for at in [*words, *bins])
+    in_words = {d: sum(len(w) for w, _, e in seen if e == d) for d in domains}
+
+    def weight(at, d):
+        share = total[d] / n if isinstance(at, tuple) else in_words[d] / sum(in_words.values())
+        return math.log((counts[at, d] + raised) / (sum(counts[at, e] for e in domains) * share + raised))
+
+    odds = lambda at, d: weight(at, d) - weight(at, "good")
+    strong = lambda words, d: min(sum(odds(w, d) >= STRONG for w in words), MOST)
+    numbers = {d: Counter((e, strong(words, d)) for words, _, e in seen) for d in domains[1:]}
+    assert max(m for d in numbers for _, m in numbers[d]) > 1  # else the test sees no strong words
+
+    def expected(text):
+        words, bins = found(text)
+        out = {"good": 0.0}
+        for d in domains[1:]:
+            out[d] = math.log((total[d] + 1) / (total["good"] + 1)) + sum(odds(b, d) for b in bins) + sum(odds(w, d) for w in words) * TEMPER / (TEMPER + len(words))
+            for e in domains[1:]:
+                m = strong(words, e)
+                out[d] += math.log((numbers[e][d, m] + 1) / (total[d] + MOST + 1)) - math.log((numbers[e]["good", m] + 1) / (total["good"] + MOST + 1))
+        likely = [math.exp(out[d]) for d in domains]
+        return [x / sum(likely) for x in likely]
+
+    got = {r["doc_id"]: r["p"] for r in mix(docs, labels, dict.fromkeys(domains, 1 / 3)).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        assert got[i] == pytest.approx(expected(text or ""), abs=1e-9), text
+
+
 def test_words_pattern_is_that_of_the_contract():
     text = "ab\x0bc\x1cd e é"
     assert words(text) == re.split(r"[\x20\x09-\x0D]", text)
