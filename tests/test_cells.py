@@ -133,3 +133,11 @@ def test_facts_are_read_once(spark, tmp_path):
     facts = spark.read.parquet(str(tmp_path / "facts")).withColumn("d", F.when(F.raise_error(F.lit("read")).isNull(), F.col("d")))
     spans = spark.createDataFrame([(1, D0, None)], "j int, a date, b date")
     assert "d" in joins.interval_join(facts, spans, "d", "a", "b", closed=True).columns
+
+
+def test_small_keys_meet_without_cells(spark):
+    """Long spans whose keys have few rows: one row a span, whatever their length."""
+    rows = spark.range(3000).selectExpr("CAST(id DIV 3 AS INT) AS k", "id AS i", "CAST(id AS INT) AS a", "CAST(id + 2000 AS INT) AS b")
+    found = cells.meeting(rows, rows.withColumnsRenamed({"i": "j", "a": "x", "b": "y"}), ["k"], ("a", "b"), ("x", "y"), most=0)
+    assert found.count() == 9000
+    assert "sequence" not in explained(found)
