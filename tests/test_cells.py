@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import cells, joins
+from tallyspark.operators import cells, classes, joins
 from tallyspark.plans.inspect import explained
 
 D0 = dt.date(2000, 1, 1)
@@ -135,6 +135,31 @@ def test_facts_are_read_once(spark, tmp_path):
     assert "d" in joins.interval_join(facts, spans, "d", "a", "b", closed=True).columns
 
 
+@pytest.mark.parametrize(("room", "size"), [(5, 1), (5, 3), (cells.ROOM, 3)])
+def test_shared_spans_of_single_and_several_spans(spark, room, size, monkeypatch):
+    """Classes of equal spans in short lists, crowded keys cut into cells and others not, keys of one span beside keys of several."""
+    monkeypatch.setattr(cells, "ROOM", room)
+    monkeypatch.setattr(cells, "FLOOR", 50)
+    monkeypatch.setattr(classes, "LIST", size)
+    rng = random.Random(room + size)
+    made = [(k, i, a, b) for k, i, a, b in made_spans(rng, 70)] + [(0, 100 + i, 5, 8) for i in range(9)] + [(4, 200 + i, 5, None) for i in range(3)]
+    for rows in (made, made + [(k, i, b + 50, b + 60) for k, i, _, b in made[::9] if b is not None]):
+        df = spark.createDataFrame(rows, "k int, i int, a int, b int")
+        got = joins.shared_spans(df, "i", "a", "b", ["k"], most=0).select("k", "i", "peer", "shared", "first", "last", "n_spans", "ends_at_edge")
+        assert Counter(map(tuple, got.collect())) == brute_shared(rows)
+
+
+def test_pairs_of_single_spans_are_not_moved(spark):
+    """Of 200 rows in two classes, 39,800 pairs come: what is shuffled is lists, and no pair is grouped or joined."""
+    rows = spark.range(200).selectExpr("id AS k", "1 AS g", "CAST(id AS DOUBLE) AS v", "CAST(1990 + id % 2 AS INT) AS a", "1999 AS b")
+    found = joins.peers_alongside(rows, ["g"], "k", "v", "a", "b", 3)
+    assert found.count() == 200 * 199
+    assert found.filter("is_neighbor").count() == 600
+    above = explained(found).split("Exchange")[0]
+    assert above.count("Generate") == 2
+    assert not re.search("Join|Aggregate", above)
+
+
 def test_small_keys_meet_without_cells(spark):
     """Long spans whose keys have few rows: one row a span, whatever their length."""
     rows = spark.range(3000).selectExpr("CAST(id DIV 3 AS INT) AS k", "id AS i", "CAST(id AS INT) AS a", "CAST(id + 2000 AS INT) AS b")
