@@ -131,19 +131,21 @@ def interval_join(facts: DataFrame, spans: DataFrame, at: str, start: str, end:
 def as_of(facts: DataFrame, readings: DataFrame, keys: list[str], at: str, when: str, values: list[str], tie: str, tolerance: int | None = None, by_range: bool | None = None) -> DataFrame:
     """Each fact with the last reading of its keys at or before its time (of one time, the greatest tie), none older than the tolerance in seconds.
 
+    Ages are told to the microsecond. A null time matches nothing; null keys are equal here.
     Both sides are put in one order and the last reading is carried on, so no pairs arise and one shuffle by keys does it. by_range: by ranges of
     that order (see ranges.py), for keys that may hold a large share of the rows; so it is without keys if nothing is said.
     """
     side = F.struct(F.col(when).alias("when"), *(F.col(v) for v in values))
     ties = F.col(tie).cast("string")
-    one = readings.select(*keys, F.col(when).alias("_t"), F.lit(0).alias("_side"), F.length(ties).alias("_long"), ties.alias("_tie"), side.alias("_reading"), F.lit(None).alias("_fact"))
+    one = readings.dropna(subset=[when]).select(*keys, F.col(when).alias("_t"), F.lit(0).alias("_side"), F.length(ties).alias("_long"), ties.alias("_tie"), side.alias("_reading"), F.lit(None).alias("_fact"))
     two = facts.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("int").alias("_long"), F.lit(None).cast("string").alias("_tie"), F.lit(None).alias("_reading"), F.struct(*(c for c in facts.columns if c not in keys)).alias("_fact"))
     order, both = ["_t", "_side", "_long", "_tie"], one.unionByName(two)
     if by_range or (by_range is None and not keys):
         found = ranges.last_known(both, keys, order, "_reading", "_last")
     else:
         found = both.withColumn("_last", F.last("_reading", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    close = F.lit(True) if tolerance is None else (F.unix_timestamp("_t") - F.unix_timestamp("_last.when") <= tolerance)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    close = F.lit(True) if tolerance is None else (micros("_t") - micros("_last.when") <= tolerance * 1_000_000)
     return found.filter("_side = 1").select(*keys, "_fact.*", *(F.when(close, F.col(f"_last.{v}")).alias(f"matched_{v}") for v in [*values]), F.when(close, F.col("_last.when")).alias("matched_at"))
 
 

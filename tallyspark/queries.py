@@ -171,7 +171,7 @@ SELECT p.event_id, p.user_id, CASE WHEN epoch(p.ts) - epoch(v.ts) <= 86400 THEN
 FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def as_of_view(spark, d):
     events = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    bought, seen = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), events.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    bought, seen = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), events.filter("event_type = 'view' AND user_id IS NOT NULL").select("user_id", "ts", F.col("event_id").alias("view_id"))
     found = joins.as_of(bought, seen, ["user_id"], "ts", "ts", ["view_id"], "view_id", 86_400, by_range=True)
     return found.select("event_id", "user_id", F.col("matched_view_id").alias("view_id"))
 

@@ -118,3 +118,14 @@ def test_one_key_is_many_tasks(many_ranges):
         assert all("_part" in w for w in of_rows)  # only the rows that stand for ranges are in one order
     plan = explained(aggregates.median_stats(df, ["k"], "v"))
     assert not re.search(r"percentile|median\(|collect_", plan)
+
+
+@pytest.mark.parametrize("by_range", [True, False])
+def test_ages_of_readings_count_parts_of_seconds(spark, by_range):
+    """A reading is too old by a microsecond, and null times match nothing."""
+    at = lambda c: F.timestamp_micros(F.col(c))
+    readings = spark.createDataFrame([(1, 900_000, 1), (2, 900_000, 2), (3, None, 4)], "k int, t long, r int").withColumn("t", at("t"))
+    facts = spark.createDataFrame([(1, 10_900_000, 1), (2, 10_900_001, 2), (3, 5, 4), (1, 11_899_999, 5)], "k int, t long, f int").withColumn("t", at("t"))
+    got = {r["f"]: r["matched_r"] for r in joins.as_of(facts, readings, ["k"], "t", "t", ["r"], "r", 10, by_range=by_range).collect()}
+    assert got == {1: 1, 2: None, 4: None, 5: None}
+    assert {r["f"]: r["matched_r"] for r in joins.as_of(facts, readings, ["k"], "t", "t", ["r"], "r", by_range=by_range).collect()} == {1: 1, 2: 2, 4: None, 5: 1}
