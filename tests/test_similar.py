@@ -55,3 +55,13 @@ def test_frequent_words_are_bounded(spark):
     assert token_overlap(spark.createDataFrame([], LEFT), rows, "g", "w", "v", 0.5).count() == 0
     with pytest.raises(ValueError, match="share"):
         token_overlap(rows, rows, "g", "v", "v", 0)
+
+
+def test_equal_rows_are_compared_once(spark):
+    """300 rows of two lists of words: two classes, whose pairs are made last and moved no more."""
+    rows = [("x", i, ["a", "b"] if i % 2 else ["c", "b"]) for i in range(300)]
+    left, right = spark.createDataFrame([(*r, 5) for r in rows], LEFT), spark.createDataFrame(rows, RIGHT)
+    assert candidates(left, right, "g", "w", "v", 0.5).count() == 4
+    found = token_overlap(left, right, "g", "w", "v", 0.5)
+    assert found.count() == 300 * 300
+    assert not re.search("Join|Aggregate", explained(found).split("Exchange")[0])
