@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -27,6 +27,15 @@ def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df)
 
 
+#: Rows of a part, where rows are dealt out so that what one task holds doesn't grow with their table.
+PART = 250_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Into how many parts so many rows are dealt: one for each shuffle partition, more where those would have over PART rows on average."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART))
+
+
 def numbered_in_order(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with a number from 0 in a total order: ranges of the order are numbered apart, each from where the one before ends."""
     placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))

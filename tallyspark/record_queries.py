@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, numbers, rules, text
 from tallyspark.operators import aggregates, documents, filters, gates, joins, nested, places, rosters, similar, unions, windows
+from tallyspark.plans import lineage
 from tallyspark.plans.lineage import checkpointed
 from tallyspark.queries import TENURES, query, t, tenures
 from tallyspark.sources import grids, sinks
@@ -646,11 +647,13 @@ SELECT CASE WHEN n = 0 THEN 'case without votes' ELSE 'tally' END AS rule, o_ord
 def gate_tallies(spark, d):
     """Lines as votes of their orders, whose printed majority is one too many now and then."""
     side = F.when(F.col("l_returnflag") == "A", "majority").when(F.col("l_returnflag") == "R", "dissent").otherwise("none")
-    votes = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), F.monotonically_increasing_id().alias("member"), side.alias("side"))
-    printed = votes.groupBy("case").agg(F.count_if(F.col("side") == "majority").alias("maj"), F.count_if(F.col("side") == "dissent").alias("min"))
-    cases = t(spark, d, "orders").select(F.col("o_orderkey").alias("case")).join(printed, "case", "left").fillna(0, ["maj", "min"])
+    lines, orders = t(spark, d, "lineitem"), t(spark, d, "orders")
+    votes = lines.select(F.col("l_orderkey").alias("case"), F.monotonically_increasing_id().alias("member"), side.alias("side"))
+    parts = lineage.parts(spark, lines.count() + orders.count())
+    printed = votes.select("case", "side").repartition(parts, "case").groupBy("case").agg(F.count_if(F.col("side") == "majority").alias("maj"), F.count_if(F.col("side") == "dissent").alias("min"))
+    cases = orders.select(F.col("o_orderkey").alias("case")).join(printed, "case", "left").fillna(0, ["maj", "min"])
     cases = cases.withColumn("maj", F.col("maj") + (F.col("case") % 40 == 0).cast("int"))
-    found = gates.tallies(votes, cases, "case", "member", "side", "maj", "min")
+    found = gates.tallies(votes, cases, "case", "member", "side", "maj", "min", parts)
     number = lambda name: F.get_json_object("detail", f"$.{name}").cast("long")
     return found.select("rule", number("case").alias("case"), (number("told") - number("maj")).alias("over"))
 

@@ -1,13 +1,14 @@
 """Operators on small hand-made rows with the edge cases of their rules."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, numbers, text
 from tallyspark.operators import aggregates, gates, joins, nested, places, windows
-from tallyspark.plans import inspect
+from tallyspark.plans import inspect, lineage
 from tallyspark.plans.lineage import numbered_in_order
 
 D = dt.date
@@ -103,6 +104,30 @@ def test_tallies_are_counted_again(spark):
     assert {tuple(r) for r in found.collect()} == {("tally", "5"), ("case without votes", "4"), ("two votes of one member", "3")}
 
 
+def test_tallies_deal_votes_by_their_number(spark, monkeypatch):
+    """Cases of few votes and one of many, with nulls; parts grow with the rows, so that none holds more for more votes."""
+    monkeypatch.setattr(lineage, "PART", 500)
+    plain = spark.range(6000).select((F.col("id") % 1500).cast("int").alias("c"), F.col("id").cast("int").alias("m"), F.when(F.col("id") % 2 == 0, "majority").otherwise("dissent").alias("side"))
+    hot = spark.range(3000).select(F.lit(-1).alias("c"), F.col("id").cast("int").alias("m"), F.lit("majority").alias("side"))
+    odd = spark.createDataFrame([(-1, 7, "majority"), (8, 9001, "none"), (8, 9001, "none"), (None, 1, "majority"), (None, 1, "majority"), (-5, 1, "majority"), (-5, 1, "majority"), (12, None, "none"), (12, None, "none")], "c int, m int, side string")
+    cases = spark.range(1500).select(F.col("id").cast("int").alias("c"), F.when(F.col("id") % 2 == 0, 4).otherwise(0).alias("told"), F.when(F.col("id") % 2 == 0, 1).otherwise(4).alias("against"))
+    cases = cases.unionByName(spark.createDataFrame([(-1, 3001, 0), (-2, 0, 0), (None, 0, 0)], "c int, told int, against int"))
+    found = gates.tallies(plain.unionByName(hot).unionByName(odd), cases, "c", "m", "side", "told", "against")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        rows = found.select("rule", F.get_json_object("detail", "$.c").cast("int").alias("c"), "detail", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    wrong = {("tally", c) for c in range(0, 1500, 2)}
+    assert {(r["rule"], r["c"]) for r in rows} == wrong | {("case without votes", -2), ("case without votes", None)} | {("two votes of one member", c) for c in (-1, 8, 12)}
+    assert len(rows) == len(wrong) + 5
+    assert {r["detail"] for r in rows if r["c"] in (-2, 6, 12)} == {'{"c":-2}', '{"c":6,"maj":4,"min":0,"div":0,"told":4,"against":1}', '{"c":12,"maj":4,"min":0,"div":0,"told":4,"against":1}', '{"c":12,"count":2}'}
+    by_part = Counter(r["part"] for r in rows if r["rule"] == "tally")
+    assert len(by_part) > 15  # 10,512 rows in parts of 500
+    assert max(by_part.values()) < 100
+
+
 def test_dense_periods(spark):
     rows = spark.createDataFrame([("a", D(2020, 2, 5)), ("a", D(2020, 8, 1)), (None, D(2021, 1, 1)), ("b", None)], "k string, d date")
     got = {(r["k"], r["period"]): r["n"] for r in aggregates.dense_periods(rows, ["k"], "d", "quarter").collect()}
